@@ -9,6 +9,33 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_classes
+
+    return ngram_classes(_docs(spark, sf_dir)).select("doc_id", "class_id", "n_links", "class_size")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leak_report
+
+    return leak_report(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import digests, format_records, turns_to_records
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(1).selectExpr("stack(2, -7L, 0L, 'user', '{0}', -7L, 1L, 'assistant', '{0}') as (conv_id, turn, role, text)".format(said))
+    return digests(format_records(turns_to_records(rows.unionByName(own))))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import digests
+
+    return digests(_docs(spark, sf_dir))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import tokens_table
 
@@ -21,6 +48,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack(_docs(spark, sf_dir)))
 
 
+def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .telephony import digests
+
+    return digests(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
