@@ -55,6 +55,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_table(spark, _docs(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digests
+
+    return digests(_docs(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, piece_digests
 
