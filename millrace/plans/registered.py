@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, health  # noqa: F401
+from . import base, health, ingest, registry  # noqa: F401
 
 
 def queries() -> dict:

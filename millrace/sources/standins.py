@@ -81,5 +81,6 @@ def oracle(sql: str) -> str:
     sql = sql.strip()
     if not heads:
         return sql
-    rest = sql[5:].strip() if sql[:5].lower() == "with " else None
-    return "with " + ",\n".join(heads) + (",\n" + rest if rest is not None else "\n" + sql)
+    word = next((w for w in ("with recursive ", "with ") if sql.lower().startswith(w)), None)
+    rest = sql[len(word) :].strip() if word else None
+    return (word or "with ") + ",\n".join(heads) + (",\n" + rest if rest is not None else "\n" + sql)
