@@ -217,7 +217,8 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     dealt = _chunked(members.join(total, "group"), "group", F.expr(f"least(m, ceil(n / {BLOCK_SHINGLES}))"))
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), F.coalesce("text", F.lit("")).alias("text"))
     own = members.select("set_id", F.col("at.doc_id").alias("doc_id"), F.col("at.row_hash").alias("row_hash"))
-    fetched = texts.alias("t").join(own.alias("o"), F.expr("t.doc_id <=> o.doc_id and t.row_hash = o.row_hash")).select("set_id", "text").dropDuplicates(["set_id"])
+    # Always by a shuffle of both: a broadcast at small sizes only would hide what large ones move.
+    fetched = texts.alias("t").join(own.hint("merge").alias("o"), F.expr("t.doc_id <=> o.doc_id and t.row_hash = o.row_hash")).select("set_id", "text").dropDuplicates(["set_id"])
 
     def verify(g: pd.DataFrame) -> pd.DataFrame:
         side = (g["chunk"] == g["ci"].iloc[0]).to_numpy()
