@@ -2,8 +2,10 @@
 
 A test item of n characters may be changed in k = floor(n * error_rate) places. Cut into k + 1
 pieces, it keeps at least one of them whole, so one pass of an Aho-Corasick automaton over
-the pieces finds every document position that could match; Myers' bit-parallel algorithm
-then gives the least edit distance of the item to any part of the text around the hit.
+the pieces finds every document position that could match. Pieces are halved recursively, a
+half taking its share of the budget: where an item matches, some piece's hit also matches
+within the budget of each larger part that holds it. So Myers' bit-parallel algorithm
+verifies short parts first, and whole items only where all parts around a hit agreed.
 
 Item and document are compared in lower case with white space runs as one space. Items go
 through in blocks of bounded size, each broadcast on its own, against all documents; a
@@ -39,17 +41,40 @@ def budget(n: int, error_rate: float = ERROR_RATE) -> int:
     return max(0, min(int(n * error_rate), n // MIN_PIECE - 1))
 
 
-def pieces(item: str, k: int) -> list[tuple[int, str]]:
-    """k + 1 pieces of nearly equal length, with their offsets."""
-    cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
-    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+class Part:
+    """Characters ``a`` to ``b`` of an item, with at most ``k`` errors, below a larger part."""
 
+    def __init__(self, item: str, a: int, b: int, k: int, parent: Part | None):
+        self.a, self.text, self.k, self.parent = a, item[a:b], k, parent
+        self.masks = masks_of(self.text)
 
-def myers(pattern: str, text: str, k: int) -> tuple[int, int] | None:
-    """Least edit distance (at most k) of ``pattern`` to a part of ``text``, and that part's end."""
+
+def pieces(item: str, k: int) -> list[Part]:
+    """The k + 1 pieces without errors, each with the larger parts that hold it."""
+    out, todo = [], [(0, len(item), k, None)]
+    while todo:
+        a, b, k, parent = todo.pop()
+        part = Part(item, a, b, k, parent)
+        if not k:
+            out.append(part)
+            continue
+        left = (k - 1) // 2
+        middle = a + (b - a) * (left + 1) // (k + 1)
+        todo += [(a, middle, left, part), (middle, b, k - 1 - left, part)]
+    return out
+
+
+def masks_of(pattern: str) -> dict[str, int]:
     masks: dict[str, int] = defaultdict(int)
     for i, c in enumerate(pattern):
         masks[c] |= 1 << i
+    return dict(masks)
+
+
+def myers(pattern: str, text: str, k: int, masks: dict[str, int] | None = None, any_end: bool = False) -> tuple[int, int] | None:
+    """Least edit distance (at most k) of ``pattern`` to a part of ``text``, and that part's end;
+    with ``any_end`` the first distance of at most k."""
+    masks = masks_of(pattern) if masks is None else masks
     m = len(pattern)
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score, best, end = full, 0, m, k + 1, -1
@@ -67,6 +92,8 @@ def myers(pattern: str, text: str, k: int) -> tuple[int, int] | None:
         plus, minus = mh | ~(xv | ph) & full, ph & xv
         if score < best:
             best, end = score, j + 1
+            if any_end:
+                break
     return None if best > k else (best, end)
 
 
@@ -76,13 +103,14 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
         import ahocorasick
 
-        self.items, found = [], defaultdict(list)
+        self.items: list[tuple[int, str, int]] = []
+        found: dict[str, list[tuple[int, Part]]] = defaultdict(list)
         for item_id, raw in items:
             if text := normal(raw or ""):
                 k = budget(len(text), error_rate)
                 self.items.append((item_id, text, k))
-                for at, piece in pieces(text, k):
-                    found[piece].append((len(self.items) - 1, at))
+                for part in pieces(text, k):
+                    found[part.text].append((len(self.items) - 1, part))
         self.automaton = ahocorasick.Automaton()
         for piece, own in found.items():
             self.automaton.add_word(piece, (len(piece), own))
@@ -98,7 +126,15 @@ class Matcher:
         windows: dict[int, list[list[int]]] = defaultdict(list)
         for last, (size, own) in self.automaton.iter(text):
             first = last - size + 1
-            for i, at in own:
+            for i, part in own:
+                at, up = part.a, part.parent
+                while up is not None and up.parent is not None:
+                    x = first - at + up.a
+                    if not myers(up.text, text[max(0, x - up.k) : x + len(up.text) + up.k], up.k, up.masks, True):
+                        break
+                    up = up.parent
+                if up is not None and up.parent is not None:
+                    continue
                 _, item, k = self.items[i]
                 a, b = max(0, first - at - k), min(len(text), first - at + len(item) + k)
                 if windows[i] and a <= windows[i][-1][1]:
