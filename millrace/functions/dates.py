@@ -58,10 +58,11 @@ def pdf_date(header: Column) -> Column:
 
 
 def feed_date(published: Column, updated: Column) -> Column:
-    """RFC 822 or ISO, as UTC; the update's date where there is none of publication."""
+    """RFC 822 or ISO, as UTC (the session's time zone must be UTC); the update's date where there is none of publication."""
 
     def one(t: Column) -> Column:
-        zoned = [F.to_utc_timestamp(F.try_to_timestamp(t, F.lit(p)), "UTC").cast("timestamp_ntz") for p in ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX")]
+        bare = F.regexp_replace(t, "^[A-Za-z]{3,9}, *", "")  # the weekday says nothing new
+        zoned = [F.timestamp_micros(F.unix_micros(F.try_to_timestamp(bare, F.lit(p)))).cast("timestamp_ntz") for p in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX")]
         return F.coalesce(*zoned, first_date(t, *K.DATES_ISO))
 
     return F.coalesce(one(published), one(updated))

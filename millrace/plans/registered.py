@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, detect, health, ingest, registry  # noqa: F401
+from . import base, detect, documents, health, ingest, parse, registry, text  # noqa: F401
 
 
 def queries() -> dict:

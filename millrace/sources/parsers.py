@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import constants as K
+from millrace.functions import dates as T
+from millrace.functions import detect as D
+from millrace.functions import maps as M
+from millrace.functions import urls as U
+from millrace.session import ship_package
+
 PLATFORMS = ("arcgis", "citizenrims", "civicplus", "crimemapping", "nixle", "pdf", "rss", "socrata")
 
 
@@ -18,3 +28,198 @@ def route(platform: Column, external_id: Column, strict: bool = False) -> Column
 
 def alert_route(url: Column) -> Column:
     return F.when(url.rlike("(?i)/(rss|feed)"), F.lit("rss")).otherwise(F.lit("nixle"))
+
+
+RAW_DOCUMENT = "url string, document_type string, title string, raw_text string, published_date timestamp_ntz, metadata map<string,string>"
+
+
+def squash(text: Column) -> Column:
+    from millrace.functions.maps import squash as run
+
+    return run(text)
+
+
+def _documents(rows: DataFrame, keys: list[str], **fields: Column) -> DataFrame:
+    """Normalised documents of exploded items, with the response's key columns."""
+    return rows.select(*keys, *(c.alias(n) for n, c in fields.items()))
+
+
+def _meta(**values: Column) -> Column:
+    return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("string"))))
+
+
+def _join_title(title: Column, body: Column) -> Column:
+    return squash(F.when(F.coalesce(title, F.lit("")) != "", F.concat(title, F.lit(". "), F.coalesce(body, F.lit("")))).otherwise(F.coalesce(body, F.lit(""))))
+
+
+_ITEM = "array<struct<href:string,title:string,body:string,date:string>>"
+
+
+def _items(html: Column, extract) -> Column:
+    """Items of an HTML page; ``extract`` gives tuples and runs in an Arrow-batched UDF."""
+    ship_package(SparkSession.getActiveSession())
+
+    @F.pandas_udf(_ITEM)
+    def run(s: pd.Series) -> pd.Series:
+        names = ("href", "title", "body", "date")
+        return s.map(lambda h: [dict(zip(names, x, strict=True)) for x in extract(h or "")])
+
+    return run(html)
+
+
+def _listing_items(html: str) -> list[tuple]:
+    from .html import first_selected, parse
+
+    out = []
+    for a in first_selected(parse(html), K.LISTING_SELECTORS):
+        link = a.find("a", cls="article-title-link") or a.find("a", has="href")
+        title = a.find("h2") or a.find("h3") or a.find("h4") or link
+        body = a.find(cls="article-preview") or a.find(cls="alertContent") or a.find("p")
+        foot, date = a.find(cls="article-list-footer"), None
+        if foot and (note := foot.find(cls="fst-italic")):
+            date = note.text()
+        if not date and (t := a.find("time")):
+            date = t.attrs.get("datetime") or t.text()
+        for cls in ("date", "alertDate"):
+            if not date and (el := a.find(cls=cls)):
+                date = el.text()
+        out.append((link.attrs.get("href") or None if link else None, title.text() if title else None, body.text(" ") if body else "", date or None))
+    return out
+
+
+def _alert_items(html: str) -> list[tuple]:
+    from .html import first_selected, parse
+
+    out = []
+    for a in first_selected(parse(html), K.ALERT_SELECTORS):
+        link = a.find("a", href=re.compile(r"/alert/(\w+)/?")) or a.find("a", has="href")
+        title = a.find("h2") or a.find("h3") or a.find("h4") or link
+        body = next((b for b in (a.find(cls=c) for c in ("alert-body", "alertBody", "alert-content", "alertContent")) if b), None) or a.find("p")
+        t, date = a.find("time"), None
+        if t:
+            date = t.attrs.get("datetime") or t.text()
+        for cls in ("alert-date", "alertDate", "date", "published"):
+            if not date and (el := a.find(cls=cls)):
+                date = el.text()
+        out.append((link.attrs.get("href") or None if link else None, title.text() if title else None, body.text(" ") if body else "", date or None))
+    return out
+
+
+def parse_listing(responses: DataFrame, keys: list[str], url: str = "url", html: str = "html") -> DataFrame:
+    """News listings: a document for each article that the first fitting selector picks."""
+    rows = responses.select(*keys, F.col(url).alias("page"), F.posexplode(_items(F.col(html), _listing_items)).alias("pos", "i"))
+    link = F.when(F.col("i.href").isNull(), F.col("page")).otherwise(U.resolve(F.col("page"), F.col("i.href")))
+    return _documents(rows, keys, pos=F.col("pos"), url=link, document_type=D.listing_type(F.col("page")), title=F.nullif(F.col("i.title"), F.lit("")), raw_text=_join_title(F.col("i.title"), F.col("i.body")), published_date=T.listing_date(F.col("i.date")), metadata=_meta(page_url=F.col("page")))
+
+
+def parse_alerts(responses: DataFrame, keys: list[str], url: str = "url", html: str = "html") -> DataFrame:
+    """Alert listings; the platform follows from the page's address."""
+    rows = responses.select(*keys, F.col(url).alias("page"), F.posexplode(_items(F.col(html), _alert_items)).alias("pos", "i"))
+    link = F.when(F.col("i.href").isNull(), F.col("page")).otherwise(U.resolve(F.col("page"), F.col("i.href")))
+    platform = F.when(F.col("page").contains("nixle.com"), "nixle").otherwise("rave")
+    return _documents(rows, keys, pos=F.col("pos"), url=link, document_type=F.lit("alert"), title=F.nullif(F.col("i.title"), F.lit("")), raw_text=_join_title(F.col("i.title"), F.col("i.body")), published_date=T.alert_date(F.col("i.date")), metadata=_meta(nixle_alert_id=U.alert_id(link), alert_url=link, platform=platform))
+
+
+def cell_roles(cells: Column) -> Column:
+    """Struct of date, type, address and description: each cell takes the first role that is free
+    and fits it; free roles then take the first, second and third cell."""
+    none = F.lit(None).cast("string")
+    start = F.struct(*(none.alias(n) for n in ("date", "type", "address", "description")))
+
+    def step(acc: Column, text: Column) -> Column:
+        dated, placed = text.rlike(r"\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d{2}-\d{2}"), text.rlike(r"(?iU)\d+\s+\w+\s+(st|ave|blvd|dr|rd|ln|way|ct|pl)\b")
+        role = F.when(acc["date"].isNull() & dated, 0).when(acc["type"].isNull() & ~placed, 1).when(acc["address"].isNull() & placed, 2).when(acc["description"].isNull() & (F.length(text) > 5), 3)
+        return F.struct(*(F.when(role == i, text).otherwise(acc[n]).alias(n) for i, n in enumerate(("date", "type", "address", "description"))))
+
+    def fill(acc: Column) -> Column:
+        return F.struct(F.coalesce(acc["date"], F.get(cells, 0)).alias("date"), F.coalesce(acc["type"], F.get(cells, 1)).alias("type"), F.coalesce(acc["address"], F.get(cells, 2)).alias("address"), acc["description"].alias("description"))
+
+    return F.aggregate(cells, start, step, fill)
+
+
+def parse_incident_table(responses: DataFrame, keys: list[str], url: str = "url", html: str = "html") -> DataFrame:
+    """Incident tables: a document for each row with data cells."""
+    ship_package(SparkSession.getActiveSession())
+
+    @F.pandas_udf("array<array<string>>")
+    def rows_of(s: pd.Series) -> pd.Series:
+        from .html import first_selected, parse
+
+        return s.map(lambda h: [[c.text(" ") for c in r.walk() if c.tag == "td"] for r in first_selected(parse(h or ""), K.TABLE_SELECTORS, "td")])
+
+    rows = responses.select(*keys, F.col(url).alias("page"), F.posexplode(rows_of(F.col(html))).alias("pos", "cells")).withColumn("r", cell_roles(F.col("cells")))
+    r = F.col("r")
+    parts = F.filter(F.array(r["type"], r["address"], r["description"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    text = squash(F.when(F.size(parts) > 0, F.array_join(parts, " at ")).otherwise(F.array_join("cells", " ")))
+    return _documents(rows, keys, pos=F.col("pos"), url=F.col("page"), document_type=F.lit("incident_log"), title=r["type"], raw_text=F.when(text != "", text).otherwise(F.array_join(F.slice("cells", 1, 3), " ")), published_date=T.table_date(r["date"]), metadata=_meta(address=r["address"], incident_type=r["type"], page_url=F.col("page")))
+
+
+def parse_feed(responses: DataFrame, keys: list[str], url: str = "url", xml: str = "xml") -> DataFrame:
+    """RSS feeds: a document for each item of the channel. Atom entries: as items."""
+    item = "struct<title:string,link:string,description:string,summary:string,encoded:string,content:string,pubDate:string,published:string,updated:string>"
+    channel = F.from_xml(F.regexp_replace(F.col(xml), r"<(/?)content:encoded", "<$1encoded"), f"channel struct<title:string,item:array<{item}>>")
+    rows = responses.select(*keys, F.col(url).alias("feed"), channel["channel"].alias("c")).select(*keys, "feed", F.col("c.title").alias("feed_title"), F.posexplode("c.item").alias("pos", "i"))
+    i = F.col("i")
+    body = F.coalesce(i["encoded"], i["content"], i["summary"], i["description"], F.lit(""))
+    title = F.coalesce("feed_title", F.lit(""))
+    return _documents(rows, keys, pos=F.col("pos"), url=F.coalesce(i["link"], F.col("feed")), document_type=D.feed_title_type(title), title=F.nullif(i["title"], F.lit("")), raw_text=squash(body), published_date=T.feed_date(F.coalesce(i["pubDate"], i["published"]), i["updated"]), metadata=_meta(feed_url=F.col("feed"), feed_title=title))
+
+
+def parse_incident_map(responses: DataFrame, keys: list[str], payload: str = "payload", map_id: str = "map_id") -> DataFrame:
+    """Incidents of a map service's JSON."""
+    schema = "struct<Incidents:array<struct<TypeDescription:string,Address:string,DateOccurred:string,CaseNumber:string,Description:string>>>"
+    rows = responses.select(*keys, F.col(map_id).alias("m"), F.posexplode(F.from_json(payload, schema)["Incidents"]).alias("pos", "i"))
+    e = lambda n: F.coalesce(F.col(f"i.{n}"), F.lit(""))
+    text = squash(F.concat(e("TypeDescription"), F.lit(" at "), e("Address"), F.lit(" on "), e("DateOccurred"), F.lit(". "), e("Description")))
+    url = F.concat(F.lit("https://www.crimemapping.com/map/agency/"), F.col("m").cast("string"))
+    return _documents(rows, keys, pos=F.col("pos"), url=url, document_type=F.lit("incident_log"), title=F.nullif(F.col("i.TypeDescription"), F.lit("")), raw_text=text, published_date=T.map_date(F.col("i.DateOccurred")), metadata=_meta(crimemapping_id=F.col("m"), case_number=F.col("i.CaseNumber")))
+
+
+def parse_open_data(responses: DataFrame, keys: list[str], url: str = "url", payload: str = "payload", offset: str = "offset") -> DataFrame:
+    """Rows of an open-data page: a JSON array of objects with unknown columns."""
+    rows = responses.select(*keys, F.col(url).alias("u"), F.col(offset).alias("o"), F.posexplode(F.from_json(payload, f"array<{M.MAP}>")).alias("pos", "row"))
+    row, u = F.col("row"), F.col("u")
+    kind = M.resolve(row, K.TYPE_FIELDS)
+    meta = _meta(domain=F.try_parse_url(u, F.lit("HOST")), dataset_id=U.dataset_id(u), offset=F.col("o"), report_number=M.resolve(row, K.REPORT_FIELDS), location=M.resolve(row, K.LOCATION_FIELDS))
+    return _documents(rows, keys, pos=F.col("pos"), url=u, document_type=D.open_data_type(kind, u), title=kind, raw_text=M.dump(row), published_date=T.open_data_date(M.resolve(row, K.DATE_FIELDS)), metadata=meta)
+
+
+def parse_features(responses: DataFrame, keys: list[str], url: str = "url", payload: str = "payload", offset: str = "offset") -> DataFrame:
+    """Features of a map layer's JSON; a payload with an error has none."""
+    schema = f"struct<features:array<struct<attributes:{M.MAP},geometry:string>>,error:string>"
+    parsed = F.from_json(payload, schema)
+    rows = responses.select(*keys, F.col(url).alias("u"), F.col(offset).alias("o"), parsed.alias("p")).filter("p.error is null").select(*keys, "u", "o", F.posexplode("p.features").alias("pos", "f"))
+    row, u = F.coalesce("f.attributes", F.create_map().cast(M.MAP)), F.col("u")
+    kind = M.resolve_any_case(row, K.FEATURE_TYPE_FIELDS)
+    dates = F.coalesce(*(T.epoch_ms(M.resolve_any_case(row, (c,))) for c in K.DATE_FIELDS))
+    meta = _meta(query_url=u, offset=F.col("o"), report_number=M.resolve_any_case(row, K.FEATURE_REPORT_FIELDS), location=M.resolve_any_case(row, K.LOCATION_FIELDS), geometry=F.col("f.geometry"))
+    return _documents(rows, keys, pos=F.col("pos"), url=u, document_type=D.open_data_type(kind, u), title=kind, raw_text=M.dump_features(row), published_date=dates, metadata=meta)
+
+
+def clean_page(text: Column) -> Column:
+    """A PDF page without hyphenation, bare page numbers and page footers."""
+    t = F.regexp_replace(F.regexp_replace(text, r"(?U)(\w)-\n(\w)", "$1$2"), r"(?dmU)^\s*\d+\s*$", "")
+    return squash(F.regexp_replace(t, r"(?dmU)^\s*[Pp]age\s+\d+\s+of\s+\d+\s*$", ""))
+
+
+def ocr_summary(confidences: Column) -> Column:
+    """Mean confidence (one place) of recognised pages and whether it is low; null without any."""
+    known = F.filter(confidences, lambda c: c.isNotNull() & (c != -1))
+    mean = F.aggregate(known, F.lit(0.0), lambda a, c: a + c) / F.size(known)
+    return F.when(F.size(known) > 0, F.struct(F.bround(mean, 1).alias("avg_ocr_confidence"), F.when(mean < 60, "low").otherwise("ok").alias("ocr_confidence")))
+
+
+def assemble_pdf(files: DataFrame, keys: list[str], url: str = "url", pages: str = "pages", ocr: str | None = None) -> DataFrame:
+    """Documents of page-wise texts: one a page if every page that isn't blank starts with a date
+    header, else one in all. Confidences keep their pages' numbers."""
+    conf = F.col(ocr) if ocr else F.transform(pages, lambda _: F.lit(None).cast("double"))
+    cleaned = F.zip_with(F.transform(pages, clean_page), conf, lambda t, c: F.struct(t.alias("t"), c.alias("c")))
+    rows = files.select(*keys, F.col(url).alias("u"), F.filter(cleaned, lambda p: p["t"] != "").alias("ps")).filter(F.size("ps") > 0)
+    rows = rows.withColumn("split", F.forall("ps", lambda p: T.pdf_header(p["t"]).isNotNull()))
+    whole = F.array(F.struct(squash(F.array_join(F.transform("ps", lambda p: p["t"]), "\n\n")).alias("t"), F.transform("ps", lambda p: p["c"]).alias("cs")))
+    each = F.transform("ps", lambda p: F.struct(p["t"].alias("t"), F.array(p["c"]).alias("cs")))
+    out = rows.select(*keys, "u", "split", F.size("ps").alias("n"), F.posexplode(F.when(F.col("split"), each).otherwise(whole)).alias("pos", "d"))
+    header = F.when(F.col("split"), T.pdf_header(F.col("d.t")))
+    o = ocr_summary(F.col("d.cs"))
+    meta = _meta(pdf_url=F.col("u"), page_count=F.when(F.col("split"), 1).otherwise(F.col("n")), section_index=F.when(F.col("split"), F.col("pos")), avg_ocr_confidence=o["avg_ocr_confidence"], ocr_confidence=o["ocr_confidence"])
+    return _documents(out, keys, pos=F.col("pos"), url=F.col("u"), document_type=D.pdf_type(F.col("u")), title=header, raw_text=F.col("d.t"), published_date=T.pdf_date(header), metadata=F.map_filter(meta, lambda _, v: v.isNotNull()))
