@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows
+from .shared import arrow_rows, fresh
 from .textops import slices, texts_of
 
 ERROR_RATE, MIN_PIECE, BLOCK_CHARS = 0.1, 8, 4_000_000
@@ -77,7 +77,8 @@ def myers(pattern: str, text: str, k: int, masks: dict[str, int] | None = None,
     masks = masks_of(pattern) if masks is None else masks
     m = len(pattern)
     full, top = (1 << m) - 1, 1 << (m - 1)
-    plus, minus, score, best, end = full, 0, m, k + 1, -1
+    plus, minus, score = full, 0, m
+    best, end = (m, 0) if m <= k else (k + 1, -1)
     get = masks.get
     for j, c in enumerate(text):
         eq = get(c, 0)
@@ -194,5 +195,6 @@ def leak_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that match no test item."""
-    hit = find_leaks(docs, items, **options).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
-    return docs.withColumn("__h", F.xxhash64("text")).join(hit, F.expr("doc_id <=> __id and __h = __hash"), "left_anti").select(*docs.columns)
+    i, h, j = fresh(docs, "__id", "__hash", "__own_hash")
+    hit = find_leaks(docs, items, **options).select(F.col("doc_id").alias(i), F.col("row_hash").alias(h)).distinct()
+    return docs.withColumn(j, F.xxhash64("text")).join(hit, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(j) == F.col(h)), "left_anti").select(*docs.columns)

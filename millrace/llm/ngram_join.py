@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import arrow_rows, stored
+from .shared import arrow_rows, fresh, stored
 from .textops import U64, shingles, slices, texts_of, words
 
 THRESHOLD, TARGET_RECALL, TREES, DEPTH = 0.8, 0.9995, 20, 8
@@ -245,7 +245,7 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """One row of each class: the one with the least doc_id, then the least text hash."""
     least = F.min(F.struct(F.col("doc_id").isNotNull().cast("int"), "doc_id", "row_hash")).alias("k")
-    kept = ngram_classes(docs, **options).groupBy("class_id").agg(least).select(F.col("k.doc_id").alias("__id"), F.col("k.row_hash").alias("__hash"))
-    rows = docs.withColumn("__h", F.xxhash64("text"))
-    joined = rows.join(kept, F.expr("doc_id <=> __id and __h = __hash"))
-    return joined.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    i, h, j = fresh(docs, "__id", "__hash", "__own_hash")
+    kept = ngram_classes(docs, **options).groupBy("class_id").agg(least).select(F.col("k.doc_id").alias(i), F.col("k.row_hash").alias(h))
+    joined = docs.withColumn(j, F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(j) == F.col(h)))
+    return joined.dropDuplicates([i, h]).select(*docs.columns)

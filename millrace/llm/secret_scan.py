@@ -19,7 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 SCOPE = 200
+ASSIGN_VALUE = r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}$"""
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # A run that fails its length leaves no other match inside it, so these may ask for it at once.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -67,23 +70,16 @@ def _near(one: Column, others: Column, scope: int) -> Column:
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, rank, end, kind) in order."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.drop("base", "spans", "__w", "__i", "__e").select(
-        "*",
-        _spans(text, "assign", ASSIGN, r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}$").alias("__a"),
-        _spans(text, "access", ACCESS).alias("__k"),
-        _spans(text, "hex", HEX).alias("__h"),
-        _spans(text, "identifier", IDENTIFIER).alias("__i"),
-        _spans(text, "weak", WEAK).alias("__w"),
-        _spans(text, "endpoint", ENDPOINT).alias("__e"),
-    )
-    c = F.col
-    names = F.concat("__k", "__i")
-    weak = F.filter(c("__w"), lambda w: _near(w, names, scope))
-    known = F.filter(c("__i"), lambda i: _near(i, F.concat(c("__w"), c("__a")), scope))
-    ends = F.filter(c("__e"), lambda e: _near(e, names, scope) & _near(e, F.concat(c("__w"), c("__a")), scope))
     kept = [n for n in docs.columns if n not in ("base", "spans")]
-    base = F.array_sort(F.concat("__a", "__k", "__h"))
-    return found.select(*kept, base.alias("base"), F.array_sort(F.concat("__a", "__k", "__h", known, weak, ends)).alias("spans"))
+    a, k, h, i, w, e = names = fresh(docs, "__assign", "__access", "__hex", "__identifier", "__weak", "__endpoint")
+    patterns = (ASSIGN, ACCESS, HEX, IDENTIFIER, WEAK, ENDPOINT)
+    values = (ASSIGN_VALUE, None, None, None, None, None)
+    found = docs.select(*kept, *(_spans(text, kind, p, v).alias(n) for kind, p, v, n in zip(KINDS, patterns, values, names, strict=True)))
+    known, secret = F.concat(k, i), F.concat(w, a)
+    weak = F.filter(w, lambda x: _near(x, known, scope))
+    told = F.filter(i, lambda x: _near(x, secret, scope))
+    ends = F.filter(e, lambda x: _near(x, known, scope) & _near(x, secret, scope))
+    return found.select(*kept, F.array_sort(F.concat(a, k, h)).alias("base"), F.array_sort(F.concat(a, k, h, told, weak, ends)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -92,8 +88,8 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by ``mask``; overlapping spans as one."""
-    found = scan(docs.select("*", F.col("text").alias("__text")), scope)
-    text = F.col("__text")
+    found = scan(docs.select(F.struct(*docs.columns).alias("row"), "text"), scope)
+    text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -102,7 +98,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataF
         return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     masked = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    kept = [F.when(text.isNull() | (F.size("spans") == 0), text).otherwise(masked).alias("text") if n == "text" else F.col(n) for n in docs.columns]
+    kept = [F.when(text.isNull() | (F.size("spans") == 0), text).otherwise(masked).alias(n) if n == "text" else F.col("row").getField(n).alias(n) for n in docs.columns]
     return found.select(*kept)
 
 

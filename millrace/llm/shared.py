@@ -7,28 +7,12 @@ lineage of iterative jobs stays short.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to Python workers once, wherever the driver has it from."""
-    sc = spark.sparkContext
-    if getattr(sc, "_millrace_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(os.path.join(top, "millrace")):
-            for n in names:
-                if n.endswith(".py"):
-                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), top))
-    sc.addPyFile(path)
-    sc._millrace_shipped = True
+from millrace.session import ship_package
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -74,3 +58,13 @@ def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
     makes sure that Python workers can import this package."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        out.append(n)
+    return out

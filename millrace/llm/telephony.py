@@ -154,7 +154,7 @@ def expand(media: DataFrame, rate: int = 16000) -> DataFrame:
                     while own < rate and len(pcm):
                         pcm, own = resample_double(pcm, np.zeros(1, np.int64)), 2 * own
                     out.append(wav(pcm.astype("<i2").tobytes(), PCM, own))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in media.columns if n != "media"), pa.array(out, pa.binary())], names=[*(n for n in media.columns if n != "media"), "media"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(out, pa.binary())], names=[*names, "media"])
 
     names = [n for n in media.columns if n != "media"]
     return media.select(*names, "media").mapInArrow(run, T.StructType([media.schema[n] for n in [*names, "media"]]))
