@@ -36,7 +36,7 @@ def first_working(links: DataFrame, key: str, pos: str, docs: str) -> DataFrame:
 def report_lines(rows: DataFrame, sep: str = "|") -> DataFrame:
     """Rows as delimited lines (column ``value``): nulls are empty, timestamps ISO."""
     fields = [F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if t.startswith("timestamp") else F.col(c).cast("string"), F.lit("")).alias(c) for c, t in rows.dtypes]
-    return rows.select(F.to_csv(F.struct(*fields), {"sep": sep}).alias("value"))
+    return rows.select(F.to_csv(F.struct(*fields), {"sep": sep, "emptyValue": ""}).alias("value"))
 
 
 def write_report(rows: DataFrame, path: str) -> None:
@@ -57,8 +57,8 @@ def read_pipe_file(spark, path: str, schema: str | None = None) -> DataFrame:
 def external_agencies(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """external_id and name of agencies in a JSON list, bare or under ``agencies``/``Agencies``."""
     item = "array<map<string,string>>"
-    wrapped = F.from_json(payload, f"struct<agencies:{item},Agencies:{item}>", {"mode": "PERMISSIVE"})
+    under = lambda n: F.from_json(F.get_json_object(payload, f"$.{n}"), item, {"mode": "PERMISSIVE"})
     bare = F.from_json(payload, item, {"mode": "PERMISSIVE"})
-    rows = payloads.select(F.explode(F.when(F.ltrim(payload).startswith("["), bare).otherwise(F.coalesce(wrapped["agencies"], wrapped["Agencies"]))).alias("m"))
+    rows = payloads.select(F.explode(F.when(F.ltrim(payload).startswith("["), bare).otherwise(F.coalesce(under("agencies"), under("Agencies")))).alias("m"))
     get = lambda *names: F.coalesce(*(F.try_element_at("m", F.lit(n)) for n in names))
     return rows.select(get("agencyId", "AgencyId", "id").alias("external_id"), get("agencyName", "name").alias("name"))
