@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_NEWEST = Window.partitionBy("agency_id").orderBy(F.desc("run_at"), F.desc("run_id"))
+
+def _newest():
+    return Window.partitionBy("agency_id").orderBy(F.desc("run_at"), F.desc("run_id"))
 
 
 def recent_n_runs(runs: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` runs of each agency with their rank."""
-    return runs.withColumn("rn", F.row_number().over(_NEWEST).cast("long")).filter(F.col("rn") <= n)
+    return runs.withColumn("rn", F.row_number().over(_newest()).cast("long")).filter(F.col("rn") <= n)
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
