@@ -191,8 +191,8 @@ def enrichment_totals(spark, sf_dir):
 
 
 # Names of two to four words over a small vocabulary, so that several candidates share words.
-_NAMES = """t as (select p_partkey as target_id, p_name || ' ' || p_type || case when p_partkey % 2 = 0 then ' Police Department' else ' Sheriff''s Office' end as name from part where p_partkey < 400),
-    c as (select p_partkey as candidate_id, p_name || ' ' || p_type || case p_partkey % 3 when 0 then ' Police' when 1 then ' ' || p_brand else '' end as name from part where p_partkey >= 400)"""
+_NAMES = """t as (select p_partkey as target_id, p_name || ' ' || p_type || case when p_partkey % 2 = 0 then ' Police Department' else ' Sheriff''s Office' end as name from part where p_partkey % 5 = 0),
+    c as (select p_partkey as candidate_id, p_name || ' ' || p_type || case p_partkey % 3 when 0 then ' Police' when 1 then ' ' || p_brand else '' end as name from part where p_partkey % 5 <> 0)"""
 _NORM = r"trim(regexp_replace(regexp_replace(lower(name), '\b(police department|sheriff.s office|sheriff department|police|sheriff|department|office)\b', '', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -204,6 +204,6 @@ _NORM = r"trim(regexp_replace(regexp_replace(lower(name), '\b(police department|
 )
 def fuzzy_name_match(spark, sf_dir):
     (part,) = load(spark, sf_dir, "part")
-    t = part.filter("p_partkey < 400").selectExpr("p_partkey as target_id", "p_name || ' ' || p_type || case when p_partkey % 2 = 0 then ' Police Department' else \" Sheriff's Office\" end as name")
-    c = part.filter("p_partkey >= 400").selectExpr("p_partkey as candidate_id", "p_name || ' ' || p_type || case p_partkey % 3 when 0 then ' Police' when 1 then ' ' || p_brand else '' end as name")
+    t = part.filter("p_partkey % 5 = 0").selectExpr("p_partkey as target_id", "p_name || ' ' || p_type || case when p_partkey % 2 = 0 then ' Police Department' else \" Sheriff's Office\" end as name")
+    c = part.filter("p_partkey % 5 <> 0").selectExpr("p_partkey as candidate_id", "p_name || ' ' || p_type || case p_partkey % 3 when 0 then ' Police' when 1 then ' ' || p_brand else '' end as name")
     return M.fuzzy_match(t, c).select("target_id", "candidate_id", F.round("overlap", 6).alias("overlap"))
