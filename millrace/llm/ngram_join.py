@@ -201,7 +201,8 @@ def exact_links(texts: list[str], copies: np.ndarray, side: np.ndarray, same: bo
 
 
 def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """doc_id, row_hash, class_id (least doc_id of the class), n_links, class_size of every row.
+    """doc_id, row_hash, class_key, class_id (least doc_id of the class), n_links, class_size of every
+    row. Classes are told apart by class_key: rows with equal doc_ids may lie in different ones.
 
     ``n_links`` counts the other rows whose shingle sets have at least the threshold's Jaccard
     similarity with this row's; ``row_hash`` is xxhash64 of the text.
@@ -238,14 +239,14 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
         .select("set_id", "copies", "least", F.coalesce("root", "set_id").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     )
     named = ids.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    per_set = ids.join(named, "root").selectExpr("set_id", "class_id", "class_size", "links + copies - 1 as n_links")
-    return sigs.select("doc_id", "row_hash", "set_id").join(per_set, "set_id").select("doc_id", "row_hash", "class_id", "n_links", "class_size")
+    per_set = ids.join(named, "root").selectExpr("set_id", "root as class_key", "class_id", "class_size", "links + copies - 1 as n_links")
+    return sigs.select("doc_id", "row_hash", "set_id").join(per_set, "set_id").select("doc_id", "row_hash", "class_key", "class_id", "n_links", "class_size")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """One row of each class: the one with the least doc_id, then the least text hash."""
     least = F.min(F.struct(F.col("doc_id").isNotNull().cast("int"), "doc_id", "row_hash")).alias("k")
     i, h, j = fresh(docs, "__id", "__hash", "__own_hash")
-    kept = ngram_classes(docs, **options).groupBy("class_id").agg(least).select(F.col("k.doc_id").alias(i), F.col("k.row_hash").alias(h))
+    kept = ngram_classes(docs, **options).groupBy("class_key").agg(least).select(F.col("k.doc_id").alias(i), F.col("k.row_hash").alias(h))
     joined = docs.withColumn(j, F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(j) == F.col(h)))
     return joined.dropDuplicates([i, h]).select(*docs.columns)

@@ -83,3 +83,17 @@ def test_pipeline_matches_plain_python(spark, tmp_path):
 def test_stage_names_follow_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "decontamination", "secret_scans", "packing"]
     assert telephony.UNIT == 64
+
+
+def test_stages_on_edge_rows(spark, tmp_path):
+    from .test_operators import edge_rows, table
+
+    spark.createDataFrame([(7, 0, 1), (None, None, None), (3, None, None), *((i, 1, 0) for i in (2, 4, 5, 6, 8, 9))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (None, "zzzz"), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows in (edge_rows(), []):
+        docs = table(spark, rows)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            assert out.count() == (8 if name == "ngram_jaccard_join" and rows else len(rows)), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).filter("doc_id = 1").count() == (1 if rows else 0)
