@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import clean as C
+from millrace.functions import constants as K
 from millrace.functions import dates as T
 from millrace.functions import maps as M
 from millrace.functions import urls as U
@@ -64,20 +65,32 @@ def clean_protected_lines(spark, sf_dir):
     return rows.select("doc_id", C.protected(F.col("kept")).alias("kept"), C.protected(F.col("noise")).alias("noise"))
 
 
-_LEFT = {  # what the rules of each platform leave of the noise lines, by number
-    "civicplus": {0: "  |  ", 1: "", 2: "  now", 3: "  Fine", 4: " "},
-    "nixle": {7: " . "},
-    "crimemapping": {5: "   ", 6: ""},
-    "pdf": {8: ""},
-    "default": {3: "  Fine", 9: ""},
-}
+# Lines of plain letters, so that engines with other ideas of a word agree.
+_LINES = f"{_NOISE} || chr(10) || {_KEPT} || chr(10) || 'Nothing to see | © 2024 Town of Oak. Follow us on X' || chr(10) || 'Show all' || chr(10) || 'FRESNO VALLEY POLICE'"
+_PLATFORM = "case doc_id % 6 when 0 then 'civicplus' when 1 then 'nixle' when 2 then 'crimemapping' when 3 then 'pdf' when 4 then 'RAVE' else 'unlisted' end"
 
 
-@query("clean_boilerplate")
+def _cleaned_line(rules):
+    line = "x"
+    for pattern, ignore_case in rules:
+        flags = "(?is)" if ignore_case else "(?s)"
+        line = f"regexp_replace({line}, '{flags}{pattern}{'.*$' if pattern[0] == '^' else ''}', '{'' if pattern[0] == '^' else ' '}', 'g')"
+    return line
+
+
+def _cleaned(platform):
+    safe = " or ".join(f"regexp_matches(x, '{'(?i)' if i else ''}{p}')" for p, i in K.PROTECTED)
+    return f"array_to_string(list_transform(string_split(t, chr(10)), lambda x: case when {safe} then x else {_cleaned_line(K.BOILERPLATE[platform])} end), chr(10))"
+
+
+@query(
+    "clean_boilerplate",
+    f"""with l as (select doc_id, {_PLATFORM} as platform, {_LINES} as t from docs) select doc_id, platform, case platform when 'civicplus' then {_cleaned('civicplus')} when 'nixle' then {_cleaned('nixle')} when 'RAVE' then {_cleaned('nixle')}
+        when 'crimemapping' then {_cleaned('crimemapping')} when 'pdf' then {_cleaned('pdf')} else {_cleaned('default')} end as cleaned from l""",
+)
 def clean_boilerplate(spark, sf_dir):
-    """Lines after the platform's rules, with how many of each document changed."""
-    out = C.remove_boilerplate(F.col("t"), F.col("platform"))
-    return _rows(spark, sf_dir).withColumn("cleaned", out).select("doc_id", "platform", "cleaned", (F.col("cleaned") != F.col("t")).alias("changed"))
+    rows = load(spark, sf_dir, "docs")[0].selectExpr("doc_id", f"{_PLATFORM} as platform", f"{_LINES} as t")
+    return rows.select("doc_id", "platform", C.remove_boilerplate(F.col("t"), F.col("platform")).alias("cleaned"))
 
 
 @query("quality_score", _with(r"""select doc_id, cast(case when length(trim(b, ' ' || chr(9) || chr(10))) < 50 then least(30, s) else s end as int) as score from (select doc_id, b, least(100, greatest(0, 100 - cast(trunc((length(t) - length(b)) / length(t) * 80) as int))
@@ -92,16 +105,16 @@ def quality_score(spark, sf_dir):
     return rows.select("doc_id", C.quality_score(F.col("t"), F.col("b")).alias("score"))
 
 
-@query("clean_strip_html")
+@query("clean_strip_html", "select p_partkey, chr(10) || chr(10) || p_name || chr(10) || p_type || ' & more' || chr(10) || chr(10) || ' tail' || chr(10) || chr(10) || p_brand || chr(10) || chr(10) as text from part")
 def clean_strip_html(spark, sf_dir):
-    return load(spark, sf_dir, "pages")[0].select("page_id", C.strip_html(F.col("html")).alias("text"))
+    page = F.expr("'<style>p{}</style><p class=\"a\">' || p_name || '<br/>' || p_type || ' &amp; <b>more</b></p><!-- ad --> tail<script>var t=\"</p>\";</script><div>' || p_brand || '</div>'")
+    return load(spark, sf_dir, "part")[0].select("p_partkey", C.strip_html(page).alias("text"))
 
 
-@query("clean_dedup_sentences")
+@query("clean_dedup_sentences", "select p_partkey, 'The ' || p_name || ' was found near the river bank today.' || chr(10) || chr(10) || 'Quite another ' || p_type || ' thing happened.' || chr(10) || chr(10) || 'No.' as text from part")
 def clean_dedup_sentences(spark, sf_dir):
-    (docs,) = load(spark, sf_dir, "docs")
-    t = F.expr("substring(raw_text, 1, 800) || ' ' || substring(raw_text, 1, 400) || '. Once More.'")
-    return docs.select("doc_id", C.dedup_sentences(t).alias("text"))
+    t = F.expr("'The ' || p_name || ' was found near the river bank today. The ' || p_name || ' was found near the river bank todaY! Quite another ' || p_type || ' thing happened.' || chr(10) || chr(10) || chr(10) || ' No. No. ' ")
+    return load(spark, sf_dir, "part")[0].select("p_partkey", C.dedup_sentences(t).alias("text"))
 
 
 @query("clean_unescape", "select doc_id, 'a & b < c > d \" ' || chr(233) || ' ' || cast(doc_id as string) as text from docs")
@@ -109,11 +122,21 @@ def clean_unescape(spark, sf_dir):
     return load(spark, sf_dir, "docs")[0].select("doc_id", C.unescape(F.expr("'a &amp; b &lt; c &gt; d &quot; &eacute; ' || cast(doc_id as string)")).alias("text"))
 
 
-@query("clean_document")
+_PAGE = "'<html><head><style>x{}</style></head><p>Home</p><p>Officers met at ' || cast(p_partkey as string) || ' Oak St. on 1/2/2024 about case 24-' || cast(p_partkey as string) || '.</p><p>Tom &amp;amp; ' || p_name || '</p><p>Page 1 of 2</p><p>Back to top</p></html>'"
+_CLEAN = "'Officers met at ' || cast(p_partkey as string) || ' Oak St. on 1/2/2024 about case 24-' || cast(p_partkey as string) || '.' || chr(10) || chr(10) || 'Tom & ' || p_name"
+
+
+@query("clean_document", f"with d as (select p_partkey, {_PAGE} as page, {_CLEAN} as cleaned_text from part) select p_partkey, cleaned_text, cast(least(100, 100 - cast(trunc((length(page) - length(cleaned_text)) / length(page) * 80) as int) + 25) as int) as quality_score from d")
 def clean_document(spark, sf_dir):
-    (pages,) = load(spark, sf_dir, "pages")
+    rows = load(spark, sf_dir, "part")[0].selectExpr("p_partkey", f"{_PAGE} as page")
+    return rows.select("p_partkey", C.clean(F.col("page"), F.lit(None).cast("string")).alias("c")).select("p_partkey", "c.cleaned_text", "c.quality_score")
+
+
+@query("clean_pages")
+def clean_pages(spark, sf_dir):
+    """Whole raw web pages, by platform; unit tests hold the cleaner against stated results."""
     platform = F.expr("case page_id % 4 when 0 then 'civicplus' when 1 then 'nixle' when 2 then 'pdf' else null end")
-    return pages.select("page_id", C.clean(F.col("html"), platform).alias("c")).select("page_id", "c.cleaned_text", "c.quality_score")
+    return load(spark, sf_dir, "pages")[0].select("page_id", C.clean(F.col("html"), platform).alias("c")).select("page_id", "c.cleaned_text", "c.quality_score")
 
 
 @query("review_candidates", "select doc_id, 'low_parse_quality' as reason, cast(least(100, length(raw_text) // 40) as int) as score from docs where least(100, length(raw_text) // 40) < 30")
