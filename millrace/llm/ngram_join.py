@@ -124,26 +124,64 @@ def _candidates(reps: DataFrame, depth: int, trees: int, full_depth: int, thresh
     blocks = _chunked(rows, "key", F.expr(f"ceil(n / {SIG_BLOCK})")).drop("n").join(reps.select("set_id", "sig"), "set_id")
     least = int(np.ceil((threshold - MARGIN) * trees * full_depth))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        same = g["ci"].iloc[0] == g["cj"].iloc[0]
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), -1)
-        ids, side = g["set_id"].to_numpy(), (g["chunk"] == g["ci"].iloc[0]).to_numpy()
-        forest, left = _Forest(len(g)), np.ones(len(g), bool)
-        queue: list[int] = []
-        for seed in range(len(g)):
-            if not left[seed]:
-                continue
-            left[seed], queue = False, [seed]
-            while queue:
-                i = queue.pop()
-                rest = np.flatnonzero(left if same else left & (side != side[i]))
-                near = rest[(sig[rest] == sig[i]).sum(1) >= least]
-                forest.edges += [(i, j) for j in near.tolist()]
-                left[near] = False
-                queue += near.tolist()
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in forest.edges], columns=["a", "b"])
-
-    return blocks.select("key", "ci", "cj", "chunk", "set_id", "sig").groupBy("key", "ci", "cj").applyInPandas(run, "a binary, b binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def forest(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
+            """Edges of all groups but the last one, which may go on; or of that, too."""
+            key, ci, cj, chunk = (table.column(n).to_numpy() for n in ("key", "ci", "cj", "chunk"))
+            new = np.flatnonzero((key[1:] != key[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])) + 1
+            start = np.concatenate([[0], new])
+            end = np.append(new, len(key))
+            if not last:
+                start, end = start[:-1], end[:-1]
+            done = int(end[-1]) if len(end) else 0
+            if not done:
+                return None, table
+            whole = table.slice(0, done).combine_chunks()
+            sig = np.frombuffer(b"".join(whole.column("sig").to_pylist()), np.uint16).reshape(done, -1)
+            two = start[end - start == 2]
+            near = (sig[two] == sig[two + 1]).sum(1) >= least
+            near &= (ci[two] == cj[two]) | (chunk[two] != chunk[two + 1])
+            edges = list(zip(two[near].tolist(), (two[near] + 1).tolist(), strict=True))
+            for x, y in zip(start[end - start > 2].tolist(), end[end - start > 2].tolist(), strict=True):
+                edges += [(x + i, x + j) for i, j in _spanning(sig[x:y], chunk[x:y] == ci[x], ci[x] == cj[x], least)]
+            ids = whole.column("set_id").to_pylist()
+            out = pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in edges], pa.binary()), pa.array([ids[j] for _, j in edges], pa.binary())], names=["a", "b"])
+            return out, table.slice(done)
+
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= 4 * SIG_BLOCK:
+                out, rest = forest(pa.Table.from_batches(held), False)
+                held, rows = rest.to_batches(), rest.num_rows
+                if out is not None:
+                    yield out
+        if rows:
+            yield forest(pa.Table.from_batches(held), True)[0]
+
+    arrow_rows(reps.sparkSession, SIG_BLOCK)
+    dealt = blocks.select("key", "ci", "cj", "chunk", "set_id", "sig").repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def _spanning(sig: np.ndarray, side: np.ndarray, same: bool, least: int) -> list[tuple[int, int]]:
+    """A spanning forest of the rows that agree in ``least`` values, across sides unless ``same``."""
+    left, edges = np.ones(len(sig), bool), []
+    for seed in range(len(sig)):
+        if not left[seed]:
+            continue
+        left[seed], queue = False, [seed]
+        while queue:
+            i = queue.pop()
+            rest = np.flatnonzero(left if same else left & (side != side[i]))
+            near = rest[(sig[rest] == sig[i]).sum(1) >= least]
+            edges += [(i, j) for j in near.tolist()]
+            left[near] = False
+            queue += near.tolist()
+    return edges
 
 
 def exact_links(texts: list[str], copies: np.ndarray, side: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -212,6 +250,7 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     reps = stored(reps, "representatives")
     full = reps.filter("shingles > 0")
     near = stored(_candidates(full, matched_depth(threshold, trees, depth, target_recall), trees, depth, threshold), "candidates")
+    arrow_rows(docs.sparkSession)
     groups = connected_components(near).withColumnsRenamed({"node": "set_id", "root": "group"})
     members = stored(groups.join(reps, "set_id").select("set_id", "group", "copies", "shingles", "at"), "members")
     total = members.groupBy("group").agg(F.sum("shingles").alias("n"), F.count("*").alias("m"))
