@@ -17,7 +17,7 @@ from .base import query
 _NOISE = """case doc_id % 10 when 0 then 'Share this page | Print | Email' when 1 then 'Home > Residents' when 2 then 'Sign up for alerts now' when 3 then 'This site uses cookies to work. Fine' when 4 then 'Powered by CivicPlus'
     when 5 then 'View map Download report' when 6 then 'Status:' when 7 then 'Sent via Nixle. Reply STOP to cancel' when 8 then 'CONFIDENTIAL' else 'Back to top' end"""
 _KEPT = """case doc_id % 7 when 0 then 'Case No. 24-0007 Home > Residents' when 1 then '12 N Main Street St. view map' when 2 then 'On 1/2/2024 share this page' when 3 then '2024-05-06 back to top' when 4 then 'January 5, 2024 powered by civicplus' when 5 then 'Call 555-123-4567 view map' else '(555) 123-4567 view map' end"""
-_TEXT = f"substring(raw_text, 1, 150) || chr(10) || {_NOISE} || chr(10) || {_KEPT} || chr(10) || '  Page ' || cast(doc_id % 9 as string) || ' of 9  ' || chr(10) || chr(10) || chr(10) || 'exam-' || chr(10) || 'ple' || chr(9) || ' end  '"
+_TEXT = f"raw_text || chr(10) || {_NOISE} || chr(10) || {_KEPT} || chr(10) || '  Page ' || cast(doc_id % 9 as string) || ' of 9  ' || chr(10) || chr(10) || chr(10) || 'exam-' || chr(10) || 'ple' || chr(9) || ' end  '"
 _CLEAN_DOCS = f"select doc_id, lower(platform_type) as platform, {_TEXT} as t from docs"
 
 
