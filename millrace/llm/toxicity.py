@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .shared import arrow_rows, stored
 from .textops import U64, slices, texts_of, words
 
-MAX_TRAIN, VOCABULARY, LEAST_GAIN, FACETS, FOLDS, L2, REJECT = 40_000, 2048, 24.0, 4, 3, 0.1, 0.5
+MAX_TRAIN, VOCABULARY, LEAST_GAIN, FACETS, FOLDS, L2, REJECT = 40_000, 2048, 10.0, 4, 3, 0.1, 0.5
 
 
 class Rows:
