@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from millrace.llm import toxicity
@@ -42,3 +43,20 @@ def test_toxicity_sees_wordings_with_few_labels(spark):
     new = spark.createDataFrame([(1000, "zorro malo, talk about the town"), (1001, "nasty slur, talk about the town"), (1002, "talk about the town")], "doc_id long, text string")
     got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(new, chain).collect()}
     assert got == {1000: 1, 1001: 1, 1002: 0}
+
+
+def test_dates_of_every_event(spark, tmp_path):
+    spark.range(2990, 3050).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i % 360)
+    at = lambda i: day(i) + dt.timedelta(hours=i % 24, minutes=i % 60)
+    epoch = lambda i: dt.datetime(1970, 1, 1) + dt.timedelta(days=i)
+    brute = {
+        "parse_dates_prefixed": lambda i: None if i % 6 == 5 else day(i),
+        "parse_dates_multi": lambda i: None if i % 5 == 4 else at(i) if i % 5 in (1, 2) else day(i),
+        "parse_dates_iso19": at,
+        "parse_pdf_header_date": lambda i: None if i % 4 == 3 else day(i),
+        "parse_epoch_ms": lambda i: epoch(i) if i % 5 in (0, 1) else dt.datetime(2024, 1, 15, 8, 30) if i % 5 == 2 else None,
+    }
+    for name, rule in brute.items():
+        got = {r.event_id: str(r.at) for r in registered.queries()[name](spark, str(tmp_path)).selectExpr("event_id", "cast(at as string) as at").collect()}
+        assert got == {i: str(rule(i)) for i in range(2990, 3050)}, name
