@@ -135,14 +135,14 @@ def ocr_confidence(spark, sf_dir):
 
 # Candidate links of a home page.
 _NEWS = "news|press|release|alert|blotter|arrest|log|crime|activity|incident"
-_LINKS = f"""links as (select p_partkey, i, case i when 0 then 'https://t' || {_P} || '.org/news' when 1 then 'https://t' || {_P} || '.org/Police-Blotter' else 'https://t' || {_P} || '.org/dir/crime/' || {_P} end as url from part, (values (0), (1), (2)) v(i) where p_partkey < 300)"""
+_LINKS = f"""links as (select p_partkey, i, case i when 0 then 'https://t' || {_P} || '.org/news' when 1 then 'https://t' || {_P} || '.org/Police-Blotter' else 'https://t' || {_P} || '.org/dir/crime/' || {_P} end as url from part, (values (0), (1), (2)) v(i))"""
 
 
 def _home_links(spark, sf_dir):
     from millrace.sources.discovery import candidate_links
 
     html = f"""'<a href=" /news ">a</a><a href="#news">b</a><a href="https://other.org/news">c</a><a href="mailto:news@x.org">d</a><a href="/about">e</a><a href=''Police-Blotter''>f</a><a href="/news">g</a><a href="dir/crime/' || {_P} || '">h</a>'"""
-    rows = load(spark, sf_dir, "part")[0].filter("p_partkey < 300").selectExpr("p_partkey", f"'https://t' || {_P} || '.org/' as homepage", f"{html} as html".replace("''", "\\'"))
+    rows = load(spark, sf_dir, "part")[0].selectExpr("p_partkey", f"'https://t' || {_P} || '.org/' as homepage", f"{html} as html".replace("''", "\\'"))
     return candidate_links(rows, "p_partkey", "homepage", "html")
 
 
@@ -159,10 +159,10 @@ def first_working_url(spark, sf_dir):
     return first_working(links, "p_partkey", "pos", "docs")
 
 
-@query("scan_csv_pipe", "select c_custkey as id, c_name || ' PD' as name, case when c_custkey % 2 = 0 then 'yes' else 'no' end as active from customer where c_custkey < 200")
+@query("scan_csv_pipe", "select c_custkey as id, c_name || ' PD' as name, case when c_custkey % 2 = 0 then 'yes' else 'no' end as active from customer")
 def scan_csv_pipe(spark, sf_dir):
     """A pipe-delimited registry file, written by the report sink and read back."""
     from millrace.sources.discovery import read_pipe_csv, report_lines
 
-    rows = load(spark, sf_dir, "customer")[0].filter("c_custkey < 200").selectExpr("c_custkey as id", "c_name || ' PD' as name", "case when c_custkey % 2 = 0 then 'yes' else 'no' end as active")
+    rows = load(spark, sf_dir, "customer")[0].selectExpr("c_custkey as id", "c_name || ' PD' as name", "case when c_custkey % 2 = 0 then 'yes' else 'no' end as active")
     return read_pipe_csv(report_lines(rows), "id bigint, name string, active string")

@@ -60,3 +60,13 @@ def test_dates_of_every_event(spark, tmp_path):
     for name, rule in brute.items():
         got = {r.event_id: str(r.at) for r in registered.queries()[name](spark, str(tmp_path)).selectExpr("event_id", "cast(at as string) as at").collect()}
         assert got == {i: str(rule(i)) for i in range(2990, 3050)}, name
+
+
+def test_links_of_every_part_and_lines_of_every_customer(spark, tmp_path):
+    spark.range(298, 303).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(198, 203).selectExpr("id as c_custkey", "'C' || id as c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    run = lambda name: {tuple(r) for r in registered.queries()[name](spark, str(tmp_path)).collect()}
+    links = {(p, i, f"https://t{p}.org/{path}") for p in range(298, 303) for i, path in enumerate(("news", "Police-Blotter", f"dir/crime/{p}"))}
+    assert run("candidate_links") == links
+    assert run("first_working_url") == {(p, url) for p, i, url in links if (p + i) % 3 == 1}
+    assert run("scan_csv_pipe") == {(c, f"C{c} PD", "no" if c % 2 else "yes") for c in range(198, 203)}
