@@ -58,15 +58,21 @@ def squash_whitespace(spark, sf_dir):
     return _rows(spark, sf_dir).select("doc_id", M.squash(F.col("t")).alias("t"))
 
 
-@query("clean_protected_lines", _with(f"select doc_id, true as kept, false as noise from c where doc_id % 10 in (0, 1, 2, 4)"))
+@query("clean_protected_lines", _with("select doc_id, true as kept, false as noise from c"))
 def clean_protected_lines(spark, sf_dir):
     (docs,) = load(spark, sf_dir, "docs")
-    rows = docs.filter("doc_id % 10 in (0, 1, 2, 4)").selectExpr("doc_id", f"{_KEPT} as kept", f"{_NOISE} as noise")
+    rows = docs.selectExpr("doc_id", f"{_KEPT} as kept", f"{_NOISE} as noise")
     return rows.select("doc_id", C.protected(F.col("kept")).alias("kept"), C.protected(F.col("noise")).alias("noise"))
 
 
-# Lines of plain letters, so that engines with other ideas of a word agree.
-_LINES = f"{_NOISE} || chr(10) || {_KEPT} || chr(10) || 'Nothing to see | © 2024 Town of Oak. Follow us on X' || chr(10) || 'Show all' || chr(10) || 'FRESNO VALLEY POLICE'"
+@query("clean_protected_text")
+def clean_protected_text(spark, sf_dir):
+    """How many lines of each whole text are protected; no oracle, a unit test has brute force."""
+    return _rows(spark, sf_dir).select("doc_id", F.when(F.col("t").isNotNull(), F.size(F.filter(F.split("t", "\n", -1), C.protected))).alias("lines"))
+
+
+# The whole text, then lines that reach every rule.
+_LINES = f"raw_text || chr(10) || {_NOISE} || chr(10) || {_KEPT} || chr(10) || 'Nothing to see | © 2024 Town of Oak. Follow us on X' || chr(10) || 'Show all' || chr(10) || 'FRESNO VALLEY POLICE'"
 _PLATFORM = "case doc_id % 6 when 0 then 'civicplus' when 1 then 'nixle' when 2 then 'crimemapping' when 3 then 'pdf' when 4 then 'RAVE' else 'unlisted' end"
 
 
@@ -97,14 +103,20 @@ def clean_boilerplate(spark, sf_dir):
     + case when regexp_matches(b, '(?i)\b(?:\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d{2}-\d{2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},\s+\d{4})\b') then 10 else 0 end
     + case when regexp_matches(b, '(?i)\b(CAD|DR|case|report\s+no\.?|incident)[#:\s]+[\w-]+') then 10 else 0 end
     + case when regexp_matches(b, '(?i)\b\d+\s+(?:[NSEW]\.?\s+)?[A-Za-z][\w\s]+\s+(?:St|Ave|Blvd|Dr|Rd|Ln|Way|Ct|Pl|Hwy|Fwy|Pkwy|Cir|Ter|Loop)\.?\b') then 5 else 0 end) as s
-    from (select doc_id, k as t, substring(k, 1, cast(doc_id % 60 as int)) || ' ' || substring(k, 30, 40) as b from (select doc_id, 'Report of ' || """ + _KEPT + r""" || ' and so on, nothing more to say about it at this time of the day' as k from docs where doc_id % 7 <> 5)))"""))
+    from (select doc_id, k as t, substring(k, 1, cast(doc_id % 60 as int)) || ' ' || substring(k, 30, 40) as b from (select doc_id, 'Report of ' || """ + _KEPT + r""" || ' and so on, nothing more to say about it at this time of the day' as k from docs)))"""))
 def quality_score(spark, sf_dir):
     (docs,) = load(spark, sf_dir, "docs")
-    rows = docs.filter("doc_id % 7 <> 5").selectExpr("doc_id", f"'Report of ' || {_KEPT} || ' and so on, nothing more to say about it at this time of the day' as t")
+    rows = docs.selectExpr("doc_id", f"'Report of ' || {_KEPT} || ' and so on, nothing more to say about it at this time of the day' as t")
     rows = rows.selectExpr("doc_id", "t", "substring(t, 1, cast(doc_id % 60 as int)) || ' ' || substring(t, 30, 40) as b")
     return rows.select("doc_id", C.quality_score(F.col("t"), F.col("b")).alias("score"))
 
 
+@query("quality_score_text")
+def quality_score_text(spark, sf_dir):
+    """Whole texts and what single blanks leave of them; no oracle, a unit test has brute force."""
+    return _rows(spark, sf_dir).select("doc_id", C.quality_score(F.col("t"), M.squash(F.col("t"))).alias("score"))
+
+
 @query("clean_strip_html", "select p_partkey, chr(10) || chr(10) || p_name || chr(10) || p_type || ' & more' || chr(10) || chr(10) || ' tail' || chr(10) || chr(10) || p_brand || chr(10) || chr(10) as text from part")
 def clean_strip_html(spark, sf_dir):
     page = F.expr("'<style>p{}</style><p class=\"a\">' || p_name || '<br/>' || p_type || ' &amp; <b>more</b></p><!-- ad --> tail<script>var t=\"</p>\";</script><div>' || p_brand || '</div>'")

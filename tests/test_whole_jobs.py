@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import re
 
+from millrace.functions import constants as K
 from millrace.llm import toxicity
 from millrace.plans import registered
+from millrace.plans.text import _rows
 
 #: What the cleaning rules meet, behind a longer beginning than any prefix that was once taken.
 LONG = "plain words " * 40 + "\nbro-\nken\n Page 3 of 12 \n\n\n\n two  \t words \x07\xad\n" + "more words " * 40
@@ -70,3 +72,21 @@ def test_links_of_every_part_and_lines_of_every_customer(spark, tmp_path):
     assert run("candidate_links") == links
     assert run("first_working_url") == {(p, url) for p, i, url in links if (p + i) % 3 == 1}
     assert run("scan_csv_pipe") == {(c, f"C{c} PD", "no" if c % 2 else "yes") for c in range(198, 203)}
+
+
+def test_scores_and_protected_lines_of_whole_texts(spark, tmp_path):
+    tail = "\n12 Café Nuñez St. is near\nShare this page | Print | Email\ncase 24-7, 1/2/2024\nnothing"
+    rows = [(i, LONG + tail + str(i), "en", "s", 0) for i in range(14)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: {r.doc_id: r for r in registered.queries()[name](spark, str(tmp_path)).collect()}
+    assert set(run("quality_score")) == set(run("clean_protected_lines")) == set(range(14))
+    cleaned = run("clean_boilerplate")
+    assert all(LONG.split("\n")[0] in r.cleaned and "case 24-7, 1/2/2024" in r.cleaned for r in cleaned.values())
+    assert "Share this page" not in cleaned[0].cleaned and "Share this page" in cleaned[2].cleaned
+    texts = {r.doc_id: r.t for r in _rows(spark, str(tmp_path)).collect()}
+    lines, scores = run("clean_protected_text"), run("quality_score_text")
+    for i, t in texts.items():
+        assert lines[i].lines == sum(any(re.search(p, x, re.I if ci else 0) for p, ci in K.PROTECTED) for x in t.split("\n"))
+        b = " ".join(t.split())
+        bonus = sum(n for p, n in ((K.SCORE_DATE, 10), (K.SCORE_ID, 10), (K.SCORE_ADDRESS, 5)) if re.search(p, b, re.I))
+        assert scores[i].score == min(100, max(0, 100 - int((len(t) - len(b)) / len(t) * 80)) + bonus)
