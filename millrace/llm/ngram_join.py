@@ -1,10 +1,11 @@
-"""N-gram Jaccard self-join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard self-join: MinHash LSH by fixed banding, then exact verification.
 
 1. Signatures: a document's set of five-word shingles gives ``trees * depth`` MinHash values
-   of 16 bits. A tree is a prefix trie over its ``depth`` values, held as sorted prefixes.
+   of 16 bits. A tree is a band of ``depth`` values; nothing is sorted and there are no tries.
    Documents with equal shingle sets are one class representative with a count from here on.
-2. Prefixes: matching starts at whole tries' depth and shortens the prefix until the share of
-   pairs at the threshold that meet in some trie reaches the target recall.
+2. Prefixes: the constants alone fix one depth for all rows, the greatest at which the share of
+   pairs at the threshold that meet in some tree reaches the target recall. Prefixes are hashed
+   and grouped by equality.
 3. Candidates: within a prefix group, signatures that agree on clearly less than the threshold
    are no candidates (the margin is six standard deviations). Groups are dealt out in blocks
    of bounded size; a block returns a spanning forest of its candidate pairs, never the pairs.
