@@ -7,13 +7,17 @@ half taking its share of the budget: where an item matches, some piece's hit als
 within the budget of each larger part that holds it. So Myers' bit-parallel algorithm
 verifies short parts first, and whole items only where all parts around a hit agreed.
 
-Item and document are compared in lower case with white space runs as one space. Items go
-through in blocks of bounded size, each broadcast on its own, against all documents; a
-document's result doesn't depend on the blocks.
+Item and document are compared in lower case with white space runs as one space; ``start`` and
+``end`` of a match are places in that normalised text. Items go through in blocks of bounded
+size. One block is one pass over the documents. Several are a pass each: a block's matches are
+written to the shared folder and its broadcast is freed before the next one is read, so memory
+doesn't grow with the items; a document's result doesn't depend on the blocks.
 
 Defined cases: null or empty texts have no matches; items without text match nothing; equal
-items match each under their own id; rows with equal doc_ids match each; an item of few
-characters must occur exactly; an empty table gives no rows; other columns are ignored.
+items match each under their own id; rows with equal doc_ids match each, equal rows too; of
+windows with equal distances the first is told; an item of few characters must occur exactly;
+a very long text is searched whole, in linear time but for its matches; an empty table gives
+no rows; other columns, of whatever name, are ignored by the report and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, fresh
+from .shared import arrow_rows, fresh, stored
 from .textops import slices, texts_of
 
 ERROR_RATE, MIN_PIECE, BLOCK_CHARS = 0.1, 8, 4_000_000
@@ -171,11 +176,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
     spark = docs.sparkSession
     arrow_rows(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), "text")
-    out = spark.createDataFrame([], HITS)
-    for block in _blocks(items, block_chars):
+
+    def hits(block: list[tuple[int, str]]) -> tuple[DataFrame, Broadcast]:
         shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, error_rate)
             for batch in batches:
                 for part in slices(batch, "text"):
@@ -183,7 +188,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "row_hash", "item_id", "distance", "start", "end"])
 
-        out = out.unionByName(rows.mapInArrow(run, HITS))
+        return rows.mapInArrow(run, HITS), shared
+
+    blocks = _blocks(items, block_chars)
+    block, first = next(blocks, []), True
+    out = spark.createDataFrame([], HITS)
+    while block:
+        (found, shared), following = hits(block), next(blocks, [])
+        if first and not following:
+            return found
+        out, first = out.unionByName(stored(found, "leaks")), False
+        shared.destroy()
+        block = following
     return out
 
 

@@ -2,17 +2,24 @@
 
 Each partition keeps ``windows`` open windows. A document longer than a window fills whole
 windows first; its rest goes to the open window that it fits best. When none fits, the
-fullest is topped up with the rest's head and emitted, so emitted sequences have no padding,
-and the remainder is placed anew. What stays open at the end of a partition is merged: rounds of a bounded
-fan-in run the same packing over the left-over pieces, and the last one cuts what is left
-into powers of two, which need no padding either.
+fullest is emitted: as it is, if its free part is ``slack`` tokens at most, else topped up with
+the rest's head, and the remainder is placed anew. So padding is at most ``slack`` a sequence
+and few documents that fit a window are cut. What stays open at the end of a partition is
+merged: rounds of a bounded fan-in run the same packing over the left-over pieces, and the
+last one cuts what is left into powers of two, which need no padding.
+
+Which pieces share a sequence, and the sequences' ids, follow from the order and partitions of
+the input; each id of each document lies in one piece, whatever they are.
 
 Defined cases: a null text is empty; an empty text is its end id alone; rows with equal ids
-are packed each; an empty table gives no pieces; other columns are ignored.
+are packed each, equal rows too; very long texts are cut into full windows; of windows that
+fit equally well the one opened first is taken; an empty table gives no pieces; other
+columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +35,7 @@ from .textops import slices, texts_of
 from .token_files import crc_of_ids, parquet_options
 from .tokens import default_tokenizer, encoder, with_end
 
-WINDOW, OPEN_WINDOWS, FAN_IN = 2048, 16, 32
+WINDOW, OPEN_WINDOWS, FAN_IN, SLACK = 2048, 64, 32, 64
 PIECE = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")]
     + [T.StructField("open", T.BooleanType()), T.StructField("part", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
@@ -38,37 +45,43 @@ PIECE = T.StructType(
 class Packer:
     """Open windows of one partition. ``emit`` gets the pieces of a finished sequence."""
 
-    def __init__(self, size: int, windows: int):
-        self.size, self.windows = size, windows
-        self.open: list[list] = []  # [free, pieces]
+    def __init__(self, size: int, windows: int, slack: int = 0):
+        self.size, self.windows, self.slack = size, windows, slack
+        self.free: list[int] = []  # of the open windows, ascending
+        self.open: list[list] = []  # their pieces
         self.done: list[list] = []
 
+    def _keep(self, free: int, pieces: list) -> None:
+        if free:
+            k = bisect_right(self.free, free)
+            self.free.insert(k, free)
+            self.open.insert(k, pieces)
+        else:
+            self.done.append(pieces)
+
     def add(self, doc_id, start: int, doc_tokens: int, ids: np.ndarray) -> None:
         while len(ids):
+            k = bisect_left(self.free, len(ids))
             if len(ids) >= self.size:
-                head, rest = ids[: self.size], ids[self.size :]
-                self.done.append([(doc_id, start, doc_tokens, head)])
+                free, pieces = self.size, []
+            elif k < len(self.free):
+                free, pieces = self.free.pop(k), self.open.pop(k)
+            elif len(self.free) < self.windows:
+                free, pieces = self.size, []
             else:
-                fits = [w for w in self.open if w[0] >= len(ids)]
-                if fits:
-                    window = min(fits, key=lambda w: w[0])
-                elif len(self.open) < self.windows:
-                    self.open.append(window := [self.size, []])
-                else:
-                    window = min(self.open, key=lambda w: w[0])
-                head, rest = ids[: window[0]], ids[window[0] :]
-                window[1].append((doc_id, start, doc_tokens, head))
-                window[0] -= len(head)
-                if not window[0]:
-                    self.open.remove(window)
-                    self.done.append(window[1])
+                free, pieces = self.free.pop(0), self.open.pop(0)
+                if free <= self.slack:
+                    self.done.append(pieces)
+                    continue
+            head, ids = ids[:free], ids[free:]
+            pieces.append((doc_id, start, doc_tokens, head))
             start += len(head)
-            ids = rest
+            self._keep(free - len(head), pieces)
 
     def close(self) -> None:
         """Ends all: what is left follows each other in windows, the last ones powers of two."""
-        pieces = [p for _, own in self.open for p in own]
-        left, self.open = sum(len(p[3]) for p in pieces), []
+        pieces = [p for own in self.open for p in own]
+        left, self.open, self.free = sum(len(p[3]) for p in pieces), [], []
         while left:
             room = self.size if left >= self.size else 1 << (left.bit_length() - 1)
             left -= room
@@ -96,12 +109,12 @@ def _pieces(sequences: list[list], first_id: int, is_open: bool, part: int) -> p
     )
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, size: int = WINDOW, windows: int = OPEN_WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, size: int = WINDOW, windows: int = OPEN_WINDOWS, slack: int = SLACK) -> DataFrame:
     """Pieces with their ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
     path = tokenizer or default_tokenizer()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer, made = encoder(path), Packer(size, windows), 0
+        enc, packer, made = encoder(path), Packer(size, windows, min(slack, size // 32)), 0
         part = TaskContext.get().partitionId()
         for batch in batches:
             for rows in slices(batch, "text"):
@@ -112,11 +125,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, size: i
                 made += len(packer.done)
                 packer.done = []
         if packer.open:
-            yield _pieces([w[1] for w in packer.open], (part << 32) + made, True, part)
+            yield _pieces(packer.open, (part << 32) + made, True, part)
 
     def merge(level: int, last: bool):
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            packer, part = Packer(size, windows), int(rows["part"].iloc[0]) // FAN_IN
+            packer, part = Packer(size, windows, min(slack, size // 32)), int(rows["part"].iloc[0]) // FAN_IN
             for r in rows.sort_values(["sequence_id", "offset"]).itertuples():
                 packer.add(None if pd.isna(r.doc_id) else int(r.doc_id), int(r.start), int(r.doc_tokens), np.asarray(r.ids, np.int32))
             if last:
@@ -124,7 +137,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, size: i
             first = (level << 56) + (part << 32)
             out = [_pieces(packer.done, first, False, part)]
             if packer.open:
-                out.append(_pieces([w[1] for w in packer.open], first + len(packer.done), True, part))
+                out.append(_pieces(packer.open, first + len(packer.done), True, part))
             return pa.Table.from_batches(out).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
         return run

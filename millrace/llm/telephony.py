@@ -2,11 +2,15 @@
 
 Companded samples are expanded by lookup tables that a rule builds. IMA ADPCM blocks are
 decoded by numpy across all blocks of a batch: one step of the decoder runs for every block
-at once. Media are WAV files, kept whole in a binary column.
+at once. Media are WAV files, kept whole in a binary column, beside the PCM that they expand
+to, resampled; ``media_table`` writes both to the shared folder, and features are computed
+from what is read back.
 
 Defined cases: null bytes are empty; an empty payload is one unit of zeros; rows with equal
-ids are stored each; an empty table gives no rows; bytes that are no WAV file of a known
-format raise an error that names it; other columns are kept by ``store`` and ``expand``.
+ids are stored each, so equal rows give equal rows; a very long text is one clip, in a batch
+of its own; an empty table gives no rows; bytes that are no WAV file of a known format raise
+an error that names it; other columns are kept by ``store`` and ``expand``, except ``media``
+and, where it is made, ``pcm``, which are replaced; ``digests`` ignores all but id and text.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_rows
+from .shared import arrow_rows, fresh, stored
 from .textops import slices
 
 UNIT, RATE = 64, 8000
@@ -124,36 +128,49 @@ def expand_wav(media: bytes) -> tuple[int, np.ndarray]:
     raise ValueError(f"WAV format {kind} isn't known")
 
 
-def store(docs: DataFrame, column: str = "text", kind: int = MULAW, unit: int = UNIT) -> DataFrame:
-    """``docs`` with ``media``: the column's bytes, padded to whole units, as a WAV file."""
+def resampled(media: bytes, rate: int) -> bytes:
+    """The PCM WAV file of ``rate`` (a doubling of the stored one as often as needed)."""
+    own, pcm = expand_wav(media)
+    while own < rate and len(pcm):
+        pcm, own = resample_double(pcm, np.zeros(1, np.int64)), 2 * own
+    return wav(pcm.astype("<i2").tobytes(), PCM, own)
+
+
+def store(docs: DataFrame, column: str = "text", kind: int = MULAW, unit: int = UNIT, rate: int | None = None) -> DataFrame:
+    """``docs`` with ``media``: the column's bytes, padded to whole units, as a WAV file; with
+    ``rate`` also ``pcm``, what it expands to at that rate, as a WAV file."""
+    made = ["media"] if rate is None else ["media", "pcm"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__payload", 1 << 22):
+            for part in slices(batch, payload, 1 << 22):
                 media = []
-                for x in pc.fill_null(part.column("__payload"), b"").to_pylist():
+                for x in pc.fill_null(part.column(payload), b"").to_pylist():
                     media.append(wav(x + b"\0" * (max(unit, -(-len(x) // unit) * unit) - len(x)), kind, block=unit))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(media, pa.binary())], names=[*names, "media"])
+                own = [media] if rate is None else [media, [resampled(m, rate) for m in media]]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(pa.array(o, pa.binary()) for o in own)], names=[*names, *made])
 
-    names = [n for n in docs.columns if n != "media"]
+    names = [n for n in docs.columns if n not in made]
+    (payload,) = fresh(docs, "__payload")
     arrow_rows(docs.sparkSession)
-    schema = T.StructType([docs.schema[n] for n in names] + [T.StructField("media", T.BinaryType())])
-    return docs.select(*names, F.col(column).cast("binary").alias("__payload")).mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[n] for n in names] + [T.StructField(n, T.BinaryType()) for n in made])
+    return docs.select(*names, F.col(column).cast("binary").alias(payload)).mapInArrow(run, schema)
+
+
+def media_table(docs: DataFrame, column: str = "text", kind: int = MULAW, unit: int = UNIT, rate: int = 16000) -> DataFrame:
+    """``docs`` with ``media`` and ``pcm``, written to the shared folder and read back. Pages are
+    large, as a page is what a codec sees at once."""
+    options = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20), "parquet.block.size": str(64 << 20), "parquet.enable.dictionary": "false"}
+    return stored(store(docs, column, kind, unit, rate), "media", **options)
 
 
 def expand(media: DataFrame, rate: int = 16000) -> DataFrame:
-    """``media`` with ``media`` replaced by a PCM WAV file of ``rate`` (a doubling of the
-    stored one as often as needed)."""
+    """``media`` with ``media`` replaced by a PCM WAV file of ``rate``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "media", 1 << 22):
-                out = []
-                for x in part.column("media").to_pylist():
-                    own, pcm = expand_wav(x)
-                    while own < rate and len(pcm):
-                        pcm, own = resample_double(pcm, np.zeros(1, np.int64)), 2 * own
-                    out.append(wav(pcm.astype("<i2").tobytes(), PCM, own))
+                out = [resampled(x, rate) for x in part.column("media").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(out, pa.binary())], names=[*names, "media"])
 
     names = [n for n in media.columns if n != "media"]
@@ -171,9 +188,9 @@ def _per_clip(pcm: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """doc_id, payload (read back from ``media``), media and feature. A feature holds, for the payload
+    """``media`` without ``pcm``, with payload (read back from ``media``) and feature. A feature holds, for the payload
     as mu-law, as A-law and as ADPCM blocks of a unit, RMS, peak and zero crossings, and the
-    crc32 of the mu-law clip's PCM at twice the rate."""
+    crc32 of the stored ``pcm`` samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,23 +199,22 @@ def features(media: DataFrame) -> DataFrame:
                 sizes = np.fromiter(map(len, data), np.int64, len(data))
                 starts = np.cumsum(sizes) - sizes
                 code = np.frombuffer(b"".join(data), np.uint8)
-                mulaw = MULAW_PCM[code]
                 adpcm = decode_adpcm(code.reshape(-1, UNIT))
-                told = [*_per_clip(mulaw, starts), *_per_clip(ALAW_PCM[code], starts), *_per_clip(adpcm.ravel(), starts // UNIT * adpcm.shape[1])]
-                wide = resample_double(mulaw, starts).astype("<i2")
-                crc = [zlib.crc32(wide[2 * a : 2 * (a + n)]) for a, n in zip(starts, sizes, strict=True)]
+                told = [*_per_clip(MULAW_PCM[code], starts), *_per_clip(ALAW_PCM[code], starts), *_per_clip(adpcm.ravel(), starts // UNIT * adpcm.shape[1])]
+                crc = [zlib.crc32(read_wav(m)[3]) for m in part.column("pcm").to_pylist()]
                 feature = [":".join(map(str, x)) for x in zip(*(t.tolist() for t in told), crc, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(data, pa.binary()), pa.array(feature)], names=[*names, "payload", "feature"])
 
-    names = [n for n in media.columns if n not in ("payload", "feature")]
+    names = [n for n in media.columns if n not in ("pcm", "payload", "feature")]
     schema = T.StructType([media.schema[n] for n in names] + [T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType())])
-    return media.select(*names).mapInArrow(run, schema)
+    arrow_rows(media.sparkSession, 64)
+    return media.select(*names, "pcm").mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """The features, with digests of what was stored and read back."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    found = features(store(rows).select("doc_id", "n_bytes", "media"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("media"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    found = features(media_table(rows, "media"))
     tail = F.substring("payload", -UNIT, UNIT)
     return found.select(
         "doc_id",
@@ -210,5 +226,3 @@ def digests(docs: DataFrame) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
     )
-
-

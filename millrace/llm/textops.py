@@ -1,8 +1,9 @@
 """Vectorised text primitives on numpy: words, word hashes, five-word shingles.
 
 A word is a maximal run of letters and digits (with their combining marks) of the
-lower-cased text. Word hashes are polynomial hashes over code points, so equal words have
-equal hashes on every machine; all arithmetic wraps modulo 2**64.
+lower-cased text. A word's hash is a sum of products of its code points' keys and its places'
+keys (a multilinear hash, both tables made by a rule), so equal words have equal hashes on
+every machine and no structure of long words makes them collide; arithmetic wraps modulo 2**64.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
+_CODE_MUL = 0xD1B54A32D192ED03
 SHINGLE = 5
 _SHINGLE_MUL = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], U64)
 
@@ -39,6 +41,31 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+_places: list[np.ndarray] = [np.zeros(0, U64)]
+
+
+def _place_keys(n: int) -> np.ndarray:
+    """Keys of places in a piece of text: mixed counters, as many as are asked for."""
+    if len(_places[0]) < n:
+        _places[0] = mix(np.arange(1, max(2 * n, 1 << 12) + 1, dtype=U64) * U64(_BASE)) | U64(1)
+    return _places[0][:n]
+
+
+def piece_hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the non-empty pieces ``start`` to ``end`` (in order, apart) of code points."""
+    if not len(start):
+        return np.zeros(0, U64)
+    size = end - start
+    at = np.cumsum(size) - size
+    place = np.arange(at[-1] + size[-1]) - np.repeat(at, size)
+    own = cp[place + np.repeat(start, size)].astype(U64)
+    own += U64(1)
+    own *= U64(_CODE_MUL)
+    own ^= own >> U64(32)
+    own *= _place_keys(int(size.max()))[place]
+    return mix(np.add.reduceat(own, at) + size.astype(U64) * U64(_BASE))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalises 64-bit hashes (in place)."""
     h ^= h >> U64(30)
@@ -63,14 +90,9 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     is_word[1:-1] = _word_table()[cp]
     edge = np.diff(is_word)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    acc = np.zeros(n + 1, U64)
-    np.cumsum((cp.astype(U64) + U64(1)) * _power(_BASE, n), out=acc[1:])
-    h = acc[end]
-    h -= acc[start]
-    h *= _power(_BASE_INV, n + 1)[start]
     lens = np.fromiter(map(len, low), np.int64, len(low)) + 1
     at = np.concatenate([[0], np.cumsum(lens)])
-    return mix(h), np.searchsorted(start, at), start, end
+    return piece_hashes(cp, start, end), np.searchsorted(start, at), start, end
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,8 +8,9 @@ indexes. So a reader that wants lengths reads no token page, and one that wants
 reads the pages that hold them.
 
 Defined cases: a null text is empty; an empty text has the end id alone; rows with equal ids
-are all kept, ordered by id and then by text, null ids first; an empty table gives files
-without rows; other columns are ignored.
+are all kept, ordered by id, then the text's xxhash64, then text, null ids first; very long
+texts are encoded whole, one at a time; an empty table gives files without rows; other
+columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -64,7 +65,8 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) ->
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, row_group_mb: int = 32, page_kb: int = 256) -> None:
     """Writes the ids of all documents; file names and rows follow ascending doc_id."""
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     tokenize(rows, tokenizer, end_id).write.options(**parquet_options(row_group_mb, page_kb)).parquet(path)
 
 
@@ -89,24 +91,26 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, as the files say.
 
     A document's start is what the files before hold (one sum a file, of the length column
-    alone) and what its own file holds before it, so no task sees more than a file. Files of
-    one range follow each other by name.
+    alone) and what its own file holds before it, so no task sees more than a file. Files
+    follow each other by the numbers in their names: the range's, then the file's in it.
     """
     files = spark.read.schema(TOKEN_SCHEMA).parquet(path)
-    marked = files.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.regexp_extract(name, pattern, 1).cast("long")
+    marked = files.select("*", number(r"^part-(\d+)").alias("range"), number(r"-c(\d+)\.").alias("file"), F.col("_metadata.row_index").alias("row"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_tokens"), pa.array(crc_of_ids(b)), b.column("file"), b.column("row")],
-                names=["doc_id", "n_tokens", "ids_crc32", "file", "row"],
+                [b.column("doc_id"), b.column("n_tokens"), pa.array(crc_of_ids(b)), b.column("range"), b.column("file"), b.column("row")],
+                names=["doc_id", "n_tokens", "ids_crc32", "range", "file", "row"],
             )
 
-    rows = marked.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, file string, row long")
-    totals = marked.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = totals.selectExpr("file", "sum(total) over (order by file rows between unbounded preceding and 1 preceding) as base")
-    inside = "sum(n_tokens) over (partition by file order by row rows between unbounded preceding and 1 preceding)"
-    return rows.join(before, "file").selectExpr("doc_id", f"coalesce(base, 0) + coalesce({inside}, 0) as start", "n_tokens", "ids_crc32")
+    rows = marked.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, range long, file long, row long")
+    totals = marked.groupBy("range", "file").agg(F.sum("n_tokens").alias("total"))
+    before = totals.selectExpr("range", "file", "sum(total) over (order by range, file rows between unbounded preceding and 1 preceding) as base")
+    inside = "sum(n_tokens) over (partition by range, file order by row rows between unbounded preceding and 1 preceding)"
+    return rows.join(before, ["range", "file"]).selectExpr("doc_id", f"coalesce(base, 0) + coalesce({inside}, 0) as start", "n_tokens", "ids_crc32")
 
 
 def tokens_table(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:

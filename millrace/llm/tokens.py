@@ -4,8 +4,9 @@ A text is cut where the byte-level pre-tokenizer cuts it too: white space is div
 its two rules, one space goes with what follows, and a Latin letter never joins an ASCII
 mark other than the apostrophe. So a text's ids are the ids of its chunks, one after
 another, and each distinct chunk goes through the tokenizers library once per worker. The
-cache is keyed by a 64-bit hash of the chunk's code points: about 40 bytes a chunk. Texts
-that hold a special token's string are encoded whole.
+cache is looked up by a hash and holds the chunks themselves: each use is compared with the
+chunk that was encoded, code point by code point, and a text with a chunk that differs goes
+to the library whole. So do texts that hold a special token's string.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 
-from .textops import _BASE, _BASE_INV, U64, _power, code_points, mix
+from .textops import U64, code_points, piece_hashes
 
-CACHE_CHUNKS = 4_000_000
+# Bounds of the cache: chunks, and code points of chunks for each.
+CACHE_CHUNKS, CACHE_CHARS = 2_000_000, 16
 _SPACE, _LETTER, _MARK = 1, 2, 3
 
 
@@ -78,7 +80,10 @@ class CachedEncoder:
     def _reset(self) -> None:
         self.keys, self.slots = np.zeros(0, U64), np.zeros(0, np.int32)
         self.first, self.count, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.int32)
-        self.known = self.used = 0
+        self.chars_at, self.size, self.chars = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4")
+        self.known = self.used = self.used_chars = 0
+
+    _keys = staticmethod(piece_hashes)
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -108,7 +113,7 @@ class CachedEncoder:
             ids = np.concatenate([*parts, ids[a:]])
         return ids, count
 
-    def _slots(self, text: str, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
+    def _slots(self, text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
         """The cache's slots of chunks; chunks that it lacks are encoded first."""
         own, at, back = np.unique(key, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, own)
@@ -117,21 +122,46 @@ class CachedEncoder:
         found[inside] = self.keys[place[inside]] == own[inside]
         new = np.flatnonzero(~found)
         if len(new):
-            if self.known + len(new) > self.cache_chunks and self.known:
-                self._reset()
-                return self._slots(text, start, end, key)
             where = at[new]
+            size = end[where] - start[where]
+            total = int(size.sum())
+            if self.known and (self.known + len(new) > self.cache_chunks or self.used_chars + total > CACHE_CHARS * self.cache_chunks):
+                self._reset()
+                return self._slots(text, cp, start, end, key)
             ids, count = self._encode_chunks([text[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
             n = self.known + len(new)
             self.first, self.count, self.ids = self._room(self.first, n), self._room(self.count, n), self._room(self.ids, self.used + len(ids))
             self.first[self.known : n], self.count[self.known : n] = self.used + np.cumsum(count) - count, count
             self.ids[self.used : self.used + len(ids)] = ids
+            self.chars_at, self.size, self.chars = self._room(self.chars_at, n), self._room(self.size, n), self._room(self.chars, self.used_chars + total)
+            own_at = np.cumsum(size) - size
+            self.chars_at[self.known : n], self.size[self.known : n] = self.used_chars + own_at, size
+            self.chars[self.used_chars : self.used_chars + total] = cp[np.arange(total) + np.repeat(start[where] - own_at, size)]
+            self.used_chars += total
             self.keys = np.insert(self.keys, place[new], own[new])
             self.slots = np.insert(self.slots, place[new], np.arange(self.known, n, dtype=np.int32))
             self.known, self.used = n, self.used + len(ids)
             place = np.searchsorted(self.keys, own)
         return self.slots[place][back]
 
+    def _differ(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """The places in ``start`` of chunks that aren't what their slot holds. The chunks
+        follow each other without gaps."""
+        size = end - start
+        wrong = size != self.size[slot]
+        if wrong.any():
+            return np.flatnonzero(wrong | ~self._equal(cp, start, np.minimum(size, self.size[slot]), slot))
+        ok = self._equal(cp, start, size, slot)
+        return np.flatnonzero(~ok)
+
+    def _equal(self, cp: np.ndarray, start: np.ndarray, size: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        at = np.cumsum(size) - size
+        inner = np.arange(int(size.sum()))
+        unlike = self.chars[inner + np.repeat(self.chars_at[slot] - at, size)] != cp[inner + np.repeat(start - at, size)]
+        if not unlike.any():
+            return np.ones(len(start), bool)
+        return np.add.reduceat(unlike.astype(np.int64), at) == 0
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the texts' offsets into them."""
         whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(s in t for s in self.special)}
@@ -143,10 +173,9 @@ class CachedEncoder:
             cp = code_points(text)
             start = chunk_starts(cp, offsets[:-1][sizes > 0])
             end = np.append(start[1:], len(cp))
-            acc = np.zeros(len(cp) + 1, U64)
-            np.cumsum((cp.astype(U64) + U64(1)) * _power(_BASE, len(cp)), out=acc[1:])
-            key = mix((acc[end] - acc[start]) * _power(_BASE_INV, len(cp) + 1)[start])
-            slot = self._slots(text, start, end, key)
+            slot = self._slots(text, cp, start, end, self._keys(cp, start, end))
+            for i in np.unique(np.searchsorted(offsets, start[self._differ(cp, start, end, slot)], side="right") - 1).tolist():
+                whole[i] = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
             count = self.count[slot].astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(count)])
             ids = self.ids[np.repeat(self.first[slot] - ends[:-1], count) + np.arange(ends[-1])]
