@@ -10,18 +10,28 @@ at equal places in them, so only runs with equal anchor hashes can share a windo
 
 1. A map task finds its runs; of runs with equal contents it sends on the first only, and the
    others are repeats at once. So a string that is in most documents costs one row a task.
-2. Runs are dealt out by anchor. Again all but the first of equal contents are repeats. First
-   runs of anchors with several contents go on.
+2. Runs are dealt out by anchor, sorted, and read as a stream. Again all but the first of equal
+   contents are repeats. First runs of anchors with several contents go on.
 3. Their bytes are fetched and dealt out by anchor; windows that no other content can share are
    cut off, and a suffix array over what is left puts equal windows next to each other.
 4. The repeats of each document are united, and the rest of its bytes is kept.
 
-Hashes of 64 bits choose who meets in steps 1 and 2; step 3 compares bytes.
+Hot anchors (a phrase that many documents hold, each with other neighbours) are split. A bounded
+sample of documents names those that would fill a task of step 2; their runs are dealt out by
+content there. Step 2 marks them, and all others with over ``HOT_CONTENTS`` contents. Before step
+3 a marked run is cut into runs of at most two windows, and the ``length - 1`` bytes that both
+windows share are the new anchor: its contents differ in a byte before and a byte after, so
+there are less than 2**17 of them, whatever the table. The sample decides where rows go, never
+what is equal.
+
+Steps 1 and 2 compare runs by their anchor's and content's hashes (64 bits each) and their
+length; step 3 compares bytes.
 
 Defined cases: null texts are empty; rows with equal doc_id and text are one document and get
 equal results; other rows with equal doc_ids are ordered by their text's hash; null ids come
-first; documents shorter than ``length`` keep all bytes; an empty table gives no rows; other
-columns are ignored.
+first; documents shorter than ``length`` keep all bytes; very long texts are cut into runs
+like others, in one task; an empty table gives no rows; other columns, of whatever name, are
+ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +49,12 @@ from .textops import _BASE, _BASE_INV, U64, _power, mix, slices
 
 LENGTH, ANCHOR = 100, 50
 SEND_ROWS, ARRAY_BYTES = 1_500_000, 400_000
+#: Contents of an anchor beyond which it is split; sampled documents, and the contents of an
+#: anchor in them that make it hot; anchors named hot at most.
+HOT_CONTENTS, SAMPLE_DOCS, SAMPLE_CONTENTS, MOST_HOT = 20_000, 8_000, 40, 16_384
 RUN = "kind int, anchor long, content long, doc_id long, row_hash long, start long, n long"
 NAMES = ["kind", "anchor", "content", "doc_id", "row_hash", "start", "n"]
+REPEAT, ONE, HOT = 0, 1, 2  # kinds of runs: known repeats, first of its content, that of a hot anchor
 NULL_ID = -(1 << 63)
 
 
@@ -171,27 +185,49 @@ def _later(*keys: np.ndarray) -> np.ndarray:
 def _split_repeats(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of rows by content and place, which of them are the first of their content, and
     which are repeats (a second copy of one and the same row is neither)."""
+    # Other anchors with an equal content hash may lie between copies; those go on as firsts.
     order = np.lexsort((c["start"], c["row_hash"], c["doc_id"], c["content"]))
     o = {k: v[order] for k, v in c.items()}
-    first = _later(o["content"])
+    first = _later(o["content"], o["anchor"], o["n"])
     head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(order) else np.zeros(0, np.int64)
     same = (o["doc_id"] == o["doc_id"][head]) & (o["row_hash"] == o["row_hash"][head]) & (o["start"] == o["start"][head])
     return order, first, ~first & ~same
 
 
-def _batch(c: dict[str, np.ndarray], kind: int, most: int = 50_000) -> Iterator[pa.RecordBatch]:
+def _batch(c: dict[str, np.ndarray], kind: int | np.ndarray, most: int = 50_000) -> Iterator[pa.RecordBatch]:
     n = len(c["start"])
+    kinds = np.full(n, kind, np.int32) if np.isscalar(kind) else kind.astype(np.int32)
     for a in range(0, n, most):
         m = min(most, n - a)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), *(pa.array(c[k][a : a + m].astype(np.int64, copy=False)) for k in NAMES[1:])], names=NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds[a : a + m]), *(pa.array(c[k][a : a + m].astype(np.int64, copy=False)) for k in NAMES[1:])], names=NAMES)
+
+
+def _found(part: pa.RecordBatch, length: int) -> dict[str, np.ndarray]:
+    doc, start, count, anchor, content = runs(pc.fill_null(part.column("data"), b"").to_pylist(), length)
+    ids, hashes = part.column("doc_id").to_numpy(), part.column("row_hash").to_numpy()
+    return {"anchor": anchor.view(np.int64), "content": content.view(np.int64), "doc_id": ids[doc], "row_hash": hashes[doc], "start": start, "n": count}
 
 
-def _gather(batches: list[pa.RecordBatch], names: list[str]) -> dict[str, np.ndarray]:
-    return {k: np.concatenate([np.zeros(0, np.int64), *(b.column(k).to_numpy(zero_copy_only=False) for b in batches)]) for k in names}
+def hot_anchors(docs: DataFrame, length: int, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
+    """Anchors with many contents in a sample of about ``sample_docs`` documents, chosen by a hash
+    of their id and text; at most ``MOST_HOT``, sorted."""
+    grain = 1 << 40
+    share = min(1.0, sample_docs / max(1, docs.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "data"):
+                c = _found(part, length)
+                yield pa.RecordBatch.from_arrays([pa.array(c["anchor"]), pa.array(c["content"])], names=["anchor", "content"])
+
+    own = docs.filter(F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(grain)) < int(share * grain)).select("doc_id", "row_hash", "data")
+    seen = own.mapInArrow(run, "anchor long, content long").distinct().groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= SAMPLE_CONTENTS)
+    return np.sort(np.array([r[0] for r in seen.orderBy(F.desc("n"), "anchor").limit(MOST_HOT).collect()], np.int64))
 
 
-def find_runs(docs: DataFrame, length: int) -> DataFrame:
-    """Step 1: runs to compare (kind 1) and repeats (kind 0)."""
+def find_runs(docs: DataFrame, length: int, hot: np.ndarray = np.zeros(0, np.int64)) -> DataFrame:
+    """Step 1: runs to compare (``ONE``, or ``HOT`` if their anchor is) and repeats."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -199,15 +235,14 @@ def find_runs(docs: DataFrame, length: int) -> DataFrame:
         def send() -> Iterator[pa.RecordBatch]:
             c = {k: np.concatenate([h[k] for h in held]) for k in NAMES[1:]}
             order, first, again = _split_repeats(c)
-            yield from _batch({k: v[order[first]] for k, v in c.items()}, 1)
-            yield from _batch({k: v[order[again]] for k, v in c.items()}, 0)
+            own = {k: v[order[first]] for k, v in c.items()}
+            yield from _batch(own, np.where(np.isin(own["anchor"], shared.value), HOT, ONE))
+            yield from _batch({k: v[order[again]] for k, v in c.items()}, REPEAT)
 
         for batch in batches:
             for part in slices(batch, "data"):
-                doc, start, count, anchor, content = runs(pc.fill_null(part.column("data"), b"").to_pylist(), length)
-                ids, hashes = part.column("doc_id").to_numpy(), part.column("row_hash").to_numpy()
-                held.append({"anchor": anchor.view(np.int64), "content": content.view(np.int64), "doc_id": ids[doc], "row_hash": hashes[doc], "start": start, "n": count})
-                rows += len(doc)
+                held.append(_found(part, length))
+                rows += len(held[-1]["start"])
             if rows >= SEND_ROWS:
                 yield from send()
                 held, rows = [], 0
@@ -217,26 +252,130 @@ def find_runs(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", "row_hash", "data").mapInArrow(run, RUN)
 
 
-def meet(found: DataFrame) -> DataFrame:
-    """Step 2: repeats (kind 0), and first runs of anchors with several contents (kind 1)."""
+class _Meeting:
+    """Reads runs sorted by kind, anchor, content, length and place; holds the first run of the
+    last content, and the first runs of the last anchor until their number tells their kind."""
+
+    def __init__(self, hot_contents: int):
+        self.hot_contents = hot_contents
+        self.head: dict[str, np.ndarray] | None = None
+        self.held: list[dict[str, np.ndarray]] = []
+        self.count, self.sent = 0, False
+
+    def _send(self) -> Iterator[pa.RecordBatch]:
+        own = {k: np.concatenate([h[k] for h in self.held]) for k in NAMES}
+        if self.sent or self.count > 1 or (own["kind"] == HOT).any():
+            yield from _batch(own, np.where(self.sent | (self.count > self.hot_contents) | (own["kind"] == HOT), HOT, ONE))
+        self.held = []
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield from self._send()
+        self.count, self.sent = 0, False
+
+    def add(self, c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        known = self.head is not None
+        if known:
+            c = {k: np.concatenate([self.head[k], c[k]]) for k in NAMES}
+        first = _later(c["anchor"], c["content"], c["n"])
+        at = np.flatnonzero(first)
+        head = at[np.cumsum(first) - 1]
+        same = (c["doc_id"] == c["doc_id"][head]) & (c["row_hash"] == c["row_hash"][head]) & (c["start"] == c["start"][head])
+        again = np.flatnonzero(~first & ~same)
+        yield from _batch({k: v[again] for k, v in c.items()}, REPEAT)
+        self.head = {k: v[at[-1] : at[-1] + 1] for k, v in c.items()}
+        new = at[1:] if known else at  # the head was counted when it came
+        anchor = c["anchor"]
+        cuts = np.flatnonzero(np.diff(anchor[new]) != 0) + 1
+        for k, own in enumerate(np.split(new, cuts)):
+            if len(own) and (k or not known or anchor[own[0]] != anchor[0]):
+                yield from self.end()
+            self.held.append({n: v[own] for n, v in c.items()})
+            self.count += len(own)
+            if self.count > self.hot_contents:
+                yield from self._send()
+                self.sent = True
+
+
+def meet(found: DataFrame, hot_contents: int | None = None) -> DataFrame:
+    """Step 2: repeats, and first runs of anchors with several contents (``HOT`` where the anchor
+    is known to be hot or has over ``hot_contents`` contents)."""
+    most = HOT_CONTENTS if hot_contents is None else hot_contents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        meeting = _Meeting(most)
         for b in batches:
-            known = pc.equal(b.column("kind"), 0)
+            known = pc.equal(b.column("kind"), REPEAT)
             if (done := b.filter(known)).num_rows:
                 yield done
-            held.append(b.filter(pc.invert(known)))
-        c = _gather(held, NAMES[1:])
-        order, first, again = _split_repeats(c)
-        yield from _batch({k: v[order[again]] for k, v in c.items()}, 0)
-        own = {k: v[order[first]] for k, v in c.items()}
-        _, back, count = np.unique(own["anchor"], return_inverse=True, return_counts=True)
-        yield from _batch({k: v[count[back] > 1] for k, v in own.items()}, 1)
+            if done.num_rows < b.num_rows:
+                rest = b.filter(pc.invert(known))
+                yield from meeting.add({k: rest.column(k).to_numpy() for k in NAMES})
+        yield from meeting.end()
+
+    # Repeats stay where they are dealt to; a row of them goes by its place, one of a hot anchor by its content.
+    key = F.when(F.col("kind") == ONE, F.col("anchor")).when(F.col("kind") == HOT, F.xxhash64("anchor", "content")).otherwise(F.xxhash64("doc_id", "start"))
+    dealt = found.withColumn("key", key).repartition("key").drop("key")
+    return dealt.sortWithinPartitions("kind", "anchor", "content", "n", "doc_id", "row_hash", "start").mapInArrow(run, RUN)
+
+
+def split_hot(data: list[bytes], length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """Runs of at most two windows that make up the runs of ``data``: row, first window in it,
+    number of windows, and the hashes of the bytes that both windows have and of all bytes."""
+    text = np.frombuffer(b"".join(data), np.uint8)
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    base = np.cumsum(size) - size
+    acc = np.zeros(len(text) + 1, U64)
+    np.cumsum((text.astype(U64) + U64(1)) * _power(_BASE, len(text)), out=acc[1:])
+    inverse = _power(_BASE_INV, len(text))
+    spread = length - anchor + 1
+    grams = base[:, None] + np.arange(spread)
+    h = mix((acc[grams + anchor] - acc[grams]) * inverse[grams])
+    place = ((h & U64(0xFFFFFFFF00000000)) | np.arange(spread, dtype=U64)).argmin(1)  # of the anchor in the first window
+    pairs = np.arange((spread + 1) // 2)
+    first = np.maximum(place[:, None] - 2 * pairs - 1, 0)
+    last = np.minimum(place[:, None] - 2 * pairs, (size - length)[:, None])
+    row, pair = np.nonzero(last >= first)
+    first, last, shared = first[row, pair], last[row, pair], place[row] - 2 * pairs[pair]
+    at, start, n = base[row] + shared, base[row] + first, last - first + 1
+    key = mix(mix((acc[at + length - 1] - acc[at]) * inverse[at]) + pair.astype(U64))
+    return row, first, n, key, mix((acc[start + n + length - 1] - acc[start]) * inverse[start])
+
+
+def split(contents: DataFrame, length: int) -> DataFrame:
+    """Contents of hot anchors (``HOT``) as finer runs (``ONE``) or repeats; others as they are."""
 
-    # Repeats stay where they are dealt to; a row of them goes by its place.
-    key = F.when(F.col("kind") == 1, F.col("anchor")).otherwise(F.xxhash64("doc_id", "start"))
-    return found.withColumn("key", key).repartition("key").drop("key").mapInArrow(run, RUN)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            own = pa.Table.from_batches(held).to_pydict()
+            row, first, n, key, content = split_hot(own["data"], length)
+            ids, hashes, start = (np.array(own[k], np.int64)[row] for k in ("doc_id", "row_hash", "start"))
+            c = {"anchor": key.view(np.int64), "content": content.view(np.int64), "doc_id": ids, "row_hash": hashes, "start": start + first, "n": n}
+            order, one, again = _split_repeats(c)
+            for b in _batch({k: v[order[again]] for k, v in c.items()}, REPEAT):
+                yield b.append_column("data", pa.nulls(b.num_rows, pa.binary()))
+            at, made = order[one], 0
+            for b in _batch({k: v[at] for k, v in c.items()}, ONE, 10_000):
+                mine = at[made : made + b.num_rows]
+                cut = [own["data"][r][f : f + m + length - 1] for r, f, m in zip(row[mine].tolist(), first[mine].tolist(), n[mine].tolist(), strict=True)]
+                made += b.num_rows
+                yield b.append_column("data", pa.array(cut, pa.binary()))
+
+        for b in batches:
+            hot = pc.equal(b.column("kind"), HOT)
+            if (others := b.filter(pc.invert(hot))).num_rows:
+                yield pa.RecordBatch.from_arrays(others.columns, names=[*NAMES, "data"])
+            if others.num_rows < b.num_rows:
+                held.append(b.filter(hot))
+            if sum(h.num_rows for h in held) >= SEND_ROWS // 50:
+                yield from send()
+                held = []
+        if held:
+            yield from send()
+
+    return contents.select(*NAMES, "data").mapInArrow(run, RUN + ", data binary")
 
 
 def shared_windows(content: list[bytes], doc_id: np.ndarray, row_hash: np.ndarray, start: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,28 +423,60 @@ def shared_windows(content: list[bytes], doc_id: np.ndarray, row_hash: np.ndarra
 
 
 def compare(contents: DataFrame, length: int) -> DataFrame:
-    """Step 3: repeats among the contents of each anchor."""
+    """Step 3: repeats among the contents of each anchor, and the repeats known before. Contents
+    come sorted by anchor; whole anchors of about ``ARRAY_BYTES`` share a suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
-            return
-        table = table.sort_by("anchor").combine_chunks()
-        c = {k: table.column(k).to_numpy() for k in ("anchor", "doc_id", "row_hash", "start")}
-        data = table.column("data").chunk(0) if table.num_rows else None
-        size = np.cumsum(pc.binary_length(data).to_numpy(zero_copy_only=False))
-        head = np.append(np.flatnonzero(_later(c["anchor"])), len(size))
-        a = 0
-        for k in range(1, len(head)):
-            if k + 1 < len(head) and size[head[k + 1] - 1] - (size[a - 1] if a else 0) <= ARRAY_BYTES:
+        held: list[pa.RecordBatch] = []  # whole anchors, then rows of the last one
+
+        def send(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = {k: np.concatenate([b.column(k).to_numpy() for b in rows]) for k in ("anchor", "doc_id", "row_hash", "start")}
+            data = [x for b in rows for x in b.column("data").to_pylist()]
+            # Equal contents that several tasks sent: the first one stays.
+            order, seen, again = np.lexsort((c["start"], c["row_hash"], c["doc_id"])), {}, []
+            for i in order.tolist():
+                j = seen.setdefault((int(c["anchor"][i]), data[i]), i)
+                if j != i:
+                    again.append(i)
+            if again:
+                o = {k: v[again] for k, v in c.items()}
+                n = np.array([len(data[i]) - length + 1 for i in again])
+                yield from _batch({**o, "content": np.zeros(len(again)), "n": n}, REPEAT)
+                kept = np.sort(np.array(list(seen.values())))
+                c, data = {k: v[kept] for k, v in c.items()}, [data[i] for i in kept.tolist()]
+            row, offset = shared_windows(data, c["doc_id"], c["row_hash"], c["start"], c["anchor"], length)
+            yield from _batch({"anchor": c["anchor"][row], "content": np.zeros(len(row)), "doc_id": c["doc_id"][row], "row_hash": c["row_hash"][row], "start": c["start"][row] + offset, "n": np.ones(len(row))}, REPEAT)
+
+        size = 0
+        for b in batches:
+            known = pc.equal(b.column("kind"), REPEAT)
+            if (done := b.filter(known)).num_rows:
+                yield done.select(NAMES)
+            b = b.filter(pc.invert(known))
+            if not b.num_rows:
                 continue
-            b = head[k]
-            own = {n: v[a:b] for n, v in c.items()}
-            row, offset = shared_windows(data.slice(a, b - a).to_pylist(), own["doc_id"], own["row_hash"], own["start"], own["anchor"], length)
-            yield from _batch({"anchor": own["anchor"][row], "content": np.zeros(len(row)), "doc_id": own["doc_id"][row], "row_hash": own["row_hash"][row], "start": own["start"][row] + offset, "n": np.ones(len(row))}, 0)
-            a = b
+            anchor = b.column("anchor").to_numpy()
+            bytes_in = np.cumsum(pc.binary_length(b.column("data")).to_numpy(zero_copy_only=False))
+            ends = np.flatnonzero(_later(anchor))  # where an anchor that is new to the batch starts
+            if held and held[-1].column("anchor")[held[-1].num_rows - 1].as_py() == anchor[0]:
+                ends = ends[1:]
+            a = 0
+            for e in ends.tolist():
+                here = int((bytes_in[e - 1] if e else 0) - (bytes_in[a - 1] if a else 0))
+                if size + here > ARRAY_BYTES and (held or e > a):
+                    if e > a:
+                        held.append(b.slice(a, e - a))
+                    yield from send(held)
+                    held, size, a = [], 0, e
+            if a < b.num_rows:
+                held.append(b.slice(a))
+                size += int(bytes_in[-1] - (bytes_in[a - 1] if a else 0))
+        if held:
+            yield from send(held)
 
-    return contents.repartition("anchor").mapInArrow(run, RUN)
+    key = F.when(F.col("kind") == ONE, F.col("anchor")).otherwise(F.xxhash64("doc_id", "start"))
+    dealt = contents.withColumn("key", key).repartition("key").drop("key")
+    return dealt.sortWithinPartitions("kind", "anchor").mapInArrow(run, RUN)
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -313,11 +484,12 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     of starts and ends, in turn; null where nothing is removed."""
     spark = docs.sparkSession
     arrow_rows(spark, 10_000)
-    met = stored(meet(find_runs(docs, length)), "runs")
-    of_doc = met.filter("kind = 1").groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("own"))
+    met = stored(meet(find_runs(docs, length, hot_anchors(docs, length))), "runs")
+    own = F.struct("kind", "anchor", "content", "start", "n")
+    of_doc = met.filter(F.col("kind") != REPEAT).groupBy("doc_id", "row_hash").agg(F.collect_list(own).alias("own"))
     cut = docs.dropDuplicates(["doc_id", "row_hash"]).join(of_doc, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "data", F.explode("own").alias("r"))
-    contents = cut.select("r.anchor", "doc_id", "row_hash", "r.start", F.expr(f"substring(data, cast(r.start + 1 as int), cast(r.n + {length - 1} as int))").alias("data"))
-    compared = stored(compare(contents, length), "compared")
+    contents = cut.select("r.kind", "r.anchor", "r.content", "doc_id", "row_hash", "r.start", "r.n", F.expr(f"substring(data, cast(r.start + 1 as int), cast(r.n + {length - 1} as int))").alias("data"))
+    compared = stored(compare(split(contents, length), length), "compared")
     repeats = met.filter("kind = 0").select("doc_id", "row_hash", "start", "n").unionByName(compared.select("doc_id", "row_hash", "start", "n"))
     grouped = repeats.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "n")).alias("own"))
 

@@ -476,10 +476,12 @@ def brute_removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("array_bytes, send", [(400_000, 1_500_000), (2_000, 50)])
-def test_repeats_match_brute_force(spark, monkeypatch, array_bytes, send):
+@pytest.mark.parametrize("array_bytes, send, hot, sampled", [(400_000, 1_500_000, 20_000, 40), (2_000, 50, 3, 40), (400_000, 1_500_000, 20_000, 2), (2_000, 500, 1, 2)])
+def test_repeats_match_brute_force(spark, monkeypatch, array_bytes, send, hot, sampled):
     monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", array_bytes)
     monkeypatch.setattr(suffix_dedup, "SEND_ROWS", send)
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTENTS", hot)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_CONTENTS", sampled)
     rng, shared = np.random.default_rng(4), [prose(700 + i, 60) for i in range(4)]
     rows = edge_rows() + near_rows()[:30] + [(2000 + i, prose(i, 20) + " " + shared[i % 4][int(rng.integers(0, 90)) :] + prose(50 + i, 20)) for i in range(40)] + [(3000, "ab" * 400), (3001, "ba" * 300), (3002, "x" * 99), (3003, "x" * 100), (3004, "x" * 101)]
     df = table(spark, rows).repartition(4)
@@ -489,6 +491,34 @@ def test_repeats_match_brute_force(spark, monkeypatch, array_bytes, send):
     assert suffix_dedup.digests(table(spark, [])).count() == 0
 
 
+def test_one_phrase_among_thousands_of_neighbours(spark):
+    """An anchor with thousands of contents, some of which share windows: split or not, the result is one."""
+    rng, phrase = np.random.default_rng(12), prose(41, 12)[:70]
+    left, right = [prose(i, 9)[-40:] for i in range(40)], [prose(500 + i, 9)[:40] for i in range(40)]
+    rows = []
+    for i in range(3000):
+        a, b = rng.integers(0, 40, 2)
+        rows.append((i, f"{i:07d}{chr(97 + i % 26) * int(rng.integers(0, 3))}{left[a][int(rng.integers(0, 30)):]}{phrase}{right[b][: int(rng.integers(3, 40))]}{i * 7919:09d}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashes = hashes_of(spark, rows)
+    want = brute_removed([(d, hashes[t], t) for d, t in rows], 100)
+    hot = suffix_dedup.hot_anchors(suffix_dedup.keyed(df), 100)
+    assert len(hot) and Counter(tuple(r) for r in suffix_dedup.digests(df).collect()) == want
+    assert sum(r[2] > 0 for r in want) > 500
+    found = suffix_dedup.keyed(df)
+    met = suffix_dedup.meet(suffix_dedup.find_runs(found, 100, hot))
+    assert met.filter(f"kind = {suffix_dedup.HOT}").count() > 1000
+
+
+def test_split_runs_cover_all_windows_once():
+    whole = [prose(i, 200).encode() for i in range(20)]
+    doc, start, count, _, _ = suffix_dedup.runs(whole)
+    texts = [whole[d][a : a + n + 99] for d, a, n in zip(doc, start, count)]
+    row, first, n, key, _ = suffix_dedup.split_hot(texts, 100)
+    got = sorted((int(r), int(f) + k) for r, f, m in zip(row, first, n) for k in range(m))
+    assert got == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 99)] and n.max() <= 2
+
+
 # 10. Telephony audio.
 
 
