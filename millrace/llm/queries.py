@@ -40,7 +40,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.range(1).selectExpr("stack(2, -7L, 0L, 'user', '{0}', -7L, 1L, 'assistant', '{0}') as (conv_id, turn, role, text)".format(said))
-    return digests(format_records(turns_to_records(rows.unionByName(own))))
+    layouts = ("turns", "messages", "conversations", "prompt_response")
+    return digests(format_records(turns_to_records(rows.unionByName(own), layouts)))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

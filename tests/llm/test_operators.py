@@ -268,7 +268,24 @@ def test_layouts_by_fingerprint(spark):
         ('{"system":"s","prompt":"a","response":"b"}', [("system", "s"), ("user", "a"), ("assistant", "b")]),
         ('{"instruction":"a","input":"x","output":"b"}', [("user", "a\n\nx"), ("assistant", "b")]),
         ('{"question":"a","answer":"b"}', [("user", "a"), ("assistant", "b")]),
-        ('{"unheard":"a"}', None), ("no json", None), (None, None),
+        ('{"unheard":"a"}', None), ("no json", None), (None, None), ("[1]", None), ('{"messages":"a"}', None), ('{"prompt":"a"}', None),
+        ('{"id":7,"messages":[{"role":"user","content":"a","name":"n"}],"meta":{"role":"x"}}', [("user", "a")]),
+        ('{"messages":[]}', []),
+        ('{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"image","url":"u"},"b"]},{"role":"assistant","content":"c"}]}', [("user", "a\nb"), ("assistant", "c")]),
+        ('{"messages":[{"role":"user","content":[{"type":"text","text":"a"}]}]}', [("user", "a")]),
+        ('{"prompt":[{"role":"user","content":"a"}],"completion":"b"}', [("user", "a"), ("assistant", "b")]),
+        ('{"prompt":[{"role":"user","content":"a"}],"completion":[{"role":"assistant","content":"b"}]}', [("user", "a"), ("assistant", "b")]),
+        ('{"instruction":"a","input":"","output":"b","history":[["q","r"],["s","t"]]}', [("user", "q"), ("assistant", "r"), ("user", "s"), ("assistant", "t"), ("user", "a"), ("assistant", "b")]),
+        ('{"instruction":"a","output":"b","history":[]}', [("user", "a"), ("assistant", "b")]),
+        ('{"prompt":"a","chosen":"b","rejected":"c"}', [("user", "a"), ("assistant", "b")]),
+        ('{"chosen":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}],"rejected":[{"role":"user","content":"a"}],"score":0.5}', [("user", "a"), ("assistant", "b")]),
+        ('{"prompt":"a","chosen":[{"role":"assistant","content":"b"}],"rejected":[]}', [("user", "a"), ("assistant", "b")]),
+        ('{"prompt":"a","chosen":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}', [("user", "a"), ("assistant", "b")]),
+        ('{"prompt":[{"role":"user","content":"a"}],"chosen":[{"role":"assistant","content":"b"}]}', [("user", "a"), ("assistant", "b")]),
+        ('{"system":"s","messages":[{"role":"user","content":"a"}]}', [("system", "s"), ("user", "a")]),
+        ('{"messages":[{"role":"user","content":null},{"role":"assistant"}]}', [("user", ""), ("assistant", "")]),
+        ('{"conversations":[{"from":"human","value":"a","weight":1}],"id":"x"}', [("user", "a")]),
+        ('{"question":"a","answer":"b","url":"c"}', [("user", "a"), ("assistant", "b")]),
     ]
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(records)], "i int, record string")
     got = {r.i: r.turns for r in chat_format.format_records(df).collect()}
@@ -276,6 +293,30 @@ def test_layouts_by_fingerprint(spark):
         assert (got[i] and [tuple(t) for t in got[i]]) == want, i
 
 
+def test_fingerprints_select_one_layout_each():
+    seen = [frozenset((*x.required, *c)) for x in chat_format.LAYOUTS for n in range(len(x.optional) + 1) for c in chat_format.combinations(x.optional, n)]
+    real = [s for s in seen if all(p.split("[].")[0] + "[]" in s for p in s if "[]." in p) and not any(p + "[]" in s for p in s if "[" not in p)]
+    assert len(real) == len(set(real)) and len(real) > 200
+
+
+def test_rows_go_through_several_layouts(spark):
+    rows = [(c, n, "assistant" if n % 2 else "user", f"{c} {HARD[(c + n) % len(HARD)]}", "r") for c in range(200) for n in range(2 if c % 3 else 5)] + [(500, 0, "human", "x", "r"), (501, 0, "gpt", "y", "r")]
+    df = spark.createDataFrame(rows, CONV)
+    plain, mixed = (chat_format.turns_to_records(df, x) for x in (("turns",), ("turns", "messages", "conversations", "prompt_response")))
+    assert mixed.select(chat_format.fingerprint(F.col("record"))).distinct().count() == 4
+    a, b = (sorted(map(tuple, chat_format.digests(chat_format.format_records(x)).collect())) for x in (plain, mixed))
+    assert a == b and len(a) == 202
+
+
+def test_very_many_turns_stay_cheap(spark):
+    import time
+
+    rows = spark.range(20_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "cast(id as string) as text")
+    began = time.time()
+    r = chat_format.digests(chat_format.format_records(chat_format.turns_to_records(rows))).first()
+    assert r.n_turns == 20_000 and r.loss_chars == sum(len(str(i)) for i in range(1, 20_000, 2)) and time.time() - began < 60
+
+
 # 6. Secret scans.
 
 
@@ -295,6 +336,56 @@ SECRETS = [
 ]
 
 
+def brute_linked(text, scope):
+    """Spans and links by comparing all parts with each other."""
+    parts = brute_base(text)
+    for rank, (kind, pattern) in enumerate((("identifier", secret_scan.IDENTIFIER), ("weak", secret_scan.WEAK), ("endpoint", secret_scan.ENDPOINT)), 3):
+        parts += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text, re.A)]
+    parts.sort()
+    name = lambda p: f"{p[3]}:{p[0]}:{p[2]}"
+
+    def near(one, kinds):
+        own = [p for p in parts if p[3] in kinds and p[0] < one[2] + scope and p[2] > one[0] - scope and p != one]
+        before = [p for p in own if p < one]
+        return max(before, key=lambda p: (p[2], p)) if before else min(own) if own else None
+
+    spans, links = [], []
+    for p in parts:
+        access, secret = near(p, ("access", "identifier")), near(p, ("assign", "weak"))
+        partners = {"weak": [access], "identifier": [secret], "endpoint": [access, secret]}.get(p[3], [])
+        if all(partners):
+            spans.append(name(p))
+            links += [f"{name(p)}>{name(x)}" for x in partners]
+    return ",".join(spans), ",".join(links)
+
+
+def test_linked_spans_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    atoms = ["USERNAME=bob", "db_user: x_y", "login='me@x'", "PWD=hunter22", "pass: aaaaaaa", "AWS_SECRET_ACCESS_KEY=abcdef0", "https://db.example.com/x", "postgres://h/db", "AKIA" + "Q" * 16, "token=zzzzzzzz", "deadbeef" * 4]
+    atoms += ["aB3" + "x" * 37, "é🙂", "\n", "word", "superuser=bob", "passing: 1234567"]
+    rows = [(i, "".join(atoms[k] + " " * int(rng.integers(1, 60)) for k in rng.integers(0, len(atoms), rng.integers(0, 40)))) for i in range(300)]
+    for scope in (0, 20, 200):
+        found = secret_scan.scan(table(spark, rows), scope)
+        named = lambda c: F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        pairs = F.transform("links", lambda x: F.concat_ws(">", named(F.array(x["part"]))[0], named(F.array(x["partner"]))[0]))
+        got = {r.doc_id: (r.a, r.b) for r in found.select("doc_id", F.array_join(named("spans"), ",").alias("a"), F.array_join(pairs, ",").alias("b")).collect()}
+        assert got == {i: brute_linked(t, scope) for i, t in rows}, scope
+    assert sum(">" in b for _, b in got.values()) > 100
+
+
+def test_dense_texts_stay_cheap(spark):
+    """Very many spans in one text: each is found and masked, in seconds."""
+    import time
+
+    text = "".join(f"{i:024x} é user=u{i} " for i in range(20_000))
+    began = time.time()
+    r = secret_scan.digests(table(spark, [(1, text)])).first()
+    assert r.n_hex == 20_000 and r.base_sha256 == hashlib.sha256(",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in brute_base(text)).encode()).hexdigest()
+    dense = " ".join(f"{i:024x}" for i in range(20_000))
+    got = secret_scan.redact(table(spark, [(1, dense)])).first().text
+    assert got == " ".join(["[SECRET]"] * 20_000) and time.time() - began < 60
+
+
 def test_secret_spans(spark):
     rows = edge_rows() + list(enumerate(SECRETS, 500))
     got = sorted((r.doc_id, r.base_sha256, r.n_assign, r.n_access, r.n_hex) for r in secret_scan.digests(table(spark, rows)).collect() if r.doc_id is not None)
