@@ -1,15 +1,19 @@
-"""N-gram Jaccard self-join: MinHash LSH by fixed banding, then exact verification.
+"""N-gram Jaccard self-join: a MinHash LSH forest, then exact verification.
 
 1. Signatures: a document's set of five-word shingles gives ``trees * depth`` MinHash values
-   of 16 bits. A tree is a band of ``depth`` values; nothing is sorted and there are no tries.
-   Documents with equal shingle sets are one class representative with a count from here on.
-2. Prefixes: the constants alone fix one depth for all rows, the greatest at which the share of
-   pairs at the threshold that meet in some tree reaches the target recall. Prefixes are hashed
-   and grouped by equality.
-3. Candidates: within a prefix group, signatures that agree on clearly less than the threshold
-   are no candidates (the margin is six standard deviations). Groups are dealt out in blocks
+   of 16 bits: a label of ``depth`` values in each tree. Documents with equal shingle sets are
+   one class representative with a count from here on.
+2. Tries: each tree's labels are dealt out by prefix and sorted, so the labels below a trie's node
+   lie next to each other. A search at some depth pairs the sets below each node there.
+3. Shortening: the first search is at the full depth. From the agreement of the pairs found, and
+   the chance that a pair of such an agreement meets at that depth, follows how many pairs there
+   are, and what share of them each shorter prefix would find. Prefixes are shortened, the search
+   is repeated, until the share found reaches the target recall; they are never shorter than
+   where a pair at the threshold itself meets with that chance.
+4. Candidates: below a node, signatures that agree on clearly less than the threshold
+   are no candidates (the margin is six standard deviations). Nodes are dealt out in blocks
    of bounded size; a block returns a spanning forest of its candidate pairs, never the pairs.
-4. Verification: candidate components are dealt out in blocks bounded by shingles, each pair
+5. Verification: candidate components are dealt out in blocks bounded by shingles, each pair
    of chunks one block. A block computes the exact Jaccard similarity of all its pairs by an
    incidence product, and returns each representative's number of links and a spanning forest
    of the links. Classes are the components of those.
@@ -19,8 +23,10 @@ documents times chunks, and the work within one group of different near copies i
 in arithmetic only (README).
 
 Defined cases: a null text is empty; texts without words are copies of each other; a text of
-one to four words has one shingle of all its words; rows with equal ids are separate rows;
-an empty table gives no rows; other columns are ignored.
+one to four words has one shingle of all its words; rows with equal ids are separate rows, and
+so are equal rows; of rows that tie for a class's place the least text hash counts; very long
+texts are compared whole, one that has a block's shingles is a chunk of its own; an empty table
+gives no rows; other columns, of whatever name, are ignored and ``deduplicate`` keeps them.
 """
 
 from __future__ import annotations
@@ -35,20 +41,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import arrow_rows, fresh, stored
+from .shared import arrow_rows, fresh, join_skewed, stored
 from .textops import U64, shingles, slices, texts_of, words
 
 THRESHOLD, TARGET_RECALL, TREES, DEPTH = 0.8, 0.9995, 20, 8
 MARGIN, SIG_BLOCK, BLOCK_SHINGLES = 0.2, 2048, 1_000_000
 
 
-def matched_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
-    """Shortens the matched prefix from whole signatures on until the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+def chance(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np.ndarray | float:
+    """That two sets share a prefix of ``depth`` values in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def least_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
+    """The longest prefix that finds a pair at the threshold itself with the target's chance."""
+    while depth > 1 and chance(threshold, depth, trees) < target:
         depth -= 1
     return depth
 
 
+def expected_recall(found: dict[int, int], searched: int, depth: int, threshold: float, trees: int, full_depth: int) -> float | None:
+    """The share of all pairs at the threshold or above that a search at ``depth`` finds, judged by
+    the pairs found at ``searched`` (how many agree in how many values): each stands for as
+    many as its chance of being found says. None where none was found."""
+    agree = np.array([a for a in sorted(found) if a >= threshold * trees * full_depth], float)
+    if not len(agree):
+        return None
+    similarity = agree / (trees * full_depth)
+    there = np.array([found[int(a)] for a in agree], float) / chance(similarity, searched, trees)
+    return float((there * chance(similarity, depth, trees)).sum() / there.sum())
+
+
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     a, b = rng.integers(0, 1 << 63, (2, n), dtype=np.uint64)
@@ -116,13 +139,27 @@ def _chunked(df: DataFrame, key: str, chunks) -> DataFrame:
     return df.withColumn("chunks", chunks.cast("int")).withColumn("chunk", F.expr("cast(pmod(xxhash64(set_id), chunks) as int)")).withColumn("pair", F.explode(pairs)).select("*", "pair.ci", "pair.cj").drop("pair", "chunks")
 
 
+def search_forest(reps: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> tuple[DataFrame, int, float | None]:
+    """Candidate pairs as a spanning forest (a, b, agree), the depth of the search that found them,
+    and the recall that its pairs tell. Starts at the full depth and shortens until the target."""
+    floor, at = least_depth(threshold, trees, depth, target), depth
+    while True:
+        near = stored(_candidates(reps, at, trees, depth, threshold), "candidates")
+        found = {r["agree"]: r["n"] for r in near.groupBy("agree").agg(F.count("*").alias("n")).collect()}
+        recall = lambda d: expected_recall(found, at, d, threshold, trees, depth)  # noqa: B023, E731
+        if at == floor or (recall(at) or 0) >= target:
+            return near, at, recall(at)
+        at = next((d for d in range(at - 1, floor, -1) if (recall(d) or 0) >= target), floor)
+
+
 def _candidates(reps: DataFrame, depth: int, trees: int, full_depth: int, threshold: float) -> DataFrame:
-    """A spanning forest (a, b) of candidate pairs, from groups of one prefix in one tree."""
-    prefixes = F.expr(f"transform(sequence(0, {trees - 1}), t -> struct(t, substring(sig, 1 + t * {2 * full_depth}, {2 * depth}) as prefix))")
-    keyed = reps.select("set_id", F.explode(prefixes).alias("k")).select("set_id", F.xxhash64("k").alias("key"))
+    """A spanning forest (a, b, agree) of candidate pairs below the nodes at ``depth`` of each trie."""
+    labels = F.expr(f"transform(sequence(0, {trees - 1}), t -> struct(t, substring(sig, 1 + t * {2 * full_depth}, {2 * depth}) as prefix))")
+    keyed = reps.select("set_id", F.explode(labels).alias("k")).select("set_id", F.col("k.t").alias("tree"), F.xxhash64("k").alias("key"))
     groups = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = keyed.join(groups, "key")
     blocks = _chunked(rows, "key", F.expr(f"ceil(n / {SIG_BLOCK})")).drop("n").join(reps.select("set_id", "sig"), "set_id")
+    blocks = blocks.withColumn("label", F.expr(f"substring(sig, 1 + tree * {2 * full_depth}, {2 * full_depth})"))
     least = int(np.ceil((threshold - MARGIN) * trees * full_depth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,13 +179,15 @@ def _candidates(reps: DataFrame, depth: int, trees: int, full_depth: int, thresh
             whole = table.slice(0, done).combine_chunks()
             sig = np.frombuffer(b"".join(whole.column("sig").to_pylist()), np.uint16).reshape(done, -1)
             two = start[end - start == 2]
-            near = (sig[two] == sig[two + 1]).sum(1) >= least
-            near &= (ci[two] == cj[two]) | (chunk[two] != chunk[two + 1])
-            edges = list(zip(two[near].tolist(), (two[near] + 1).tolist(), strict=True))
+            agree = (sig[two] == sig[two + 1]).sum(1)
+            near = (agree >= least) & ((ci[two] == cj[two]) | (chunk[two] != chunk[two + 1]))
+            edges = list(zip(two[near].tolist(), (two[near] + 1).tolist(), agree[near].tolist(), strict=True))
             for x, y in zip(start[end - start > 2].tolist(), end[end - start > 2].tolist(), strict=True):
-                edges += [(x + i, x + j) for i, j in _spanning(sig[x:y], chunk[x:y] == ci[x], ci[x] == cj[x], least)]
+                edges += [(x + i, x + j, n) for i, j, n in _spanning(sig[x:y], chunk[x:y] == ci[x], ci[x] == cj[x], least)]
             ids = whole.column("set_id").to_pylist()
-            out = pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in edges], pa.binary()), pa.array([ids[j] for _, j in edges], pa.binary())], names=["a", "b"])
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([ids[i] for i, _, _ in edges], pa.binary()), pa.array([ids[j] for _, j, _ in edges], pa.binary()), pa.array([n for _, _, n in edges], pa.int32())], names=["a", "b", "agree"]
+            )
             return out, table.slice(done)
 
         rows = 0
@@ -164,12 +203,13 @@ def _candidates(reps: DataFrame, depth: int, trees: int, full_depth: int, thresh
             yield forest(pa.Table.from_batches(held), True)[0]
 
     arrow_rows(reps.sparkSession, SIG_BLOCK)
-    dealt = blocks.select("key", "ci", "cj", "chunk", "set_id", "sig").repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    dealt = blocks.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "label").select("key", "ci", "cj", "chunk", "set_id", "sig")
+    return dealt.mapInArrow(run, "a binary, b binary, agree int")
 
 
-def _spanning(sig: np.ndarray, side: np.ndarray, same: bool, least: int) -> list[tuple[int, int]]:
-    """A spanning forest of the rows that agree in ``least`` values, across sides unless ``same``."""
+def _spanning(sig: np.ndarray, side: np.ndarray, same: bool, least: int) -> list[tuple[int, int, int]]:
+    """A spanning forest of the rows that agree in ``least`` values (and in how many), across sides
+    unless ``same``. Rows come sorted, so those that share longer prefixes are met first."""
     left, edges = np.ones(len(sig), bool), []
     for seed in range(len(sig)):
         if not left[seed]:
@@ -178,8 +218,9 @@ def _spanning(sig: np.ndarray, side: np.ndarray, same: bool, least: int) -> list
         while queue:
             i = queue.pop()
             rest = np.flatnonzero(left if same else left & (side != side[i]))
-            near = rest[(sig[rest] == sig[i]).sum(1) >= least]
-            edges += [(i, j) for j in near.tolist()]
+            agree = (sig[rest] == sig[i]).sum(1)
+            near = rest[agree >= least]
+            edges += zip([i] * len(near), near.tolist(), agree[agree >= least].tolist(), strict=True)
             left[near] = False
             queue += near.tolist()
     return edges
@@ -250,12 +291,13 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     reps = sigs.groupBy("set_id").agg(F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("shingles").alias("shingles"), F.min_by(F.struct("doc_id", "row_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("at"))
     reps = stored(reps, "representatives")
     full = reps.filter("shingles > 0")
-    near = stored(_candidates(full, matched_depth(threshold, trees, depth, target_recall), trees, depth, threshold), "candidates")
+    near, _, _ = search_forest(full, threshold, trees, depth, target_recall)
     arrow_rows(docs.sparkSession)
     groups = connected_components(near).withColumnsRenamed({"node": "set_id", "root": "group"})
     members = stored(groups.join(reps, "set_id").select("set_id", "group", "copies", "shingles", "at"), "members")
+    n_members = members.count()
     total = members.groupBy("group").agg(F.sum("shingles").alias("n"), F.count("*").alias("m"))
-    dealt = _chunked(members.join(total, "group"), "group", F.expr(f"least(m, ceil(n / {BLOCK_SHINGLES}))"))
+    dealt = _chunked(join_skewed(members, total, "group", "m", n_members), "group", F.expr(f"least(m, ceil(n / {BLOCK_SHINGLES}))"))
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), F.coalesce("text", F.lit("")).alias("text"))
     own = members.select("set_id", F.col("at.doc_id").alias("doc_id"), F.col("at.row_hash").alias("row_hash"))
     # Always by a shuffle of both: a broadcast at small sizes only would hide what large ones move.
@@ -272,15 +314,17 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     found = stored(blocks.groupBy("group", "ci", "cj").applyInPandas(verify, "a binary, b binary, links long"), "links")
     classes = connected_components(found.filter("b is not null").select("a", "b"))
     links = found.filter("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("links"))
+    n_rows, n_sets = reps.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
     ids = (
         reps.select("set_id", "copies", F.col("at.doc_id").alias("least"))
         .join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
         .join(links, "set_id", "left")
         .select("set_id", "copies", "least", F.coalesce("root", "set_id").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     )
-    named = ids.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    per_set = ids.join(named, "root").selectExpr("set_id", "root as class_key", "class_id", "class_size", "links + copies - 1 as n_links")
-    return sigs.select("doc_id", "row_hash", "set_id").join(per_set, "set_id").select("doc_id", "row_hash", "class_key", "class_id", "n_links", "class_size")
+    named = ids.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("sets"))
+    per_set = join_skewed(ids, named, "root", "sets", n_sets).selectExpr("set_id", "copies", "root as class_key", "class_id", "class_size", "links + copies - 1 as n_links")
+    per_set = stored(per_set, "classes")
+    return join_skewed(sigs.select("doc_id", "row_hash", "set_id"), per_set, "set_id", "copies", n_rows).select("doc_id", "row_hash", "class_key", "class_id", "n_links", "class_size")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:

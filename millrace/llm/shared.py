@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.session import ship_package
 
@@ -53,9 +54,20 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_skewed(left: DataFrame, right: DataFrame, key: str, count: str, total: int, most: int = 10_000, least: int = 256) -> DataFrame:
+    """Inner join on ``key``, of which ``right`` has a row each and, in ``count``, how many rows ``left``
+    (of ``total``) has. Keys with more than one in ``most`` of all rows are ``most`` at most: their
+    rows of ``right`` are broadcast, so no task gets all of such a key; the others are shuffled."""
+    limit = max(least, total // most)
+    hot = F.broadcast(right.filter(F.col(count) > limit))
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(hot, key).unionByName(rest.join(right.filter(F.col(count) <= limit), key))
+
+
 def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
     """Bounds the rows of an Arrow batch, so that batches of long texts stay small, and
-    makes sure that Python workers can import this package."""
+    makes sure that Python workers can import this package. The bound is a setting of the
+    session and stays until another operator sets its own."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

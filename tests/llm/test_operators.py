@@ -124,9 +124,56 @@ def test_dedup_keeps_one_of_each_class(spark):
     assert ngram_join.deduplicate(table(spark, [])).count() == 0
 
 
-def test_depth_meets_the_target():
-    d = ngram_join.matched_depth()
-    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.TARGET_RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
+def test_shortening_follows_the_pairs():
+    floor = ngram_join.least_depth()
+    assert ngram_join.chance(0.8, floor) >= ngram_join.TARGET_RECALL > ngram_join.chance(0.8, floor + 1)
+    told = lambda found, at, d: ngram_join.expected_recall(found, at, d, 0.8, 20, 8)
+    assert told({158: 50}, 8, 8) > 0.9999 and told({}, 8, 8) is None and told({100: 9}, 8, 8) is None
+    # Pairs at 0.8 are found at full depth with a chance of 0.975: 975 found stand for 1,000.
+    assert abs(told({128: 975}, 8, 8) - ngram_join.chance(0.8, 8)) < 1e-9
+    mixed = {128: 975, 158: 1000}
+    assert told(mixed, 8, 8) < told(mixed, 8, 7) < told(mixed, 8, 6) < told(mixed, 8, 5)
+
+
+def changed(seed, words, changes):
+    """A text of ``words`` words, and one of it with ``changes`` of them replaced."""
+    rng = np.random.default_rng(seed)
+    a = [f"w{x}" for x in rng.integers(0, 10**6, words)]
+    b = list(a)
+    for p in rng.choice(words, changes, replace=False):
+        b[p] = f"z{rng.integers(0, 10**6)}"
+    return " ".join(a), " ".join(b)
+
+
+@pytest.mark.parametrize("changes, depths", [(0.002, {8}), (0.019, {5, 6})])
+def test_forest_depth_depends_on_the_data(spark, changes, depths):
+    rows = [(2 * i + k, t) for i in range(150) for k, t in enumerate(changed(i, 500, max(1, int(500 * changes))))]
+    sigs = ngram_join.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+    _, depth, recall = ngram_join.search_forest(sigs.select("set_id", "sig"))
+    assert depth in depths and (recall >= ngram_join.TARGET_RECALL or depth == ngram_join.least_depth())
+
+
+def test_forest_recall_against_all_pairs(spark):
+    """Pairs from 0.8 on, most of them near it, among many that are not alike."""
+    rows = [(2 * i + k, t) for i in range(400) for k, t in enumerate(changed(1000 + i, 200, 1 + i % 6))]
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = brute_links(rows)
+    links = sum(k[2] * n for k, n in want.items())
+    assert links > 400 and sum(k[2] * n for k, n in got.items()) >= 0.99 * links and sum((got & want).values()) >= 0.99 * len(rows)
+
+
+def test_structured_documents_are_no_copies(spark):
+    rows = [(i, w) for n in (1024, 2048, 4096) for i, w in enumerate(thue_morse(n), n)]
+    assert {(r.doc_id, r.n_links) for r in ngram_join.ngram_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(i, 0) for i, _ in rows}
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    from millrace.llm import components
+
+    monkeypatch.setattr(components, "join_skewed", lambda *a: __import__("millrace.llm.shared", fromlist=["join_skewed"]).join_skewed(*a, most=50, least=2))
+    edges = [(0, i) for i in range(1, 500)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001), (2001, 2002), (2002, 2000)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(500)}, **{1000 + i: 1000 for i in range(41)}, 2000: 2000, 2001: 2000, 2002: 2000}
 
 
 # 2. Benchmark decontamination.
