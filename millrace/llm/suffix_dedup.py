@@ -253,7 +253,7 @@ def find_runs(docs: DataFrame, length: int, hot: np.ndarray = np.zeros(0, np.int
 
 
 class _Meeting:
-    """Reads runs sorted by kind, anchor, content, length and place; holds the first run of the
+    """Reads runs sorted by anchor, content, length and place; holds the first run of the
     last content, and the first runs of the last anchor until their number tells their kind."""
 
     def __init__(self, hot_contents: int):
@@ -286,15 +286,30 @@ class _Meeting:
         self.head = {k: v[at[-1] : at[-1] + 1] for k, v in c.items()}
         new = at[1:] if known else at  # the head was counted when it came
         anchor = c["anchor"]
-        cuts = np.flatnonzero(np.diff(anchor[new]) != 0) + 1
-        for k, own in enumerate(np.split(new, cuts)):
-            if len(own) and (k or not known or anchor[own[0]] != anchor[0]):
-                yield from self.end()
-            self.held.append({n: v[own] for n, v in c.items()})
-            self.count += len(own)
-            if self.count > self.hot_contents:
-                yield from self._send()
-                self.sent = True
+        starts = np.flatnonzero(_later(anchor[new])) if len(new) else np.zeros(0, np.int64)
+        # Of the anchors, the first may go on from the batch before, and the last into the next one.
+        goes_on = known and len(new) > 0 and anchor[new[0]] == anchor[0]
+        if goes_on:
+            stop = starts[1] if len(starts) > 1 else len(new)
+            yield from self._hold({n: v[new[:stop]] for n, v in c.items()}, int(stop))
+            starts = starts[1:]
+        if not len(starts):
+            return
+        yield from self.end()
+        size = np.diff(np.append(starts, len(new)))
+        inner = np.repeat(size[:-1], size[:-1])
+        own = {n: v[new[starts[0] : starts[-1]]] for n, v in c.items()}
+        hot = (inner > self.hot_contents) | (own["kind"] == HOT)
+        told = hot | (inner > 1)
+        yield from _batch({n: v[told] for n, v in own.items()}, np.where(hot, HOT, ONE)[told])
+        yield from self._hold({n: v[new[starts[-1] :]] for n, v in c.items()}, int(size[-1]))
+
+    def _hold(self, own: dict[str, np.ndarray], count: int) -> Iterator[pa.RecordBatch]:
+        self.held.append(own)
+        self.count += count
+        if self.count > self.hot_contents:
+            yield from self._send()
+            self.sent = True
 
 
 def meet(found: DataFrame, hot_contents: int | None = None) -> DataFrame:
@@ -316,7 +331,8 @@ def meet(found: DataFrame, hot_contents: int | None = None) -> DataFrame:
     # Repeats stay where they are dealt to; a row of them goes by its place, one of a hot anchor by its content.
     key = F.when(F.col("kind") == ONE, F.col("anchor")).when(F.col("kind") == HOT, F.xxhash64("anchor", "content")).otherwise(F.xxhash64("doc_id", "start"))
     dealt = found.withColumn("key", key).repartition("key").drop("key")
-    return dealt.sortWithinPartitions("kind", "anchor", "content", "n", "doc_id", "row_hash", "start").mapInArrow(run, RUN)
+    # An anchor has one kind but for repeats, which are passed on as they come.
+    return dealt.sortWithinPartitions("anchor", "content", "n", "doc_id", "row_hash", "start").mapInArrow(run, RUN)
 
 
 def split_hot(data: list[bytes], length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -476,7 +492,7 @@ def compare(contents: DataFrame, length: int) -> DataFrame:
 
     key = F.when(F.col("kind") == ONE, F.col("anchor")).otherwise(F.xxhash64("doc_id", "start"))
     dealt = contents.withColumn("key", key).repartition("key").drop("key")
-    return dealt.sortWithinPartitions("kind", "anchor").mapInArrow(run, RUN)
+    return dealt.sortWithinPartitions("anchor").mapInArrow(run, RUN)
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
