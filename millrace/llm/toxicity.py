@@ -3,35 +3,40 @@
 The chain predicts categories one after another; each later model also sees the earlier
 categories' probabilities. In training these come from models that did not see the document
 (out-of-fold), so a later model learns how far to trust them. Models are logistic, over
-the presence of words whose counts depend on the label.
+the presence of words whose counts depend on the label. A fold's words, facets and models are
+chosen without the fold's labels; the last models use all of them.
 
 Where the labels name one toxic flag only, the categories before it are facets: groups of
-toxic words that occur together in toxic training documents (a language's words, say).
+toxic words that occur together in toxic training documents (a language's words, say). They
+say nothing that the flag does not (README compares with one plain model).
 
 The fit uses at most about ``max_train`` labelled documents, chosen by a hash of their id; their ids
-are broadcast under that bound. Scoring covers all documents.
+are broadcast under that bound. Of their words it keeps ``VOCABULARY`` by fold, and of groups of at
+most ``FACET_WORDS`` words ``FACETS``. Scoring covers all documents.
 
 Defined cases: null and empty texts get the score of no words; labels of null are ignored,
 repeated ones count each; without labels of both kinds the score is the share of toxic ones,
-or 0; rows with equal ids are scored each; an empty table gives no rows; other columns are
-ignored by ``score_toxicity`` and kept by ``drop_toxic``.
+or 0; words that tell alike are taken in the order of their hashes; rows with equal ids are
+scored each, equal rows too; a very long text is scored whole, in a batch of its own; an empty
+table gives no rows; other columns, of whatever name, are ignored by ``score_toxicity`` (but
+those that it is asked to keep) and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import arrow_rows, stored
 from .textops import U64, slices, texts_of, words
 
-MAX_TRAIN, VOCABULARY, LEAST_GAIN, FACETS, FOLDS, L2, REJECT = 40_000, 2048, 10.0, 4, 3, 0.1, 0.5
+MAX_TRAIN, VOCABULARY, LEAST_GAIN, FACETS, FACET_WORDS, FOLDS, L2, REJECT = 40_000, 2048, 10.0, 4, 256, 3, 0.1, 0.5
 
 
 class Rows:
@@ -46,6 +51,11 @@ class Rows:
     def transposed_times(self, v: np.ndarray, width: int) -> np.ndarray:
         return np.bincount(self.columns, v[self.row], width) if len(self.columns) else np.zeros(width)
 
+    def only(self, allowed: np.ndarray) -> Rows:
+        """The same rows, with the allowed columns' entries."""
+        kept = allowed[self.columns] if len(self.columns) else np.zeros(0, bool)
+        return Rows(self.columns[kept], np.concatenate([[0], np.cumsum(kept)])[self.offsets])
+
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
@@ -101,19 +111,25 @@ class Chain:
     names: tuple[str, ...] = ()
     weights: list[np.ndarray] = field(default_factory=list)
     constant: float = 0.0
+    unseen: np.ndarray | None = None  # the fit's out-of-fold probabilities
 
     @classmethod
-    def fit(cls, vocabulary: np.ndarray, x: Rows, targets: dict[str, np.ndarray], fold: np.ndarray, folds: int = FOLDS) -> Chain:
-        """``targets`` in the chain's order; ``fold``: a number below ``folds`` for each row."""
+    def fit(cls, vocabulary: np.ndarray, x: Rows, targets: dict[str, np.ndarray], fold: np.ndarray, own: list[tuple[np.ndarray, dict[str, np.ndarray]]], allowed: np.ndarray) -> Chain:
+        """``targets`` in the chain's order; ``fold``: a number for each row; ``own``: for each fold
+        the words that may be used without it, and the targets as they are known without it;
+        ``allowed``: the words of the last models."""
         width, n = len(vocabulary), len(x.offsets) - 1
-        seen, out = np.zeros((n, 0)), cls(vocabulary, tuple(targets))
-        for y in targets.values():
+        seen, out = np.zeros((n, 0)), cls(vocabulary[allowed], tuple(targets))
+        views, whole = [x.only(words) for words, _ in own], x.only(allowed)
+        for name, y in targets.items():
             unseen = np.zeros(n)
-            for k in range(folds):
-                w = fit_logistic(x, seen, y, fold != k, width)
-                unseen[fold == k] = _sigmoid(x.times(w[:width]) + seen @ w[width:-1] + w[-1])[fold == k]
-            out.weights.append(fit_logistic(x, seen, y, np.ones(n, bool), width))
+            for k, view in enumerate(views):
+                w = fit_logistic(view, seen, own[k][1][name], fold != k, width)
+                unseen[fold == k] = _sigmoid(view.times(w[:width]) + seen @ w[width:-1] + w[-1])[fold == k]
+            w = fit_logistic(whole, seen, y, np.ones(n, bool), width)
+            out.weights.append(np.concatenate([w[:width][allowed], w[width:]]))
             seen = np.column_stack([seen, unseen])
+        out.unseen = seen
         return out
 
     def predict(self, x: Rows) -> np.ndarray:
@@ -137,13 +153,14 @@ def present(hashes: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) ->
     return Rows(column, np.searchsorted(row, np.arange(len(offsets))))
 
 
-def facets(x: Rows, y: np.ndarray, width: int, most: int = FACETS, least_rows: int = 5) -> dict[str, np.ndarray]:
-    """Groups of telling words that occur together: per facet, which toxic rows have one."""
-    toxic = y > 0
-    with_word = x.transposed_times(np.ones(len(y)), width)
+def facets(x: Rows, y: np.ndarray, rows: np.ndarray, width: int, most: int = FACETS, least_rows: int = 5) -> list[np.ndarray]:
+    """Groups of telling words that occur together, by the toxic rows (of ``rows``) that have one of
+    them."""
+    toxic = (y > 0) & rows
+    with_word = x.transposed_times(rows.astype(float), width)
     share = x.transposed_times(toxic.astype(float), width) / np.maximum(with_word, 1)
     telling = np.flatnonzero((share >= 0.9) & (with_word >= least_rows))
-    telling = telling[np.argsort(-with_word[telling], kind="stable")][:256]
+    telling = telling[np.argsort(-with_word[telling], kind="stable")][:FACET_WORDS]
     spot = np.full(width, -1)
     spot[telling] = np.arange(len(telling))
     own = toxic[x.row] & (spot[x.columns] >= 0)
@@ -157,28 +174,60 @@ def facets(x: Rows, y: np.ndarray, width: int, most: int = FACETS, least_rows: i
         if (new == group).all():
             break
         group = new
-    found = {g: m[:, group == g].any(1) for g in np.unique(group)}
-    best = sorted(found.items(), key=lambda kv: (-kv[1].sum(), kv[0]))[:most]
-    return {f"facet_{i}": v.astype(float) for i, (_, v) in enumerate(best) if v.sum() >= least_rows}
-
-
-def _telling_words(sample: DataFrame, most: int, least_gain: float) -> tuple[np.ndarray, int, int]:
-    """The words with the greatest log-likelihood ratio between the labels, sorted; the label counts."""
-    totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
+    found = {g: int(m[:, group == g].any(1).sum()) for g in np.unique(group)}
+    best = sorted((g for g in found if found[g] >= least_rows), key=lambda g: (-found[g], g))[:most]
+    return [np.sort(telling[group == g]) for g in best]
+
+
+def has_any(x: Rows, y: np.ndarray, words: np.ndarray, width: int) -> np.ndarray:
+    """Which toxic rows have one of the words."""
+    weights = np.zeros(width)
+    weights[words] = 1
+    return ((x.times(weights) > 0) & (y > 0)).astype(float)
+
+
+def like(groups: list[np.ndarray], own: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of ``groups`` that one of ``own`` with most words in common; empty without any."""
+    out = []
+    for g in groups:
+        shared = [len(np.intersect1d(g, o)) for o in own]
+        out.append(own[int(np.argmax(shared))] if max(shared, default=0) else np.zeros(0, np.int64))
+    return out
+
+
+def telling_words(sample: DataFrame, most: int = VOCABULARY, least_gain: float = LEAST_GAIN, folds: int = FOLDS) -> tuple[list[np.ndarray], int, int]:
+    """The words with the greatest log-likelihood ratio between the labels, sorted: over all rows
+    of ``sample`` (label, fold, words), then without each fold; and the label counts."""
+    totals = {(r["label"], r["fold"]): r["n"] for r in sample.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}
+    counted = lambda label, without: sum(n for (y, k), n in totals.items() if y == label and k != without)
+    n0, n1 = counted(0, None), counted(1, None)
+    settings = [None, *range(folds)]
     if not n0 or not n1:
-        return np.zeros(0, U64), n0, n1
-    counts = sample.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
-    a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
-    part = lambda k, of, all_k: F.when(k > 0, k * F.log(k / (of * all_k / (n0 + n1)))).otherwise(F.lit(0.0))
-    n = a + b
-    rest = F.lit(float(n0 + n1)) - n
-    gain = 2 * (part(a, n, n1) + part(b, n, n0) + part(F.lit(float(n1)) - a, rest, n1) + part(F.lit(float(n0)) - b, rest, n0))
-    top = counts.withColumn("gain", gain).filter(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "w").limit(most).select("w").collect()
-    return np.sort(np.array([r[0] for r in top], np.int64).view(U64)), n0, n1
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories: tuple[str, ...] = (), max_train: int = MAX_TRAIN) -> Chain:
+        return [np.zeros(0, U64)] * len(settings), n0, n1
+    each = [c for k in range(folds) for c in (F.sum(F.when(F.col("fold") == k, F.col("label")).otherwise(0)).alias(f"a{k}"), F.count_if(F.col("fold") == k).alias(f"n{k}"))]
+    counts = sample.select("label", "fold", F.explode("words").alias("w")).groupBy("w").agg(*each)
+
+    def gain(without: int | None) -> Column:
+        n0, n1 = counted(0, without), counted(1, without)
+        if not n0 or not n1:
+            return F.lit(0.0)
+        kept = [k for k in range(folds) if k != without]
+        a, n = (sum((F.col(f"{c}{k}") for k in kept), F.lit(0)).cast("double") for c in "an")
+        part = lambda k, of, all_k: F.when(k > 0, k * F.log(k / (of * all_k / (n0 + n1)))).otherwise(F.lit(0.0))
+        b, rest = n - a, F.lit(float(n0 + n1)) - n
+        return 2 * (part(a, n, n1) + part(b, n, n0) + part(F.lit(float(n1)) - a, rest, n1) + part(F.lit(float(n0)) - b, rest, n0))
+
+    names = ["g", *(f"g{k}" for k in range(folds))]
+    gains = counts.select("w", *(gain(k).alias(n) for k, n in zip(settings, names, strict=True)))
+    gains = stored(gains.filter(F.greatest(*names) >= least_gain), "telling-words")
+    out = []
+    for name in names:
+        top = gains.filter(F.col(name) >= least_gain).orderBy(F.desc(name), "w").limit(most).select("w").collect()
+        out.append(np.sort(np.array([r[0] for r in top], np.int64).view(U64)))
+    return out, n0, n1
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories: tuple[str, ...] = (), max_train: int = MAX_TRAIN, most_facets: int = FACETS) -> Chain:
     """Fits the chain ``categories`` then ``label``; without categories, facets come first."""
     spark = docs.sparkSession
     columns = [*categories, label]
@@ -199,24 +248,42 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", categ
     arrow_rows(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", *(F.col(c).cast("long") for c in columns), "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in columns), T.StructField("words", T.ArrayType(T.LongType()))])
-    sample = stored(texts.mapInArrow(run, schema), "toxicity-sample")
-    vocabulary, n0, n1 = _telling_words(sample.withColumn("label", F.col(label)), VOCABULARY, LEAST_GAIN)
+    sample = stored(texts.mapInArrow(run, schema).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "toxicity-sample")
+    chosen_words, n0, n1 = telling_words(sample.select(F.col(label).alias("label"), "fold", "words"))
     if not n0 or not n1:
-        return Chain(vocabulary, constant=n1 / max(1, n0 + n1))
-    words_of = F.array(*(F.lit(int(w)) for w in vocabulary.view(np.int64)))
-    kept = sample.select("doc_id", *columns, F.array_sort(F.array_intersect("words", words_of)).alias("words")).toPandas().sort_values(["doc_id", *columns], kind="stable")
-    flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(w, np.int64) for w in kept["words"])]).view(U64)
+        return Chain(chosen_words[0], constant=n1 / max(1, n0 + n1))
+    vocabulary = np.unique(np.concatenate(chosen_words))
+    width, names = len(vocabulary), sample.columns
+
+    def known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("words")
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            hit = np.isin(flat.view(U64), vocabulary)
+            ends = np.concatenate([[0], np.cumsum(hit)])[at].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", *columns)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[hit])), b.column("fold")], names=names)
+
+    kept = sample.mapInArrow(known_words, sample.schema).toPandas().sort_values(["doc_id", *columns], kind="stable")
+    flat = np.concatenate([np.zeros(0, np.int64), *(np.sort(np.asarray(w, np.int64)) for w in kept["words"])]).view(U64)
     offsets = np.concatenate([[0], np.cumsum([len(w) for w in kept["words"]])]).astype(np.int64)
     x = present(flat, offsets, vocabulary)
-    y = kept[label].to_numpy(float)
-    before = {c: np.nan_to_num(kept[c].to_numpy(float)) for c in categories} or facets(x, y, len(vocabulary))
-    fold = (kept["doc_id"].to_numpy(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) >> U64(33)).astype(np.int64) % FOLDS
-    return Chain.fit(vocabulary, x, {**before, label: y}, fold)
+    y, fold = kept[label].to_numpy(float), kept["fold"].to_numpy(np.int64)
+    given = {c: np.nan_to_num(kept[c].to_numpy(float)) for c in categories}
+    allowed = [np.isin(vocabulary, words) for words in chosen_words]
+    groups = [] if categories else facets(x.only(allowed[0]), y, np.ones(len(y), bool), width, most_facets)
+    own = []
+    for k in range(FOLDS):
+        view = x.only(allowed[1 + k])
+        alike = like(groups, facets(view, y, fold != k, width, most_facets)) if groups else []
+        own.append((allowed[1 + k], {**given, **{f"facet_{i}": has_any(view, y, g, width) for i, g in enumerate(alike)}, label: y}))
+    before = given | {f"facet_{i}": has_any(x, y, g, width) for i, g in enumerate(groups)}
+    return Chain.fit(vocabulary, x, {**before, label: y}, fold, own, allowed[0])
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, reject: float = REJECT, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score, predicted and the categories' probabilities of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(chain, unseen=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +305,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, reject: float = REJECT, keep:
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT, **options) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic."""
     chain = fit_toxicity(docs, labels, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(chain, unseen=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -284,6 +284,107 @@ def test_toxicity_edges(spark):
     assert given.names == ("rude", "toxic")
 
 
+def plain_statistics(t):
+    """Some of the statistics by plain Python."""
+    w = re.findall(r"[^\W_]+", t.lower())
+    lines = [x for x in t.split("\n") if x.strip()]
+    return {
+        "log_chars": np.log1p(len(t)), "log_words": np.log1p(len(w)), "word_length": np.log1p(np.mean([len(x) for x in w]) if w else 0), "upper": (sum(c.isupper() for c in t) / max(1, len(t))) ** 0.5,
+        "digit": (sum(c.isdigit() for c in t) / max(1, len(t))) ** 0.5, "space": sum(c.isspace() for c in t) / max(1, len(t)), "top_word": (max(Counter(w).values(), default=0) / max(1, len(w))) ** 0.5,
+        "distinct_words": np.log((len(set(w)) + 1) / (max(1, len(w)) + 1)), "repeated_lines": (1 - len(set(lines)) / len(lines) if lines else 0) ** 0.5, "log_line_words": np.log1p(len(w) / max(1, len(lines))),
+    }
+
+
+def test_statistics_match_plain_python():
+    texts = [prose(1, 50), "", "One. Two!\nOne. Two!\n\nTHREE 33", "a", " \n "]
+    got = quality.statistics(texts)
+    for row, t in zip(got, texts):
+        for name, want in plain_statistics(t).items():
+            assert abs(row[quality.STATISTICS.index(name)] - want) < 1e-9, (name, t)
+
+
+def test_quality_is_a_naive_discriminant(spark):
+    """Scores from class densities with explicit inverses and determinants, over all rows at once."""
+    rows, labels = labelled(spark, 300)
+    got = {r.doc_id: r.score for r in quality.score_quality(table(spark, rows), labels).collect()}
+    x = quality.statistics([t for _, t in rows])
+    y = {r.doc_id: r.quality for r in labels.collect() if r.doc_id is not None and r.quality is not None}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    z = (x - x[train].mean(0)) / (np.sqrt(np.maximum(x[train].var(0), 1e-12)) + 1e-6)
+    own = {k: z[[i for i in train if y[i] == k]] for k in (0, 1)}
+    cov = {k: np.cov(v.T, bias=True) for k, v in own.items()}
+    pooled = sum(len(own[k]) * cov[k] for k in own) / len(train)
+    density = []
+    for k in (0, 1):
+        c = (1 - quality.POOLING) * cov[k] + quality.POOLING * pooled
+        c = (1 - quality.SHRINKAGE) * c + quality.SHRINKAGE * max(np.trace(c) / len(c), 1e-3) * np.eye(len(c))
+        d = z - own[k].mean(0)
+        density.append(np.log(len(own[k]) / len(train)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
+    want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / quality.TEMPERATURE, -700, 700)))
+    assert max(abs(got[i] - want[i]) for i, _ in rows) < 1e-6
+
+
+def plain_chain(chain, text):
+    """The chain's probabilities of a text, word by word."""
+    h, _, _, _ = textops.words([text])
+    own = set(h.tolist())
+    seen = []
+    for w in chain.weights:
+        width = len(chain.vocabulary)
+        z = w[-1] + sum(w[j] for j, v in enumerate(chain.vocabulary.tolist()) if v in own) + sum(w[width + j] * p for j, p in enumerate(seen))
+        seen.append(1 / (1 + np.exp(-z)))
+    return seen
+
+
+def test_toxicity_scores_and_rejections_match_plain_python(spark):
+    rows, labels = labelled(spark, 300)
+    rows += [(1000, "vile prose"), (1001, ""), (1002, None), (1002, "mies " * 20_000)]
+    docs = table(spark, rows)
+    chain = toxicity.fit_toxicity(docs, labels)
+    want = Counter((d, tuple(round(float(p), 9) for p in plain_chain(chain, t or ""))) for d, t in rows)
+    got = Counter((r.doc_id, tuple(round(p, 9) for p in [*r.categories, r.score])) for r in toxicity.score_toxicity(docs, chain).collect())
+    assert got == want
+    kept = Counter((r.doc_id, r.text) for r in toxicity.drop_toxic(docs, labels).collect())
+    assert kept == Counter((d, t) for d, t in rows if plain_chain(chain, t or "")[-1] < toxicity.REJECT)
+
+
+def test_logistic_fit_is_the_optimum():
+    rng = np.random.default_rng(8)
+    dense = (rng.random((200, 12)) < 0.3).astype(float)
+    y = (rng.random(200) < 1 / (1 + np.exp(-(dense @ rng.normal(0, 2, 12))))).astype(float)
+    row, column = np.nonzero(dense)
+    x = toxicity.Rows(column, np.searchsorted(row, np.arange(201)))
+    rows = rng.random(200) < 0.8
+    w = toxicity.fit_logistic(x, np.zeros((200, 0)), y, rows, 12)
+    full, ridge = np.column_stack([dense, np.ones(200)])[rows], np.append(np.full(12, toxicity.L2), 1e-6)
+    v = np.zeros(13)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-full @ v))
+        v -= np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + np.diag(ridge), full.T @ (p - y[rows]) + ridge * v)
+    assert np.abs(w - v).max() < 0.02
+
+
+def test_a_fold_is_chosen_without_its_labels(spark):
+    rows, _ = labelled(spark, 300)
+    words = [np.unique(textops.words([t])[0]).view(np.int64).tolist() for _, t in rows]
+    sample = [(int(i % 4 == 1), i % 3, w) for (i, _), w in zip(rows, words)]
+    turned = [(1 - y if k == 1 else y, k, w) for y, k, w in sample]
+    schema = "label long, fold int, words array<long>"
+    a, b = (toxicity.telling_words(spark.createDataFrame(s, schema))[0] for s in (sample, turned))
+    assert a[2].tolist() == b[2].tolist() and len(a[2]) and a[0].tolist() != b[0].tolist() and a[1].tolist() != b[1].tolist()
+
+
+def test_toxicity_sees_wordings_with_few_labels(spark):
+    """A wording that five of 44 toxic labelled documents share, and no other, is known afterwards."""
+    kinds = ["zorro malo"] * 5 + ["nasty slur"] * 39 + ["talk"] * 356
+    rows = [(i, f"{kind}, talk about the town, part {i}") for i, kind in enumerate(kinds)]
+    labels = spark.createDataFrame([(i, int(i < 44)) for i in range(400)], "doc_id long, toxic int")
+    chain = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    new = spark.createDataFrame([(1000, "zorro malo, talk about the town"), (1001, "nasty slur, talk about the town"), (1002, "talk about the town")], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(new, chain).collect()}
+    assert got == {1000: 1, 1001: 1, 1002: 0}
+
+
 # 5. Chat formatting.
 
 CONV = "conv_id long, turn long, role string, text string, record string"
