@@ -6,7 +6,6 @@ import datetime as dt
 import re
 
 from millrace.functions import constants as K
-from millrace.llm import toxicity
 from millrace.plans import registered
 from millrace.plans.text import _rows
 
@@ -36,17 +35,6 @@ def test_cleaning_reads_whole_texts(spark, tmp_path):
             assert got[i].startswith(rule(text)), name
 
 
-def test_toxicity_sees_wordings_with_few_labels(spark):
-    """A wording that five of 44 toxic labelled documents share, and no other, is known afterwards."""
-    kinds = ["zorro malo"] * 5 + ["nasty slur"] * 39 + ["talk"] * 356
-    rows = [(i, f"{kind}, talk about the town, part {i}") for i, kind in enumerate(kinds)]
-    labels = spark.createDataFrame([(i, int(i < 44)) for i in range(400)], "doc_id long, toxic int")
-    chain = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels)
-    new = spark.createDataFrame([(1000, "zorro malo, talk about the town"), (1001, "nasty slur, talk about the town"), (1002, "talk about the town")], "doc_id long, text string")
-    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(new, chain).collect()}
-    assert got == {1000: 1, 1001: 1, 1002: 0}
-
-
 def test_dates_of_every_event(spark, tmp_path):
     spark.range(2990, 3050).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
     day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i % 360)
