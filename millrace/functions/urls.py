@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.robotparser import RobotFileParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +49,28 @@ def dataset_id(url: Column) -> Column:
 
 def alert_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"/alert/(\w+)/?", 1), F.lit(""))
+
+
+def byte_source(url: Column) -> Column:
+    """Where a file's bytes are read from: ``http`` for such an address, else ``file``."""
+    return F.when(url.rlike("^https?://"), F.lit("http")).otherwise(F.lit("file"))
+
+
+def robots_allowed(url: Column, robots: Column, agent: str) -> Column:
+    """Whether a site's robots file lets ``agent`` fetch an address; without a file it may."""
+
+    @F.pandas_udf("boolean")
+    def run(urls: pd.Series, files: pd.Series) -> pd.Series:
+        rules: dict[str, RobotFileParser] = {}
+        out = []
+        for u, text in zip(urls, files, strict=True):
+            if text is None:
+                out.append(True)
+                continue
+            if text not in rules:
+                rules[text] = RobotFileParser()
+                rules[text].parse(text.splitlines())
+            out.append(rules[text].can_fetch(agent, u or ""))
+        return pd.Series(out, dtype=bool)
+
+    return run(url, robots)

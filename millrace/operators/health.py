@@ -19,6 +19,21 @@ def recent_n_runs(runs: DataFrame, n: int) -> DataFrame:
     return runs.withColumn("rn", F.row_number().over(_newest()).cast("long")).filter(F.col("rn") <= n)
 
 
+def append_runs(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """``runs`` with a row for each result: agency_id, docs_fetched, feeds_scraped, error_count and
+    run_at, under ids that follow the greatest one, in the order of agencies."""
+    last = runs.agg(F.coalesce(F.max("run_id"), F.lit(-1))).scalar()
+    new = results.select("agency_id", "docs_fetched", "feeds_scraped", "error_count", "run_at")
+    # One run of the scheduler has a row for each agency at most, so its results fit one window.
+    ranked = new.withColumn("run_id", (last + F.row_number().over(Window.orderBy("agency_id", "run_at"))).cast(runs.schema["run_id"].dataType))
+    return runs.unionByName(ranked, allowMissingColumns=True)
+
+
+def write_runs(results: DataFrame, path: str) -> None:
+    """Appends results to a table of runs; concurrent writers add files of their own."""
+    results.write.mode("append").parquet(path)
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """The newest run of each agency, by a grouped maximum: no sort."""
     best = F.max_by(F.struct("run_id", "run_at", "docs_fetched"), F.struct("run_at", "run_id")).alias("r")

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from millrace.session import ship_package
 
 
 def doc_hash(url: str = "url", text: str = "raw_text") -> Column:
@@ -16,9 +23,8 @@ def url_key(url: str = "url", prefix: str = "url:") -> Column:
 
 def new_documents(docs: DataFrame, seen: DataFrame, order: str = "doc_id") -> DataFrame:
     """The first row of each content hash that isn't in ``seen`` (column doc_hash)."""
-    hashed = docs.withColumn("doc_hash", doc_hash())
-    least = hashed.groupBy("doc_hash").agg(F.min(order).alias(order))
-    return hashed.join(least, ["doc_hash", order], "left_semi").dropDuplicates(["doc_hash"]).join(seen, "doc_hash", "left_anti")
+    first = F.min_by(F.struct(*docs.columns), order).alias("first")
+    return docs.groupBy(doc_hash().alias("doc_hash")).agg(first).join(seen, "doc_hash", "left_anti").select("first.*", "doc_hash")
 
 
 def insert_counts(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -29,25 +35,70 @@ def insert_counts(docs: DataFrame, target: DataFrame) -> DataFrame:
 def suppress_by_ttl(fetches: DataFrame, key: str, at: str, ttl_seconds: str) -> DataFrame:
     """Attempts per key in order of time: the first is fetched and marks the key; one within the
     mark's time to live is skipped and leaves the mark as it is. A fold over the sorted times,
-    since a skipped attempt must not count as a mark."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(at).cast("long").alias("at"), F.col(ttl_seconds).cast("long").alias("ttl"))))
-    none = F.struct(F.lit(None).cast("long").alias("until"), F.lit(0).cast("long").alias("fetched"), F.lit(0).cast("long").alias("skipped"))
-
-    def step(acc: Column, x: Column) -> Column:
-        skip = F.coalesce(x["at"] < acc["until"], F.lit(False))
-        return F.struct(F.when(skip, acc["until"]).otherwise(x["at"] + x["ttl"]).alias("until"), (acc["fetched"] + F.when(skip, 0).otherwise(1)).alias("fetched"), (acc["skipped"] + F.when(skip, 1).otherwise(0)).alias("skipped"))
-
-    folded = fetches.groupBy(key).agg(ordered.alias("xs")).select(key, F.aggregate("xs", none, step).alias("r"))
-    return folded.select(key, "r.fetched", "r.skipped")
-
-
-def rate_limited_schedule(requests: DataFrame, domain: str, at: str, order: str, delay: float) -> DataFrame:
+    since a skipped attempt must not count as a mark: partitions are sorted by key and time and
+    read as a stream that holds one key's mark and counts, however long its history."""
+    ship_package(fetches.sparkSession)
+    schema = T.StructType([fetches.schema[key], T.StructField("fetched", T.LongType()), T.StructField("skipped", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, until, counts, known = None, None, [0, 0], False
+        for b in batches:
+            out = []
+            for k, t, ttl in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not known or k != own:
+                    if known:
+                        out.append((own, *counts))
+                    own, until, counts, known = k, None, [0, 0], True
+                skip = t is not None and until is not None and t < until
+                counts[skip] += 1
+                if not skip:
+                    until = None if t is None or ttl is None else t + ttl
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((own, *counts), arrow, strict=True)], schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+    rows = fetches.select(key, F.col(at).cast("long").alias("__at"), F.col(ttl_seconds).cast("long").alias("__ttl"))
+    return rows.repartition(key).sortWithinPartitions(key, "__at", "__ttl").mapInArrow(run, schema)
+
+
+def rate_limited_schedule(requests: DataFrame, domain: str, at: str, order: str, delay: float, span: float = 86400.0) -> DataFrame:
     """When each request may start if a domain's requests are ``delay`` seconds apart: with i
-    the request's rank, i * delay + max over j <= i of (arrival_j - j * delay)."""
-    w = Window.partitionBy(domain).orderBy(at, order)
-    ranked = requests.withColumn("i", F.row_number().over(w) - 1)
-    slack = F.max(F.col(at) - F.col("i") * delay).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("start_at", F.col("i") * delay + slack).drop("i")
+    the request's rank, i * delay + max over j <= i of (arrival_j - j * delay).
+
+    Ranks and maxima are taken within a domain's spans of time, which are windows of their own, and
+    carried on from span to span by a window over one row each. So a domain's requests aren't
+    sorted as one."""
+    rows = requests.withColumn("__span", F.floor(F.col(at) / span))
+    w = Window.partitionBy(domain, "__span").orderBy(at, order)
+    ranked = rows.withColumn("__i", F.row_number().over(w) - 1)
+    ranked = ranked.withColumn("__slack", F.max(F.col(at) - F.col("__i") * delay).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    per = ranked.groupBy(domain, "__span").agg(F.count("*").alias("__n"), F.max("__slack").alias("__most"))
+    before = Window.partitionBy(domain).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    per = per.withColumn("__before", F.max(F.col("__most") - F.col("__first") * delay).over(before)).drop("__n", "__most")
+    joined = ranked.join(per, ranked[domain].eqNullSafe(per[domain]) & ranked["__span"].eqNullSafe(per["__span"])).drop(per[domain]).drop(per["__span"])
+    start = (F.col("__first") + F.col("__i")) * delay + F.greatest("__before", F.col("__slack") - F.col("__first") * delay)
+    return joined.withColumn("start_at", start).drop("__span", "__i", "__slack", "__first", "__before")
+
+
+def bounded_slots(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """``rows`` dealt out to ``most`` slots by ``key``, with their turn in the slot: what runs one
+    after another in a slot never has more than ``most`` going on at once."""
+    slot = F.pmod(F.col(key), F.lit(most))
+    turn = F.row_number().over(Window.partitionBy("slot").orderBy(order))
+    return rows.withColumn("slot", slot.cast("int")).repartition(most, "slot").withColumn("turn", turn)
+
+
+def single_run(agencies: DataFrame, feeds: DataFrame, fetched: DataFrame, seen: DataFrame, agency_id, columns: list[str], dry_run: bool = False) -> DataFrame:
+    """The payloads that an ad-hoc run for one agency prints (``dry_run``) or pushes: documents of its
+    active feeds, whatever their time to live, if it has a platform; those that were seen
+    before aren't pushed. No run is recorded."""
+    one = agencies.filter((F.col("agency_id") == agency_id) & (F.coalesce("platform_type", F.lit("")) != "")).select("agency_id")
+    own = feeds.filter("is_active").join(one, "agency_id", "left_semi").select("feed_id")
+    docs = fetched.join(own, "feed_id", "left_semi")
+    return encode_queue(docs if dry_run else new_documents(docs, seen), columns)
 
 
 def take_while(pages: DataFrame, key: str, page: str, more: Column, found: Column, most: int) -> DataFrame:

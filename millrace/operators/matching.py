@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _GENERIC = r"\b(police department|sheriff.s office|sheriff department|police|sheriff|department|office)\b"
@@ -19,25 +19,35 @@ def tokens(name: Column) -> Column:
 
 def fuzzy_match(targets: DataFrame, candidates: DataFrame, least: float = 0.6) -> DataFrame:
     """target_id, candidate_id and overlap: the share of the target's words that the candidate
-    has, the best candidate (the first on ties), at least ``least``. As such an overlap needs a
-    shared word, rows meet by word; ``targets`` (target_id, name), ``candidates``
-    (candidate_id, name), compared by candidate_id for order.
+    has, the best candidate (the first on ties), at least ``least``; ``targets`` (target_id, name),
+    ``candidates`` (candidate_id, name), compared by candidate_id for order.
 
-    A candidate with enough overlap misses fewer than (1 - least) of a target's words, so each
-    target meets candidates by its rarest words only: as many as must have one that matches.
+    Names with equal words are one set. A candidate has to have ``must`` of a target's words, so
+    of the target's rarest ones (all but ``must - level``) it has ``level``: sets meet by pairs
+    of words, or by single words where one is enough. The overlap is computed where they
+    meet, and the best of a target is a partial maximum, so pairs aren't gathered.
     """
-    t = targets.select("target_id", tokens(F.col("name")).alias("ts")).filter(F.size("ts") > 0)
-    c = candidates.select("candidate_id", tokens(F.col("name")).alias("cs"))
-    word = c.select("candidate_id", F.explode("cs").alias("w"))
-    often = word.groupBy("w").agg(F.count("*").alias("often"))
-    need = F.size("ts") - F.ceil(F.lit(least) * F.size("ts") - 1e-9) + 1
-    exploded = t.select("target_id", "ts", F.explode("ts").alias("w")).join(often, "w", "left")
-    rank = F.row_number().over(Window.partitionBy("target_id").orderBy(F.coalesce("often", F.lit(0)), "w"))
-    probes = exploded.withColumn("rank", rank).filter(F.col("rank") <= need).select("target_id", "ts", "w")
-    pairs = probes.join(word, "w").select("target_id", "ts", "candidate_id").dropDuplicates(["target_id", "candidate_id"])
-    scored = pairs.join(c, "candidate_id").withColumn("overlap", F.size(F.array_intersect("ts", "cs")) / F.size("ts"))
+    t = targets.select("target_id", F.array_sort(tokens(F.col("name"))).alias("ts")).filter(F.size("ts") > 0)
+    c = candidates.select("candidate_id", F.array_sort(tokens(F.col("name"))).alias("cs")).filter(F.size("cs") > 0)
+    sets = c.groupBy("cs").agg(F.min("candidate_id").alias("candidate_id"))
+    wanted = t.groupBy("ts").agg(F.min("target_id").alias("first_id"))
+    often = sets.select(F.explode("cs").alias("w")).groupBy("w").agg(F.count("*").alias("often"))
+    ranked = wanted.select("first_id", "ts", F.explode("ts").alias("w")).join(often, "w", "left").groupBy("first_id", "ts").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w"))).alias("ws"))
+    must = F.greatest(F.lit(1), F.ceil(F.lit(least) * F.size("ts") - 1e-9)).cast("int")
+    level = F.least(must, F.lit(2))
+    rare = F.array_sort(F.transform(F.slice("ws", 1, F.size("ts") - must + level), lambda x: x["w"]))
+    probes = ranked.select("first_id", "ts", F.explode(F.when(level == 1, rare).otherwise(_word_pairs(rare))).alias("k"))
+    keys = sets.select("candidate_id", "cs", F.explode(F.concat("cs", _word_pairs(F.col("cs")))).alias("k"))
+    pairs = probes.join(keys, "k").withColumn("overlap", F.size(F.array_intersect("ts", "cs")) / F.size("ts")).filter(F.col("overlap") >= least)
     best = F.max_by(F.struct("candidate_id", "overlap"), F.struct("overlap", -F.col("candidate_id"))).alias("b")
-    return scored.filter(F.col("overlap") >= least).groupBy("target_id").agg(best).select("target_id", "b.candidate_id", "b.overlap")
+    found = pairs.groupBy("first_id", "ts").agg(best).select("ts", "b.candidate_id", "b.overlap")
+    return t.join(found, "ts").select("target_id", "candidate_id", "overlap")
+
+
+def _word_pairs(words: Column) -> Column:
+    """All pairs of the sorted words, as one text each."""
+    rest = lambda i: F.slice(words, i + 2, F.size(words))
+    return F.flatten(F.transform(words, lambda x, i: F.transform(rest(i), lambda y: F.concat(x, F.lit("\x1f"), y))))
 
 
 def longest_prefix(name: Column, words: list[str]) -> Column:

@@ -55,8 +55,10 @@ def unnamed_feed_agencies(agencies: DataFrame, feeds: DataFrame) -> DataFrame:
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``base`` with ``new`` rows inserted, and ``columns`` of known keys replaced (nulls too)."""
-    b, n = base.alias("b"), new.select(key, *columns, F.lit(True).alias("__new")).alias("n")
+    """``base`` with ``new`` rows inserted, and ``columns`` of known keys replaced (nulls too). Of
+    several new rows of a key the greatest counts, nulls being least."""
+    one = new.groupBy(key).agg(F.max(F.struct(*columns)).alias("v")).select(key, "v.*", F.lit(True).alias("__new"))
+    b, n = base.alias("b"), one.alias("n")
     fields = [F.coalesce(f"n.{key}", f"b.{key}").alias(key)]
     for c in base.columns:
         if c != key:
@@ -70,9 +72,10 @@ def replace_children(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def patch(base: DataFrame, changes: DataFrame, key: str, columns: list[str], where: Column | None = None) -> DataFrame:
-    """``base`` with each non-null field of ``changes`` taken over, in rows that fit ``where``."""
+    """``base`` with each non-null field of ``changes`` taken over, in rows that fit ``where``. Of
+    several changes of a field of a key the greatest counts."""
     hit = F.lit(True) if where is None else where
-    c = changes.select(key, *(F.col(x).alias(f"__{x}") for x in columns))
+    c = changes.groupBy(key).agg(*(F.max(x).alias(f"__{x}") for x in columns))
     joined = base.join(c, key, "left")
     return joined.select(*(F.when(hit, F.coalesce(f"__{x}", x)).otherwise(F.col(x)).alias(x) if x in columns else F.col(x) for x in base.columns))
 

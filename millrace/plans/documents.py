@@ -49,10 +49,14 @@ def foia_pending(spark, sf_dir):
     return O.pending_requests(_migrated(spark, sf_dir), _queue(spark, sf_dir)).select("doc_id")
 
 
-@query("foia_queue_order", f"with q as ({_QUEUE}) select row_number() over (order by status, priority_score desc, doc_id) as place, doc_id, status, priority_score from q order by 1 limit 100")
+@query("foia_queue_order", f"with q as ({_QUEUE}) select row_number() over (order by status, priority_score desc, doc_id) as place, doc_id, status, priority_score from q")
 def foia_queue_order(spark, sf_dir):
-    top = O.queue_order(_queue(spark, sf_dir)).limit(100)
-    return top.selectExpr("cast(row_number() over (order by status, priority_score desc, doc_id) as bigint) as place", "doc_id", "status", "priority_score")
+    return O.queue_places(_queue(spark, sf_dir)).select("place", "doc_id", "status", "priority_score")
+
+
+@query("foia_queue_top", f"with q as ({_QUEUE}) select doc_id, status, priority_score from q order by status, priority_score desc, doc_id limit 100")
+def foia_queue_top(spark, sf_dir):
+    return O.queue_order(_queue(spark, sf_dir)).limit(100)
 
 
 @query(

@@ -23,7 +23,7 @@ _WINDOW = """recent as (select a.agency_id, a.canonical_name, a.platform_type, m
 
 
 def _as_of(runs):
-    return F.lit(runs.agg(F.max("run_at")).first()[0]).cast("timestamp_ntz")
+    return runs.agg(F.max("run_at").cast("timestamp_ntz")).scalar()
 
 
 @query("health_status", f"with {_STATUS} select * from status order by case status when 'MISSING' then 0 when 'UNHEALTHY' then 1 else 2 end, agency_id")
@@ -66,6 +66,18 @@ def problem_agencies(spark, sf_dir):
     return H.problem_agencies(agencies, runs, _as_of(runs))
 
 
+@query(
+    "append_run",
+    """with n as (select agency_id, cast(agency_id % 9 as int) as docs_fetched, cast(agency_id % 4 as int) as feeds_scraped, 0 as error_count, timestamp '2024-06-01 00:00:00' as run_at from agencies where platform_type is not null)
+       select run_id, agency_id, run_at, docs_fetched, feeds_scraped, error_count from runs union all
+       select (select max(run_id) from runs) + row_number() over (order by agency_id), agency_id, run_at, docs_fetched, feeds_scraped, error_count from n""",
+)
+def append_run(spark, sf_dir):
+    agencies, runs = load(spark, sf_dir, "agencies", "runs")
+    results = agencies.filter("platform_type is not null").selectExpr("agency_id", "cast(agency_id % 9 as int) as docs_fetched", "cast(agency_id % 4 as int) as feeds_scraped", "0 as error_count", "timestamp_ntz '2024-06-01 00:00:00' as run_at")
+    return H.append_runs(runs, results).select("run_id", "agency_id", "run_at", "docs_fetched", "feeds_scraped", "error_count")
+
+
 @query("ingestion_totals", "select count(*) as agencies, cast(sum(feeds_scraped) as bigint) as feeds, cast(sum(docs_fetched) as bigint) as docs, cast(sum(error_count) as bigint) as errors from runs")
 def ingestion_totals(spark, sf_dir):
     return H.ingestion_totals(*load(spark, sf_dir, "runs"))

@@ -73,9 +73,15 @@ def feeds_for_agency(spark, sf_dir):
     return load(spark, sf_dir, "feeds")[0].filter("agency_id = 7").select("feed_id", "agency_id", "feed_type", "url", "is_active")
 
 
-@query("known_platform_agencies", "select agency_id, platform_type from agencies where platform_type in ('arcgis','citizenrims','civicplus','crimemapping','nixle','rave','socrata') order by agency_id limit 500")
+@query("known_platform_agencies", "select agency_id, platform_type from agencies where platform_type in ('arcgis','citizenrims','civicplus','crimemapping','nixle','rave','socrata')")
 def known_platform_agencies(spark, sf_dir):
-    return load(spark, sf_dir, "agencies")[0].filter(F.col("platform_type").isin(*R.KNOWN_PLATFORMS)).select("agency_id", "platform_type").orderBy("agency_id").limit(500)
+    return load(spark, sf_dir, "agencies")[0].filter(F.col("platform_type").isin(*R.KNOWN_PLATFORMS)).select("agency_id", "platform_type")
+
+
+@query("limited_agencies", "select agency_id, canonical_name from agencies order by agency_id limit 25")
+def limited_agencies(spark, sf_dir):
+    """The optional limit of a batch over the registry."""
+    return load(spark, sf_dir, "agencies")[0].select("agency_id", "canonical_name").orderBy("agency_id").limit(25)
 
 
 @query("unknown_platform_agencies", "select agency_id, canonical_name from agencies where platform_type = 'unknown' or platform_type is null")
@@ -91,12 +97,10 @@ def na_feed_agencies(spark, sf_dir):
 @query(
     "due_agencies",
     f"""select agency_id from agencies a where platform_type is not null and exists (select 1 from feeds f where f.agency_id = a.agency_id and f.is_active
-        and f.last_scraped < timestamp '2001-07-25 00:00:00' - {_FREQ} * interval 1 second and f.last_scraped >= timestamp '2001-06-01 00:00:00')""",
+        and (f.last_scraped is null or f.last_scraped < timestamp '1995-06-01 00:00:00' - {_FREQ} * interval 1 second))""",
 )
 def due_agencies(spark, sf_dir):
-    agencies, feeds = load(spark, sf_dir, "agencies", "feeds")
-    recent = feeds.filter("last_scraped >= timestamp_ntz '2001-06-01 00:00:00'")
-    return R.due_agencies(agencies, recent, F.lit("2001-07-25 00:00:00").cast("timestamp_ntz"))
+    return R.due_agencies(*load(spark, sf_dir, "agencies", "feeds"), F.lit("1995-06-01 00:00:00").cast("timestamp_ntz"))
 
 
 _NEW = "select agency_id * 3 as agency_id, 'Renamed ' || canonical_name as canonical_name, case when agency_id % 2 = 0 then null else 'https://new.example.org/' || cast(agency_id as string) end as homepage_url, agency_type from agencies where agency_id % 5 = 1"

@@ -205,8 +205,8 @@ def parse_pdf_header_date(spark, sf_dir):
 @query("recent_records", "select run_id, agency_id, run_at from runs where run_at > (select max(run_at) - interval 7 day from runs)")
 def recent_records(spark, sf_dir):
     (runs,) = load(spark, sf_dir, "runs")
-    as_of = runs.agg(F.max("run_at")).first()[0]
-    return runs.filter(F.col("run_at") > F.lit(as_of).cast("timestamp_ntz") - F.expr("interval 7 days")).select("run_id", "agency_id", "run_at")
+    as_of = runs.agg(F.max("run_at").cast("timestamp_ntz")).scalar()
+    return runs.filter(F.col("run_at") > as_of - F.expr("interval 7 days")).select("run_id", "agency_id", "run_at")
 
 
 # Addresses.

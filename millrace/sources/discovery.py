@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import constants as K
 from millrace.functions import urls as U
+from millrace.operators.matching import fuzzy_match, tokens
 
 MOST_CANDIDATES = 15
 
@@ -56,9 +57,33 @@ def read_pipe_file(spark, path: str, schema: str | None = None) -> DataFrame:
 
 def external_agencies(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """external_id and name of agencies in a JSON list, bare or under ``agencies``/``Agencies``."""
+    return external_list(payloads, [], payload).select("external_id", "name")
+
+
+def external_list(payloads: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
+    """keys, pos, external_id and name of the agencies in each JSON list."""
     item = "array<map<string,string>>"
     under = lambda n: F.from_json(F.get_json_object(payload, f"$.{n}"), item, {"mode": "PERMISSIVE"})
     bare = F.from_json(payload, item, {"mode": "PERMISSIVE"})
-    rows = payloads.select(F.explode(F.when(F.ltrim(payload).startswith("["), bare).otherwise(F.coalesce(under("agencies"), under("Agencies")))).alias("m"))
+    rows = payloads.select(*keys, F.posexplode(F.when(F.ltrim(payload).startswith("["), bare).otherwise(F.coalesce(under("agencies"), under("Agencies")))).alias("pos", "m"))
     get = lambda *names: F.coalesce(*(F.try_element_at("m", F.lit(n)) for n in names))
-    return rows.select(get("agencyId", "AgencyId", "id").alias("external_id"), get("agencyName", "name").alias("name"))
+    return rows.select(*keys, "pos", get("agencyId", "AgencyId", "id").alias("external_id"), get("agencyName", "name").alias("name"))
+
+
+def external_ids(agencies: DataFrame, listing: DataFrame, searches: DataFrame, least: float = 0.6) -> DataFrame:
+    """agency_id and external_id of the agencies (agency_id, canonical_name) that match an entry of the
+    service's list (``listing``: payload, and page if there are several); if the list is empty, one of the answers to a search
+    for their own name (``searches``: agency_id, payload)."""
+    targets = agencies.select(F.col("agency_id").alias("target_id"), F.col("canonical_name").alias("name"))
+    paged = listing if "page" in listing.columns else listing.withColumn("page", F.lit(0))
+    place = F.shiftleft(F.col("page").cast("long"), 24) + F.col("pos")
+    listed = external_list(paged, ["page"]).select(place.alias("pos"), "external_id", "name")
+    best = fuzzy_match(targets, listed.select(F.col("pos").alias("candidate_id"), "name"), least)
+    by_list = best.join(listed.select(F.col("pos").alias("candidate_id"), "external_id"), "candidate_id").select(F.col("target_id").alias("agency_id"), "external_id")
+    empty = listed.agg(F.count("*") == 0).scalar()
+    found = external_list(searches.filter(empty), ["agency_id"])
+    rows = found.join(targets.withColumnsRenamed({"target_id": "agency_id", "name": "wanted"}), "agency_id")
+    overlap = F.size(F.array_intersect(tokens(F.col("wanted")), tokens(F.col("name")))) / F.size(tokens(F.col("wanted")))
+    rows = rows.withColumn("overlap", overlap).filter(F.col("overlap") >= least)
+    by_search = rows.groupBy("agency_id").agg(F.max_by("external_id", F.struct("overlap", -F.col("pos"))).alias("external_id"))
+    return by_list.unionByName(by_search).filter(F.col("external_id").isNotNull())

@@ -15,6 +15,21 @@ from millrace.functions import maps as M
 from millrace.functions import urls as U
 from millrace.session import ship_package
 
+PAGE_SIZE = 1000
+
+
+def page_query(platform: str, offset: Column, date_field: str | None = None, days: int = 30, as_of: Column | None = None) -> Column:
+    """The query of a page of an open-data set (socrata) or map layer (arcgis): rows after ``offset``,
+    and where a date field is known, those of the last ``days`` before ``as_of`` only."""
+    since = None if date_field is None else as_of - F.make_dt_interval(days=F.lit(days))
+    at = offset.cast("string")
+    if platform == "socrata":
+        where = F.lit("") if since is None else F.concat(F.lit(f"&$where={date_field} > '"), F.date_format(since, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("'"))
+        return F.concat(F.lit(f"$limit={PAGE_SIZE}&$offset="), at, where)
+    where = F.lit("1=1") if since is None else F.concat(F.lit(f"{date_field} > DATE '"), F.date_format(since, "yyyy-MM-dd"), F.lit("'"))
+    return F.concat(F.lit("where="), where, F.lit("&outFields=*&f=json&resultOffset="), at, F.lit(f"&resultRecordCount={PAGE_SIZE}"))
+
+
 PLATFORMS = ("arcgis", "citizenrims", "civicplus", "crimemapping", "nixle", "pdf", "rss", "socrata")
 
 
@@ -155,10 +170,23 @@ def parse_incident_table(responses: DataFrame, keys: list[str], url: str = "url"
 
 
 def parse_feed(responses: DataFrame, keys: list[str], url: str = "url", xml: str = "xml") -> DataFrame:
-    """RSS feeds: a document for each item of the channel. Atom entries: as items."""
+    """RSS and Atom feeds: a document for each item of the channel or entry of the feed. An entry's
+    address is its first link that isn't for something else (rel other than alternate)."""
+    text = "struct<_VALUE:string,_type:string>"
     item = "struct<title:string,link:string,description:string,summary:string,encoded:string,content:string,pubDate:string,published:string,updated:string>"
-    channel = F.from_xml(F.regexp_replace(F.col(xml), r"<(/?)content:encoded", "<$1encoded"), f"channel struct<title:string,item:array<{item}>>")
-    rows = responses.select(*keys, F.col(url).alias("feed"), channel["channel"].alias("c")).select(*keys, "feed", F.col("c.title").alias("feed_title"), F.posexplode("c.item").alias("pos", "i"))
+    entry = f"struct<title:{text},link:array<struct<_href:string,_rel:string>>,summary:{text},content:array<{text}>,published:string,updated:string>"
+    plain = F.regexp_replace(F.regexp_replace(F.col(xml), r"<(/?)content:encoded", "<$1encoded"), r"<(/?)atom:(\w+)", "<$1atom_$2")
+    root = F.from_xml(plain, f"channel struct<title:string,item:array<{item}>>, title {text}, entry array<{entry}>")
+    none = F.lit(None).cast("string")
+
+    def as_item(e: Column) -> Column:
+        link = F.get(F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
+        fields = {"title": e["title"]["_VALUE"], "link": link, "description": none, "summary": e["summary"]["_VALUE"], "encoded": none, "content": F.get(e["content"], F.lit(0))["_VALUE"], "pubDate": none, "published": e["published"], "updated": e["updated"]}
+        return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+    rows = responses.select(*keys, F.col(url).alias("feed"), root.alias("x"))
+    items = F.coalesce("x.channel.item", F.transform("x.entry", as_item))
+    rows = rows.select(*keys, "feed", F.coalesce("x.channel.title", "x.title._VALUE").alias("feed_title"), F.posexplode(items).alias("pos", "i"))
     i = F.col("i")
     body = F.coalesce(i["encoded"], i["content"], i["summary"], i["description"], F.lit(""))
     title = F.coalesce("feed_title", F.lit(""))
@@ -175,13 +203,14 @@ def parse_incident_map(responses: DataFrame, keys: list[str], payload: str = "pa
     return _documents(rows, keys, pos=F.col("pos"), url=url, document_type=F.lit("incident_log"), title=F.nullif(F.col("i.TypeDescription"), F.lit("")), raw_text=text, published_date=T.map_date(F.col("i.DateOccurred")), metadata=_meta(crimemapping_id=F.col("m"), case_number=F.col("i.CaseNumber")))
 
 
-def parse_open_data(responses: DataFrame, keys: list[str], url: str = "url", payload: str = "payload", offset: str = "offset") -> DataFrame:
-    """Rows of an open-data page: a JSON array of objects with unknown columns."""
+def parse_open_data(responses: DataFrame, keys: list[str], url: str = "url", payload: str = "payload", offset: str = "offset", date_field: str | None = None) -> DataFrame:
+    """Rows of an open-data page: a JSON array of objects with unknown columns; ``date_field``:
+    the column that has the date, if it is known."""
     rows = responses.select(*keys, F.col(url).alias("u"), F.col(offset).alias("o"), F.posexplode(F.from_json(payload, f"array<{M.MAP}>")).alias("pos", "row"))
     row, u = F.col("row"), F.col("u")
     kind = M.resolve(row, K.TYPE_FIELDS)
     meta = _meta(domain=F.try_parse_url(u, F.lit("HOST")), dataset_id=U.dataset_id(u), offset=F.col("o"), report_number=M.resolve(row, K.REPORT_FIELDS), location=M.resolve(row, K.LOCATION_FIELDS))
-    return _documents(rows, keys, pos=F.col("pos"), url=u, document_type=D.open_data_type(kind, u), title=kind, raw_text=M.dump(row), published_date=T.open_data_date(M.resolve(row, K.DATE_FIELDS)), metadata=meta)
+    return _documents(rows, keys, pos=F.col("pos"), url=u, document_type=D.open_data_type(kind, u), title=kind, raw_text=M.dump(row), published_date=T.open_data_date(M.resolve(row, K.DATE_FIELDS, date_field)), metadata=meta)
 
 
 def parse_features(responses: DataFrame, keys: list[str], url: str = "url", payload: str = "payload", offset: str = "offset") -> DataFrame:

@@ -25,7 +25,7 @@ VIEWS: dict[str, str] = {
                case when c_custkey % 4 = 1 then timestamp '2024-01-05 00:00:00' end as last_verified
         from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
     "feeds": """
-        select o_orderkey as feed_id, o_custkey as agency_id, o_orderstatus <> 'F' as is_active, o_orderdate as last_scraped,
+        select o_orderkey as feed_id, o_custkey as agency_id, o_orderstatus <> 'F' as is_active, case when o_orderkey % 37 = 0 then null else o_orderdate end as last_scraped,
                case when o_orderkey % 6 = 0 then 'N/A' when o_orderkey % 6 = 1 then 'ftp://old.example.org/' || cast(o_orderkey as string)
                     else 'https://feeds.example.org/' || case o_orderkey % 3 when 0 then 'news/' when 1 then 'arrest/' else 'data/' end || cast(o_orderkey as string) end as url,
                case o_orderpriority when '1-URGENT' then 'realtime' when '2-HIGH' then 'hourly' when '3-MEDIUM' then 'daily' when '5-LOW' then 'weekly' else 'monthly' end as frequency,
