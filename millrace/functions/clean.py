@@ -7,6 +7,7 @@ import html as _html
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -40,25 +41,36 @@ def unescape(text: Column) -> Column:
 
 
 def distinct_sentences(text: str, near: float = NEAR) -> str:
-    """Keeps each sentence that is not nearly equal to one kept before; blank lines between."""
+    """Keeps each sentence that is not nearly equal to one kept before; blank lines between.
+
+    Characters that two sentences share bound their ratio from above. Counts of characters by the
+    low bits of their codes are compared with all kept sentences at once, so a ratio is
+    computed for few pairs."""
     kept: list[str] = []
-    low: list[tuple[str, int]] = []
-    for part in re.split(r"(?<=[.!?])\s+(?=[A-Z])|\n{2,}", text):
-        part = part.strip()
+    low: list[str] = []
+    place: dict[str, int] = {}
+    size, counts = np.zeros(64, np.int64), np.zeros((64, 64), np.int32)
+
+    def alike(new: str, i: int) -> bool:
+        s = SequenceMatcher(None, new, low[i])
+        return s.quick_ratio() >= near and s.ratio() >= near
+
+    for part in map(str.strip, re.split(r"(?<=[.!?])\s+(?=[A-Z])|\n{2,}", text)):
         if not part:
             continue
-        new, n = part.lower(), len(part.lower())
-        same = False
-        for old, m in low:
-            if 2 * min(n, m) < near * (n + m):  # lengths alone rule the ratio out
-                continue
-            s = SequenceMatcher(None, new, old)
-            if s.real_quick_ratio() >= near and s.quick_ratio() >= near and s.ratio() >= near:
-                same = True
-                break
-        if not same:
-            kept.append(part)
-            low.append((new, n))
+        new, n = part.lower(), len(low)
+        if new in place and alike(new, place[new]):
+            continue
+        own = np.bincount(np.frombuffer(new.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64)
+        bound = 2 * np.minimum(counts[:n], own).sum(1)
+        if any(alike(new, i) for i in np.flatnonzero(bound >= near * (size[:n] + len(new)) - 1e-9).tolist()):
+            continue
+        if n == len(size):
+            size, counts = np.concatenate([size, np.zeros(n, np.int64)]), np.concatenate([counts, np.zeros((n, 64), np.int32)])
+        size[n], counts[n] = len(new), own
+        place.setdefault(new, n)
+        kept.append(part)
+        low.append(new)
     return "\n\n".join(kept)
 
 

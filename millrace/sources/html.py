@@ -108,24 +108,60 @@ def first_selected(root: Node, selectors: tuple[str, ...], with_tag: str | None
     return []
 
 
-def plain_text(html: str) -> str:
-    """Text of a page: line breaks for br, blank lines around blocks, no scripts or comments."""
-    out: list[str] = []
+class _Text(HTMLParser):
+    """Text as it comes; of open elements only their tags are held, however deep they lie."""
 
-    def visit(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                out.append(c)
-            elif c.tag == "br":
-                out.append("\n")
-            elif c.tag not in _SILENT:
-                block = c.tag in _BLOCKS
-                out.append("\n\n" if block else "")
-                visit(c)
-                out.append("\n\n" if block else "")
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.path: list[str] = []
+        self.silent = 0
+
+    def _break(self, tag: str) -> None:
+        if not self.silent and tag in _BLOCKS:
+            self.out.append("\n\n")
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br" and not self.silent:
+            self.out.append("\n")
+        self._break(tag)
+        if tag not in _VOID:
+            self.path.append(tag)
+            self.silent += tag in _SILENT
 
-    visit(parse(html))
-    return "".join(out)
+    def handle_startendtag(self, tag, attrs):
+        if tag == "br" and not self.silent:
+            self.out.append("\n")
+        self._break(tag)
+        self._break(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.path:
+            while self._leave() != tag:
+                pass
+
+    def _leave(self) -> str:
+        tag = self.path.pop()
+        self.silent -= tag in _SILENT
+        self._break(tag)
+        return tag
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.out.append(data)
+
+    def close(self):
+        super().close()
+        while self.path:
+            self._leave()
+
+
+def plain_text(html: str) -> str:
+    """Text of a page: line breaks for br, blank lines around blocks, no scripts or comments."""
+    reader = _Text()
+    reader.feed(html)
+    reader.close()
+    return "".join(reader.out)
 
 
 def has_next(root: Node) -> bool:

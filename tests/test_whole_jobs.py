@@ -9,6 +9,8 @@ from millrace.functions import constants as K
 from millrace.plans import registered
 from millrace.plans.text import _rows
 
+from .conftest import SF
+
 #: What the cleaning rules meet, behind a longer beginning than any prefix that was once taken.
 LONG = "plain words " * 40 + "\nbro-\nken\n Page 3 of 12 \n\n\n\n two  \t words \x07\xad\n" + "more words " * 40
 
@@ -78,3 +80,85 @@ def test_scores_and_protected_lines_of_whole_texts(spark, tmp_path):
         b = " ".join(t.split())
         bonus = sum(n for p, n in ((K.SCORE_DATE, 10), (K.SCORE_ID, 10), (K.SCORE_ADDRESS, 5)) if re.search(p, b, re.I))
         assert scores[i].score == min(100, max(0, 100 - int((len(t) - len(b)) / len(t) * 80)) + bonus)
+
+
+def naive_clean(text, platform):
+    """Cleaned text and score in plain Python, all sentences compared with each other."""
+    from difflib import SequenceMatcher
+    from html import unescape
+    from unicodedata import category
+
+    from millrace.sources.html import parse
+
+    if not text or not text.strip():
+        return "", 0
+    out = []
+
+    def visit(node):
+        for c in node.children:
+            if isinstance(c, str):
+                out.append(c)
+            elif c.tag == "br":
+                out.append("\n")
+            elif c.tag not in ("script", "style", "template"):
+                gap = "\n\n" if c.tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6") else ""
+                out.append(gap)
+                visit(c)
+                out.append(gap)
+
+    visit(parse(text))
+    t = "".join(out)
+    rules = K.BOILERPLATE.get({"rave": "nixle"}.get(platform, platform or "default"), K.BOILERPLATE["default"])
+    if platform == "pdf":
+        t = re.sub(r"(\w)-\n(\w)", r"\1\2", t)
+    lines = []
+    for line in t.split("\n"):
+        if not any(re.search(p, line, re.I if i else 0) for p, i in K.PROTECTED):
+            for p, i in rules:
+                flags = re.S | (re.I if i else 0)
+                line = re.sub(p + ".*$", "", line, flags=flags) if p.startswith("^") else re.sub(p, " ", line, flags=flags)
+        lines.append(line)
+    kept = []
+    for part in re.split(r"(?<=[.!?])\s+(?=[A-Z])|\n{2,}", "\n".join(lines)):
+        part = part.strip()
+        if part and all(SequenceMatcher(None, part.lower(), k.lower()).ratio() < 0.85 for k in kept):
+            kept.append(part)
+    t = re.sub(r"(?m)^\s*[Pp]age\s+\d+\s+of\s+\d+\s*$", "", unescape("\n\n".join(kept)))
+    t = "".join(c for c in t if c in "\n\t" or not category(c).startswith("C"))
+    t = re.sub(r"\n{3,}", "\n\n", "\n".join(re.sub(r"[ \t]+", " ", x).strip() for x in t.split("\n"))).strip()
+    score = max(0, 100 - int((len(text) - len(t)) / len(text) * 80)) + sum(n for p, n in ((K.SCORE_DATE, 10), (K.SCORE_ID, 10), (K.SCORE_ADDRESS, 5)) if re.search(p, t, re.I))
+    score = min(100, score)
+    return t, min(score, 30) if len(t.strip()) < 50 else score
+
+
+def test_whole_pages_are_cleaned(spark):
+    """clean_pages on every page of the smallest tables against the naive cleaner."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    got = {r.page_id: (r.cleaned_text, r.quality_score) for r in registered.queries()["clean_pages"](spark, SF).collect()}
+    platforms = ("civicplus", "nixle", "pdf", None)
+    assert got == {p.page_id: naive_clean(p.html, platforms[p.page_id % 4]) for p in pages} and len(got) == 50
+
+
+def test_sentences_are_compared_as_by_all_pairs():
+    import random
+    from difflib import SequenceMatcher
+
+    from millrace.functions.clean import distinct_sentences
+
+    rng = random.Random(1)
+    for _ in range(30):
+        words = ["Alpha", "beta", "gamma", "ünï", "delta", "x" * 40]
+        parts = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(6)]
+        parts += ["".join(c if rng.random() < 0.9 else "q" for c in rng.choice(parts)) for _ in range(12)] + ["ab" * 150, "ab" * 150, parts[0]]
+        kept = []
+        for p in parts:
+            if all(SequenceMatcher(None, p.lower(), k.lower()).ratio() < 0.85 for k in kept):
+                kept.append(p)
+        assert distinct_sentences("\n\n".join(parts)) == "\n\n".join(kept)
+
+
+def test_text_of_deep_pages():
+    from millrace.sources.html import plain_text
+
+    assert plain_text("<div>" * 50_000 + "deep" + "</div>" * 50_000).strip() == "deep"
+    assert plain_text("a<br>b<p>c<script>x</script></p><p>d<div/>e") == "a\nb\n\nc\n\n\n\nd\n\n\n\ne\n\n"
