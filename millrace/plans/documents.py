@@ -81,7 +81,7 @@ def extract_case_numbers(spark, sf_dir):
 )
 def vector_topk(spark, sf_dir):
     (vectors,) = load(spark, sf_dir, "embeddings")
-    q = vectors.orderBy("vec_id").first()["embedding"]
+    q = vectors.agg(F.min_by("embedding", "vec_id")).scalar()
     return O.nearest(vectors, q, 20, F.expr("label % 2 = 0")).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
