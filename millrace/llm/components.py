@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, join_skewed, new_path
+from .shared import Scratch, drop, join_skewed, new_path
 
 
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """``node`` and ``root`` (the component's least node) of every node with an edge (a, b)."""
+def connected_components(edges: DataFrame, scratch: Scratch | None = None, name: str = "components") -> DataFrame:
+    """``node`` and ``root`` (the component's least node) of every node with an edge (a, b). The last
+    round's table is the ``scratch``'s, if there is one."""
     spark = edges.sparkSession
 
     def kept(df: DataFrame) -> tuple[DataFrame, str, tuple]:
@@ -37,4 +38,6 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if fresh_mark == mark:
             break
         mark = fresh_mark
+    if scratch is not None:
+        scratch.paths.append(path)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import arrow_rows, fresh, join_skewed, stored
+from .shared import Scratch, arrow_rows, fresh, join_skewed, stored
 from .textops import U64, shingles, slices, texts_of, words
 
 THRESHOLD, TARGET_RECALL, TREES, DEPTH = 0.8, 0.9995, 20, 8
@@ -139,12 +139,12 @@ def _chunked(df: DataFrame, key: str, chunks) -> DataFrame:
     return df.withColumn("chunks", chunks.cast("int")).withColumn("chunk", F.expr("cast(pmod(xxhash64(set_id), chunks) as int)")).withColumn("pair", F.explode(pairs)).select("*", "pair.ci", "pair.cj").drop("pair", "chunks")
 
 
-def search_forest(reps: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> tuple[DataFrame, int, float | None]:
+def search_forest(reps: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL, scratch: Scratch | None = None) -> tuple[DataFrame, int, float | None]:
     """Candidate pairs as a spanning forest (a, b, agree), the depth of the search that found them,
     and the recall that its pairs tell. Starts at the full depth and shortens until the target."""
-    floor, at = least_depth(threshold, trees, depth, target), depth
+    floor, at, scratch = least_depth(threshold, trees, depth, target), depth, scratch or Scratch(reps.sparkSession)
     while True:
-        near = stored(_candidates(reps, at, trees, depth, threshold), "candidates")
+        near = scratch.stored(_candidates(reps, at, trees, depth, threshold), "candidates")
         found = {r["agree"]: r["n"] for r in near.groupBy("agree").agg(F.count("*").alias("n")).collect()}
         recall = lambda d: expected_recall(found, at, d, threshold, trees, depth)  # noqa: B023, E731
         if at == floor or (recall(at) or 0) >= target:
@@ -289,12 +289,13 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     """
     sigs = stored(signatures(docs, trees, depth), "signatures")
     reps = sigs.groupBy("set_id").agg(F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("shingles").alias("shingles"), F.min_by(F.struct("doc_id", "row_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("at"))
-    reps = stored(reps, "representatives")
+    scratch = Scratch(docs.sparkSession)
+    reps = scratch.stored(reps, "representatives")
     full = reps.filter("shingles > 0")
-    near, _, _ = search_forest(full, threshold, trees, depth, target_recall)
+    near, _, _ = search_forest(full, threshold, trees, depth, target_recall, scratch)
     arrow_rows(docs.sparkSession)
-    groups = connected_components(near).withColumnsRenamed({"node": "set_id", "root": "group"})
-    members = stored(groups.join(reps, "set_id").select("set_id", "group", "copies", "shingles", "at"), "members")
+    groups = connected_components(near, scratch).withColumnsRenamed({"node": "set_id", "root": "group"})
+    members = scratch.stored(groups.join(reps, "set_id").select("set_id", "group", "copies", "shingles", "at"), "members")
     n_members = members.count()
     total = members.groupBy("group").agg(F.sum("shingles").alias("n"), F.count("*").alias("m"))
     dealt = _chunked(join_skewed(members, total, "group", "m", n_members), "group", F.expr(f"least(m, ceil(n / {BLOCK_SHINGLES}))"))
@@ -311,8 +312,8 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
         return pd.DataFrame(out, columns=["a", "b", "links"])
 
     blocks = dealt.select("group", "ci", "cj", "chunk", "set_id", "copies").join(fetched, "set_id")
-    found = stored(blocks.groupBy("group", "ci", "cj").applyInPandas(verify, "a binary, b binary, links long"), "links")
-    classes = connected_components(found.filter("b is not null").select("a", "b"))
+    found = scratch.stored(blocks.groupBy("group", "ci", "cj").applyInPandas(verify, "a binary, b binary, links long"), "links")
+    classes = connected_components(found.filter("b is not null").select("a", "b"), scratch)
     links = found.filter("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("links"))
     n_rows, n_sets = reps.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
     ids = (
@@ -324,6 +325,7 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     named = ids.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("sets"))
     per_set = join_skewed(ids, named, "root", "sets", n_sets).selectExpr("set_id", "copies", "root as class_key", "class_id", "class_size", "links + copies - 1 as n_links")
     per_set = stored(per_set, "classes")
+    scratch.clear()
     return join_skewed(sigs.select("doc_id", "row_hash", "set_id"), per_set, "set_id", "copies", n_rows).select("doc_id", "row_hash", "class_key", "class_id", "n_links", "class_size")
 
 

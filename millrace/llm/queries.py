@@ -4,74 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat_format, decontaminate, ngram_join, packing, quality, secret_scan, suffix_dedup, telephony, token_files, toxicity
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .ngram_join import ngram_classes
-
-    return ngram_classes(_docs(spark, sf_dir)).select("doc_id", "class_id", "n_links", "class_size")
+    return ngram_join.ngram_classes(_docs(spark, sf_dir)).select("doc_id", "class_id", "n_links", "class_size")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontaminate import leak_report
-
-    return leak_report(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.leak_report(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import score_quality
-
-    return score_quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score_quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import fit_toxicity, score_toxicity
-
     docs = _docs(spark, sf_dir)
-    return score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat_format import digests, format_records, turns_to_records
-
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.range(1).selectExpr("stack(2, -7L, 0L, 'user', '{0}', -7L, 1L, 'assistant', '{0}') as (conv_id, turn, role, text)".format(said))
     layouts = ("turns", "messages", "conversations", "prompt_response")
-    return digests(format_records(turns_to_records(rows.unionByName(own), layouts)))
+    return chat_format.digests(chat_format.format_records(chat_format.turns_to_records(rows.unionByName(own), layouts)))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secret_scan import digests
-
-    return digests(_docs(spark, sf_dir))
+    return secret_scan.digests(_docs(spark, sf_dir))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_files import tokens_table
-
-    return tokens_table(spark, _docs(spark, sf_dir))
+    return token_files.tokens_table(spark, _docs(spark, sf_dir))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix_dedup import digests
-
-    return digests(_docs(spark, sf_dir))
+    return suffix_dedup.digests(_docs(spark, sf_dir))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack, piece_digests
-
-    return piece_digests(pack(_docs(spark, sf_dir)))
+    return packing.piece_digests(packing.pack(_docs(spark, sf_dir)))
 
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .telephony import digests
-
-    return digests(_docs(spark, sf_dir))
+    return telephony.digests(_docs(spark, sf_dir))
 
 
 def queries() -> dict:

@@ -54,6 +54,26 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of a job's steps, which are deleted when a later one holds all that is needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def path(self, name: str) -> str:
+        self.paths.append(new_path(self.spark, name))
+        return self.paths[-1]
+
+    def stored(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        df.write.options(**{"compression": "zstd", **options}).parquet(path := self.path(name))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            drop(self.spark, path)
+        self.paths = []
+
+
 def join_skewed(left: DataFrame, right: DataFrame, key: str, count: str, total: int, most: int = 10_000, least: int = 256) -> DataFrame:
     """Inner join on ``key``, of which ``right`` has a row each and, in ``count``, how many rows ``left``
     (of ``total``) has. Keys with more than one in ``most`` of all rows are ``most`` at most: their

@@ -19,7 +19,7 @@ import numpy as np
 from .textops import U64, code_points, piece_hashes
 
 # Bounds of the cache: chunks, and code points of chunks for each.
-CACHE_CHUNKS, CACHE_CHARS = 2_000_000, 16
+CACHE_CHUNKS, CACHE_CHARS = 1_000_000, 16
 _SPACE, _LETTER, _MARK = 1, 2, 3
 
 
