@@ -58,8 +58,9 @@ def case_numbers(text: Column) -> Column:
 def nearest(vectors: DataFrame, query: list[float] | Column, k: int, where: Column | None = None) -> DataFrame:
     """vec_id and cosine similarity of the ``k`` nearest vectors that fit ``where``: one pass, and
     a top-k that keeps k rows a task."""
-    q = query if isinstance(query, Column) else F.array(*(F.lit(float(x)) for x in query))
+    given = query if isinstance(query, Column) else F.array(*(F.lit(float(x)) for x in query))
+    q = F.col("__query")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    rows = vectors if where is None else vectors.filter(where)
+    rows = (vectors if where is None else vectors.filter(where)).withColumn("__query", given)
     norm = F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(q, q))
     return rows.select("vec_id", (dot(F.col("embedding"), q) / norm).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
