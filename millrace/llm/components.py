@@ -2,7 +2,7 @@
 
 Edges shrink towards stars round by round; every round is two grouped minima and joins over
 as many rows as there are edges, written to the shared folder. No component is gathered, and
-nodes with many edges are joined apart, so none is one task's.
+a node's edges are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, drop, join_skewed, new_path
+from .shared import Scratch, drop, join_salted, new_path
 
 
 def connected_components(edges: DataFrame, scratch: Scratch | None = None, name: str = "components") -> DataFrame:
@@ -28,10 +28,10 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, name:
     now, path, mark = kept(up)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = join_skewed(both, low, "a", "n", 2 * mark[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = join_skewed(large, low, "a", "n", mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = join_salted(both, low, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = join_salted(large, low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
         fresh, fresh_path, fresh_mark = kept(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         drop(spark, path)
         now, path = fresh, fresh_path

@@ -297,7 +297,7 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     groups = connected_components(near, scratch).withColumnsRenamed({"node": "set_id", "root": "group"})
     members = scratch.stored(groups.join(reps, "set_id").select("set_id", "group", "copies", "shingles", "at"), "members")
     n_members = members.count()
-    total = members.groupBy("group").agg(F.sum("shingles").alias("n"), F.count("*").alias("m"))
+    total = scratch.stored(members.groupBy("group").agg(F.sum("shingles").alias("n"), F.count("*").alias("m")), "groups")
     dealt = _chunked(join_skewed(members, total, "group", "m", n_members), "group", F.expr(f"least(m, ceil(n / {BLOCK_SHINGLES}))"))
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), F.coalesce("text", F.lit("")).alias("text"))
     own = members.select("set_id", F.col("at.doc_id").alias("doc_id"), F.col("at.row_hash").alias("row_hash"))
@@ -322,7 +322,9 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
         .join(links, "set_id", "left")
         .select("set_id", "copies", "least", F.coalesce("root", "set_id").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     )
+    ids = scratch.stored(ids, "sets")
     named = ids.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("sets"))
+    named = scratch.stored(named, "names")
     per_set = join_skewed(ids, named, "root", "sets", n_sets).selectExpr("set_id", "copies", "root as class_key", "class_id", "class_size", "links + copies - 1 as n_links")
     per_set = stored(per_set, "classes")
     scratch.clear()

@@ -167,15 +167,24 @@ def test_structured_documents_are_no_copies(spark):
     assert {(r.doc_id, r.n_links) for r in ngram_join.ngram_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(i, 0) for i, _ in rows}
 
 
-def test_hubs_are_joined_apart(spark, monkeypatch):
-    from millrace.llm import components
+def test_components_with_hubs_and_chains(spark):
+    from millrace.llm.components import connected_components
 
-    monkeypatch.setattr(components, "join_skewed", lambda *a: __import__("millrace.llm.shared", fromlist=["join_skewed"]).join_skewed(*a, most=50, least=2))
-    edges = [(0, i) for i in range(1, 500)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001), (2001, 2002), (2002, 2000)]
-    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    edges = [(0, i) for i in range(1, 500)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001), (2001, 2002), (2002, 2000), (5, 5)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(500)}, **{1000 + i: 1000 for i in range(41)}, 2000: 2000, 2001: 2000, 2002: 2000}
 
 
+def test_skewed_joins_are_joins(spark):
+    from millrace.llm.shared import join_salted, join_skewed
+
+    left = spark.createDataFrame([(0 if i < 60 else i % 7, i) for i in range(100)], "k int, v int")
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    for got in (join_skewed(left, right, "k", "n", 100, 10, 2), join_skewed(left, right, "k", "n", 100), join_salted(left, right, "k", "v")):
+        assert sorted(map(tuple, got.select("k", "v", "n").collect())) == want
+
+
 # 2. Benchmark decontamination.
 
 
