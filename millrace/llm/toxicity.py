@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,8 @@ class Rows:
     """Sparse binary rows: sorted column numbers one after another, and where rows start."""
 
     def __init__(self, columns: np.ndarray, offsets: np.ndarray):
-        self.columns, self.offsets, self.row = columns, offsets, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        self.columns, self.offsets = columns, offsets
+        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.columns], len(self.offsets) - 1) if len(self.columns) else np.zeros(len(self.offsets) - 1)
@@ -120,11 +122,12 @@ class Chain:
         ``allowed``: the words of the last models."""
         width, n = len(vocabulary), len(x.offsets) - 1
         seen, out = np.zeros((n, 0)), cls(vocabulary[allowed], tuple(targets))
-        views, whole = [x.only(words) for words, _ in own], x.only(allowed)
+        whole = x.only(allowed)
         for name, y in targets.items():
             unseen = np.zeros(n)
-            for k, view in enumerate(views):
-                w = fit_logistic(view, seen, own[k][1][name], fold != k, width)
+            for k, (words, known) in enumerate(own):
+                view = x.only(words)
+                w = fit_logistic(view, seen, known[name], fold != k, width)
                 unseen[fold == k] = _sigmoid(view.times(w[:width]) + seen @ w[width:-1] + w[-1])[fold == k]
             w = fit_logistic(whole, seen, y, np.ones(n, bool), width)
             out.weights.append(np.concatenate([w[:width][allowed], w[width:]]))
@@ -164,8 +167,8 @@ def facets(x: Rows, y: np.ndarray, rows: np.ndarray, width: int, most: int = FAC
     spot = np.full(width, -1)
     spot[telling] = np.arange(len(telling))
     own = toxic[x.row] & (spot[x.columns] >= 0)
-    m = np.zeros((len(y), len(telling)), np.float32)
-    m[x.row[own], spot[x.columns[own]]] = 1
+    m = np.zeros((int(toxic.sum()), len(telling)), np.float32)
+    m[(np.cumsum(toxic) - 1)[x.row[own]], spot[x.columns[own]]] = 1
     both = m.T @ m
     linked = both >= 0.1 * np.minimum.outer(np.diag(both), np.diag(both))
     group = np.arange(len(telling))
@@ -220,11 +223,9 @@ def telling_words(sample: DataFrame, most: int = VOCABULARY, least_gain: float =
     names = ["g", *(f"g{k}" for k in range(folds))]
     gains = counts.select("w", *(gain(k).alias(n) for k, n in zip(settings, names, strict=True)))
     gains = stored(gains.filter(F.greatest(*names) >= least_gain), "telling-words")
-    out = []
-    for name in names:
-        top = gains.filter(F.col(name) >= least_gain).orderBy(F.desc(name), "w").limit(most).select("w").collect()
-        out.append(np.sort(np.array([r[0] for r in top], np.int64).view(U64)))
-    return out, n0, n1
+    top = [gains.filter(F.col(name) >= least_gain).orderBy(F.desc(name), "w").limit(most).select(F.lit(i).alias("i"), "w") for i, name in enumerate(names)]
+    got = reduce(DataFrame.unionByName, top).toPandas()
+    return [np.sort(got["w"][got["i"] == i].to_numpy(np.int64)).view(U64) for i in range(len(names))], n0, n1
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories: tuple[str, ...] = (), max_train: int = MAX_TRAIN, most_facets: int = FACETS) -> Chain:
@@ -253,21 +254,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", categ
     if not n0 or not n1:
         return Chain(chosen_words[0], constant=n1 / max(1, n0 + n1))
     vocabulary = np.unique(np.concatenate(chosen_words))
-    width, names = len(vocabulary), sample.columns
+    width = len(vocabulary)
+    kept_schema = T.StructType([sample.schema["doc_id"], *(sample.schema[c] for c in columns), sample.schema["fold"], T.StructField("places", T.BinaryType())])
 
     def known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("words")
             at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            hit = np.isin(flat.view(U64), vocabulary)
-            ends = np.concatenate([[0], np.cumsum(hit)])[at].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", *columns)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[hit])), b.column("fold")], names=names)
-
-    kept = sample.mapInArrow(known_words, sample.schema).toPandas().sort_values(["doc_id", *columns], kind="stable")
-    flat = np.concatenate([np.zeros(0, np.int64), *(np.sort(np.asarray(w, np.int64)) for w in kept["words"])]).view(U64)
-    offsets = np.concatenate([[0], np.cumsum([len(w) for w in kept["words"]])]).astype(np.int64)
-    x = present(flat, offsets, vocabulary)
+            x = present(lists.flatten().to_numpy(zero_copy_only=False).view(U64), at, vocabulary)
+            places = [x.columns[a:e].astype("<u2").tobytes() for a, e in zip(x.offsets[:-1], x.offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", *columns, "fold")), pa.array(places, pa.binary())], names=kept_schema.names)
+
+    # A row's words as places in the vocabulary, two bytes each: the driver holds no other copy.
+    kept = sample.mapInArrow(known_words, kept_schema).toPandas().sort_values(["doc_id", *columns], kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(kept["places"].map(len).to_numpy(np.int64) // 2)])
+    x = Rows(np.frombuffer(b"".join(kept.pop("places")), "<u2").astype(np.int64), offsets)
     y, fold = kept[label].to_numpy(float), kept["fold"].to_numpy(np.int64)
     given = {c: np.nan_to_num(kept[c].to_numpy(float)) for c in categories}
     allowed = [np.isin(vocabulary, words) for words in chosen_words]
