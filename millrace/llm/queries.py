@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, ngram_join, packing, quality, secret_scan, suffix_dedup, telephony, token_files, toxicity
+from . import chat_format, decontaminate, ngram_join, packing, quality, secret_scan, simhash_dedup, suffix_dedup, telephony, token_files, toxicity, vector_codes, whitening
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digests(_docs(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.components(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
