@@ -24,8 +24,8 @@ windows share are the new anchor: its contents differ in a byte before and a byt
 there are less than 2**17 of them, whatever the table. The sample decides where rows go, never
 what is equal.
 
-Steps 1 and 2 compare runs by their anchor's and content's hashes (64 bits each) and their
-length; step 3 compares bytes.
+Steps 1 and 2 compare runs by a BLAKE2 digest of their bytes (128 bits) and their length; step 3
+compares bytes. The hashes that choose anchors only decide where rows go.
 
 Defined cases: null texts are empty; rows with equal doc_id and text are one document and get
 equal results; other rows with equal doc_ids are ordered by their text's hash; null ids come
@@ -37,6 +37,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +53,8 @@ SEND_ROWS, ARRAY_BYTES = 1_500_000, 400_000
 #: Contents of an anchor beyond which it is split; sampled documents, and the contents of an
 #: anchor in them that make it hot; anchors named hot at most.
 HOT_CONTENTS, SAMPLE_DOCS, SAMPLE_CONTENTS, MOST_HOT = 20_000, 8_000, 40, 16_384
-RUN = "kind int, anchor long, content long, doc_id long, row_hash long, start long, n long"
-NAMES = ["kind", "anchor", "content", "doc_id", "row_hash", "start", "n"]
+RUN = "kind int, anchor long, content long, content2 long, doc_id long, row_hash long, start long, n long"
+NAMES = ["kind", "anchor", "content", "content2", "doc_id", "row_hash", "start", "n"]
 REPEAT, ONE, HOT = 0, 1, 2  # kinds of runs: known repeats, first of its content, that of a hot anchor
 NULL_ID = -(1 << 63)
 
@@ -143,13 +144,21 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return np.array(out[1:], np.int64)
 
 
+def digests_of(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two longs (a row) that tell the bytes of each part of ``data`` from all others."""
+    parts = memoryview(data)
+    found = b"".join([blake2b(parts[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
 def runs(datas: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Of each run of windows with one anchor: document, first window, number of windows, and
-    the hashes of its anchor and of all its bytes."""
-    text = np.frombuffer(b"".join(datas), np.uint8)
+    """Of each run of windows with one anchor: document, first window, number of windows, the
+    hash of its anchor and the digest of all its bytes."""
+    joined = b"".join(datas)
+    text = np.frombuffer(joined, np.uint8)
     n, spread = len(text), length - anchor + 1
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, U64) for _ in range(2))
+        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, U64), np.zeros((0, 2), np.int64))
     size = np.fromiter(map(len, datas), np.int64, len(datas))
     ends = np.cumsum(size)
     acc = np.zeros(n + 1, U64)
@@ -171,8 +180,7 @@ def runs(datas: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tupl
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
     start, count = inside[first], np.diff(np.append(first, len(at)))
     doc = np.searchsorted(ends, start, side="right")
-    content = mix((acc[start + count - 1 + length] - acc[start]) * inverse[start])
-    return doc, start - (ends - size)[doc], count, h[at[first]], content
+    return doc, start - (ends - size)[doc], count, h[at[first]], digests_of(joined, start, count + length - 1)
 
 
 def _later(*keys: np.ndarray) -> np.ndarray:
@@ -185,17 +193,19 @@ def _later(*keys: np.ndarray) -> np.ndarray:
 def _split_repeats(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of rows by content and place, which of them are the first of their content, and
     which are repeats (a second copy of one and the same row is neither)."""
-    # Other anchors with an equal content hash may lie between copies; those go on as firsts.
-    order = np.lexsort((c["start"], c["row_hash"], c["doc_id"], c["content"]))
+    order = np.lexsort((c["start"], c["row_hash"], c["doc_id"], c["content2"], c["content"]))
     o = {k: v[order] for k, v in c.items()}
-    first = _later(o["content"], o["anchor"], o["n"])
+    first = _later(o["content"], o["content2"], o["anchor"], o["n"])
     head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(order) else np.zeros(0, np.int64)
     same = (o["doc_id"] == o["doc_id"][head]) & (o["row_hash"] == o["row_hash"][head]) & (o["start"] == o["start"][head])
     return order, first, ~first & ~same
 
 
 def _batch(c: dict[str, np.ndarray], kind: int | np.ndarray, most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Runs as batches; repeats, which nothing is compared with, go without their digests."""
     n = len(c["start"])
+    if np.isscalar(kind) and kind == REPEAT:
+        c = {**c, "content": (none := np.zeros(n, np.int64)), "content2": none}
     kinds = np.full(n, kind, np.int32) if np.isscalar(kind) else kind.astype(np.int32)
     for a in range(0, n, most):
         m = min(most, n - a)
@@ -205,7 +215,7 @@ def _batch(c: dict[str, np.ndarray], kind: int | np.ndarray, most: int = 50_000)
 def _found(part: pa.RecordBatch, length: int) -> dict[str, np.ndarray]:
     doc, start, count, anchor, content = runs(pc.fill_null(part.column("data"), b"").to_pylist(), length)
     ids, hashes = part.column("doc_id").to_numpy(), part.column("row_hash").to_numpy()
-    return {"anchor": anchor.view(np.int64), "content": content.view(np.int64), "doc_id": ids[doc], "row_hash": hashes[doc], "start": start, "n": count}
+    return {"anchor": anchor.view(np.int64), "content": content[:, 0], "content2": content[:, 1], "doc_id": ids[doc], "row_hash": hashes[doc], "start": start, "n": count}
 
 
 def hot_anchors(docs: DataFrame, length: int, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
@@ -277,7 +287,7 @@ class _Meeting:
         known = self.head is not None
         if known:
             c = {k: np.concatenate([self.head[k], c[k]]) for k in NAMES}
-        first = _later(c["anchor"], c["content"], c["n"])
+        first = _later(c["anchor"], c["content"], c["content2"], c["n"])
         at = np.flatnonzero(first)
         head = at[np.cumsum(first) - 1]
         same = (c["doc_id"] == c["doc_id"][head]) & (c["row_hash"] == c["row_hash"][head]) & (c["start"] == c["start"][head])
@@ -332,13 +342,14 @@ def meet(found: DataFrame, hot_contents: int | None = None) -> DataFrame:
     key = F.when(F.col("kind") == ONE, F.col("anchor")).when(F.col("kind") == HOT, F.xxhash64("anchor", "content")).otherwise(F.xxhash64("doc_id", "start"))
     dealt = found.withColumn("key", key).repartition("key").drop("key")
     # An anchor has one kind but for repeats, which are passed on as they come.
-    return dealt.sortWithinPartitions("anchor", "content", "n", "doc_id", "row_hash", "start").mapInArrow(run, RUN)
+    return dealt.sortWithinPartitions("anchor", "content", "content2", "n", "doc_id", "row_hash", "start").mapInArrow(run, RUN)
 
 
 def split_hot(data: list[bytes], length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """Runs of at most two windows that make up the runs of ``data``: row, first window in it,
-    number of windows, and the hashes of the bytes that both windows have and of all bytes."""
-    text = np.frombuffer(b"".join(data), np.uint8)
+    number of windows, the hash of the bytes that both windows have and the digest of all bytes."""
+    joined = b"".join(data)
+    text = np.frombuffer(joined, np.uint8)
     size = np.fromiter(map(len, data), np.int64, len(data))
     base = np.cumsum(size) - size
     acc = np.zeros(len(text) + 1, U64)
@@ -355,7 +366,7 @@ def split_hot(data: list[bytes], length: int, anchor: int = ANCHOR) -> tuple[np.
     first, last, shared = first[row, pair], last[row, pair], place[row] - 2 * pairs[pair]
     at, start, n = base[row] + shared, base[row] + first, last - first + 1
     key = mix(mix((acc[at + length - 1] - acc[at]) * inverse[at]) + pair.astype(U64))
-    return row, first, n, key, mix((acc[start + n + length - 1] - acc[start]) * inverse[start])
+    return row, first, n, key, digests_of(joined, start, n + length - 1)
 
 
 def split(contents: DataFrame, length: int) -> DataFrame:
@@ -368,12 +379,12 @@ def split(contents: DataFrame, length: int) -> DataFrame:
             own = pa.Table.from_batches(held).to_pydict()
             row, first, n, key, content = split_hot(own["data"], length)
             ids, hashes, start = (np.array(own[k], np.int64)[row] for k in ("doc_id", "row_hash", "start"))
-            c = {"anchor": key.view(np.int64), "content": content.view(np.int64), "doc_id": ids, "row_hash": hashes, "start": start + first, "n": n}
+            c = {"anchor": key.view(np.int64), "content": content[:, 0], "content2": content[:, 1], "doc_id": ids, "row_hash": hashes, "start": start + first, "n": n}
             order, one, again = _split_repeats(c)
             for b in _batch({k: v[order[again]] for k, v in c.items()}, REPEAT):
                 yield b.append_column("data", pa.nulls(b.num_rows, pa.binary()))
             at, made = order[one], 0
-            for b in _batch({k: v[at] for k, v in c.items()}, ONE, 10_000):
+            for b in _batch({k: v[at] for k, v in c.items()} | dict.fromkeys(("content", "content2"), np.zeros(len(at), np.int64)), ONE, 10_000):
                 mine = at[made : made + b.num_rows]
                 cut = [own["data"][r][f : f + m + length - 1] for r, f, m in zip(row[mine].tolist(), first[mine].tolist(), n[mine].tolist(), strict=True)]
                 made += b.num_rows
@@ -394,8 +405,11 @@ def split(contents: DataFrame, length: int) -> DataFrame:
     return contents.select(*NAMES, "data").mapInArrow(run, RUN + ", data binary")
 
 
-def shared_windows(content: list[bytes], doc_id: np.ndarray, row_hash: np.ndarray, start: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (row and offset) that occur earlier among the contents."""
+def shared_windows(content: list[bytes], doc_id: np.ndarray, row_hash: np.ndarray, start: np.ndarray, anchor: np.ndarray, length: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (row and offset) that occur earlier among the contents. Only windows that share a hash
+    are looked at; those of one hash stay together, so where their bytes are over ``most``
+    (``ARRAY_BYTES``) they are compared in parts of about as much."""
+    most = ARRAY_BYTES if most is None else most
     text = np.frombuffer(b"".join(content), np.uint8)
     size = np.fromiter(map(len, content), np.int64, len(content))
     base = np.cumsum(size) - size
@@ -408,11 +422,29 @@ def shared_windows(content: list[bytes], doc_id: np.ndarray, row_hash: np.ndarra
     h = mix((acc[at + length] - acc[at]) * _power(_BASE_INV, len(text))[at])
     _, back, times = np.unique(h, return_inverse=True, return_counts=True)
     maybe = times[back] > 1
-    row, offset, at = row[maybe], offset[maybe], at[maybe]
-    if not len(row):
-        return row, offset
-    # Stretches of windows that others may share, each with an end mark of its own rank.
-    head = np.flatnonzero(_later(row, at - np.arange(len(at))))
+    row, offset, at, back = row[maybe], offset[maybe], at[maybe], back[maybe]
+    places = (start[row] + offset, row_hash[row], doc_id[row])
+    new = _later(row, at - np.arange(len(at)))
+    if len(at) + int(new.sum()) * length <= 2 * most:
+        again = _repeated(text, at, new, places, length)
+    else:
+        ends = np.cumsum(np.where(times > 1, times, 0)) * length
+        part = (ends // most)[back]
+        order = np.argsort(part, kind="stable")
+        found = [np.zeros(0, np.int64)]
+        for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            found.append(own[_repeated(text, at[own], _later(row[own], at[own] - np.arange(len(own))), tuple(p[own] for p in places), length)])
+        again = np.concatenate(found)
+    return row[again], offset[again]
+
+
+def _repeated(text: np.ndarray, at: np.ndarray, new: np.ndarray, places: tuple[np.ndarray, ...], length: int) -> np.ndarray:
+    """Which of the windows at ascending places ``at`` of ``text`` equal one that is earlier by the keys
+    ``places`` (the last one first); ``new`` tells where one doesn't follow the one before."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    # Stretches of windows that follow each other, each with an end mark of its own rank.
+    head = np.flatnonzero(new)
     tail = np.append(head[1:], len(at)) - 1
     n = at[tail] - at[head] + length
     out_base = np.cumsum(n + 1) - (n + 1)
@@ -424,18 +456,15 @@ def shared_windows(content: list[bytes], doc_id: np.ndarray, row_hash: np.ndarra
     own = np.repeat(np.arange(len(head)), tail - head + 1)
     of[out_base[own] + at - at[head][own]] = np.arange(len(at))
     order = suffix_array(joined)
-    order = order[of[order] >= 0]
-    w = of[order]
-    same = np.zeros(len(order), bool)
-    for a in range(1, len(order), 20_000):
-        k = np.arange(a, min(a + 20_000, len(order)))
+    w = of[order[of[order] >= 0]]
+    same = np.zeros(len(w), bool)
+    for a in range(1, len(w), 20_000):
+        k = np.arange(a, min(a + 20_000, len(w)))
         span = np.arange(length)
         same[k] = (text[at[w[k]][:, None] + span] == text[at[w[k - 1]][:, None] + span]).all(1)
     group = np.cumsum(~same)
-    r, pos = row[w], start[row[w]] + offset[w]
-    rank = np.lexsort((pos, row_hash[r], doc_id[r], group))
-    w, first = w[rank], _later(group[rank])
-    return row[w[~first]], offset[w[~first]]
+    rank = np.lexsort((*(p[w] for p in places), group))
+    return w[rank][~_later(group[rank])]
 
 
 def compare(contents: DataFrame, length: int) -> DataFrame:
@@ -457,11 +486,11 @@ def compare(contents: DataFrame, length: int) -> DataFrame:
             if again:
                 o = {k: v[again] for k, v in c.items()}
                 n = np.array([len(data[i]) - length + 1 for i in again])
-                yield from _batch({**o, "content": np.zeros(len(again)), "n": n}, REPEAT)
+                yield from _batch({**o, "n": n}, REPEAT)
                 kept = np.sort(np.array(list(seen.values())))
                 c, data = {k: v[kept] for k, v in c.items()}, [data[i] for i in kept.tolist()]
             row, offset = shared_windows(data, c["doc_id"], c["row_hash"], c["start"], c["anchor"], length)
-            yield from _batch({"anchor": c["anchor"][row], "content": np.zeros(len(row)), "doc_id": c["doc_id"][row], "row_hash": c["row_hash"][row], "start": c["start"][row] + offset, "n": np.ones(len(row))}, REPEAT)
+            yield from _batch({"anchor": c["anchor"][row], "doc_id": c["doc_id"][row], "row_hash": c["row_hash"][row], "start": c["start"][row] + offset, "n": np.ones(len(row))}, REPEAT)
 
         size = 0
         for b in batches:
@@ -500,11 +529,12 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     of starts and ends, in turn; null where nothing is removed."""
     spark = docs.sparkSession
     arrow_rows(spark, 10_000)
-    met = stored(meet(find_runs(docs, length, hot_anchors(docs, length))), "runs")
-    own = F.struct("kind", "anchor", "content", "start", "n")
+    met = stored(meet(find_runs(docs, length, hot_anchors(docs, length))).drop("content", "content2"), "runs")
+    own = F.struct("kind", "anchor", "start", "n")
     of_doc = met.filter(F.col("kind") != REPEAT).groupBy("doc_id", "row_hash").agg(F.collect_list(own).alias("own"))
     cut = docs.dropDuplicates(["doc_id", "row_hash"]).join(of_doc, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "data", F.explode("own").alias("r"))
-    contents = cut.select("r.kind", "r.anchor", "r.content", "doc_id", "row_hash", "r.start", "r.n", F.expr(f"substring(data, cast(r.start + 1 as int), cast(r.n + {length - 1} as int))").alias("data"))
+    none = [F.lit(0).cast("long").alias(c) for c in ("content", "content2")]  # told apart by their bytes from here on
+    contents = cut.select("r.kind", "r.anchor", *none, "doc_id", "row_hash", "r.start", "r.n", F.expr(f"substring(data, cast(r.start + 1 as int), cast(r.n + {length - 1} as int))").alias("data"))
     compared = stored(compare(split(contents, length), length), "compared")
     repeats = met.filter("kind = 0").select("doc_id", "row_hash", "start", "n").unionByName(compared.select("doc_id", "row_hash", "start", "n"))
     grouped = repeats.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "n")).alias("own"))

@@ -767,6 +767,54 @@ def test_split_runs_cover_all_windows_once():
     assert got == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 99)] and n.max() <= 2
 
 
+#: Two beginnings of 50 letters whose polynomial hashes (of the base that chooses anchors) are equal
+#: modulo 2**64, before an end in which both texts have their anchor.
+ALIKE = ("b" * 50, "cdacadcbcabbbaadabccadcbdcbdaaabbddbbaabbcbcdcabbb")
+ALIKE_END = "xijmnbafbqisfpeiykynoqovckzimftsexfrzrfecieoavjtucgmdjayjbkkiudjxesahflmlhslgllzfavburhzhapwfckdegkb"
+
+
+@pytest.mark.parametrize("parts, hot, sampled", [(1, 20_000, 40), (8, 20_000, 40), (8, 1, 40), (8, 1, 1)])
+def test_equal_hashes_are_no_equal_bytes(spark, monkeypatch, parts, hot, sampled):
+    """In one task, in several, and where the anchor is split: only what is equal goes."""
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTENTS", hot)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_CONTENTS", sampled)
+    told = [sum((c + 1) * pow(textops._BASE, i, 1 << 64) for i, c in enumerate(a.encode())) % (1 << 64) for a in ALIKE]
+    assert told[0] == told[1] and ALIKE[0] != ALIKE[1]
+    doc, start, count, anchor, content = suffix_dedup.runs([(a + ALIKE_END).encode() for a in ALIKE])
+    assert count.tolist() == [51, 51] and anchor[0] == anchor[1] and content.tolist()[0] != content.tolist()[1]
+    rows = [(i, ALIKE[i % 2] + ALIKE_END + more) for i, more in enumerate(("", "", "", "", "z", "zy", "q" * 60, ""))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+    hashes = hashes_of(spark, rows)
+    got = Counter(tuple(r) for r in suffix_dedup.digests(df).collect())
+    assert got == brute_removed([(d, hashes[t], t) for d, t in rows], 100)
+    assert {(r[0], r[2]) for r in got if r[0] < 2} == {(0, 0), (1, 103)}  # the beginnings end alike in three letters
+
+
+def test_anchors_are_compared_in_parts_of_bounded_size(monkeypatch):
+    """Windows of one hash stay together, so parts of any size give the same repeats."""
+    rng, phrase = np.random.default_rng(3), prose(5, 12)[:60]
+    texts = [f"{''.join(map(chr, rng.integers(97, 99, 30)))}{phrase}{''.join(map(chr, rng.integers(97, 99, 30)))}".encode() for _ in range(300)]
+    texts += [t[5:] + b"!" for t in texts[:150]]
+    ids, zero = np.arange(len(texts)) // 2, np.zeros(len(texts), np.int64)
+    start = np.arange(len(texts)) % 2 * 1000
+    longest = []
+    made = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda t: longest.append(len(t)) or made(t))
+    whole = suffix_dedup.shared_windows(texts, ids, zero, start, zero, 100)
+    assert len(whole[0]) > 500 and len(longest) == 1
+    seen, want = set(), set()
+    for i in np.lexsort((start, ids)).tolist():
+        for o in range(len(texts[i]) - 99):
+            if (g := texts[i][o : o + 100]) in seen:
+                want.add((i, o))
+            seen.add(g)
+    for most in (longest[0] * 2, 5000, 100):
+        longest.clear()
+        row, offset = suffix_dedup.shared_windows(texts, ids, zero, start, zero, 100, most)
+        assert set(zip(row.tolist(), offset.tolist())) == want == set(zip(*(x.tolist() for x in whole)))
+        assert max(longest) <= 2 * most + 101 * 20
+
+
 # 10. Telephony audio.
 
 
