@@ -201,6 +201,18 @@ def _split_repeats(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np
     return order, first, ~first & ~same
 
 
+def _merged(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Runs of a document that follow each other as one."""
+    order = np.lexsort((c["start"], c["row_hash"], c["doc_id"]))
+    o = {k: v[order] for k, v in c.items()}
+    end = o["start"] + o["n"]
+    new = _later(o["doc_id"], o["row_hash"])
+    new[1:] |= o["start"][1:] > end[:-1]
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], len(end)) - 1 if len(head) else head
+    return {k: v[head] for k, v in o.items()} | {"n": end[last] - o["start"][head]}
+
+
 def _batch(c: dict[str, np.ndarray], kind: int | np.ndarray, most: int = 50_000) -> Iterator[pa.RecordBatch]:
     """Runs as batches; repeats, which nothing is compared with, go without their digests."""
     n = len(c["start"])
@@ -247,7 +259,7 @@ def find_runs(docs: DataFrame, length: int, hot: np.ndarray = np.zeros(0, np.int
             order, first, again = _split_repeats(c)
             own = {k: v[order[first]] for k, v in c.items()}
             yield from _batch(own, np.where(np.isin(own["anchor"], shared.value), HOT, ONE))
-            yield from _batch({k: v[order[again]] for k, v in c.items()}, REPEAT)
+            yield from _batch(_merged({k: v[order[again]] for k, v in c.items()}), REPEAT)
 
         for batch in batches:
             for part in slices(batch, "data"):
