@@ -106,13 +106,26 @@ def _without_rules(line: Column, rules) -> Column:
     return line
 
 
+def _may_match(text: Column, name: str) -> Column:
+    """Whether a rule of the set could match: none does without one of its words."""
+    low = F.lower(text)
+    out = F.lit(False)
+    for word in K.BOILERPLATE_WORDS[name]:
+        out = out | low.contains(word)
+    for letter in K.ODD_LETTERS:
+        out = out | text.contains(letter)
+    return out
+
+
 def remove_boilerplate(text: Column, platform: Column) -> Column:
-    """Rules of the platform on each line that isn't protected; unknown platforms: the default's."""
+    """Rules of the platform on each line that isn't protected; unknown platforms: the default's. A text is
+    split, and a line looked at, only if it has a word that a rule needs."""
     p = F.lower(F.coalesce(platform, F.lit("default")))
 
     def of(name: str) -> Column:
-        source = join_hyphens(text) if name == "pdf" else text
-        return F.array_join(F.transform(F.split(source, "\n", -1), lambda line: F.when(protected(line), line).otherwise(_without_rules(line, K.BOILERPLATE[name]))), "\n")
+        source = F.when(text.contains("-\n"), join_hyphens(text)).otherwise(text) if name == "pdf" else text
+        clean_line = lambda line: F.when(~_may_match(line, name), line).when(protected(line), line).otherwise(_without_rules(line, K.BOILERPLATE[name]))
+        return let(source, lambda t: F.when(_may_match(t, name), F.array_join(F.transform(F.split(t, "\n", -1), clean_line), "\n")).otherwise(t))
 
     out = F.when(p.isin("nixle", "rave"), of("nixle"))
     for name in ("civicplus", "crimemapping", "pdf"):

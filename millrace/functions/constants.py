@@ -116,6 +116,16 @@ BOILERPLATE = {
         (r"^\s*back\s+to\s+top\s*$", True),
     ),
 }
+# For each rule set, in lower case, words of which a line must hold one for any of its rules to match.
+BOILERPLATE_WORDS = {
+    "civicplus": ("share", "print", "email", "home", "residents", "government", "services", "departments", "sign", "subscribe", "cookie", "civicplus"),
+    "crimemapping": ("map", "download", "export", "filter", "category:", "type:", "status:", "zone:", "beat:", "district:", "address:", "show", "hide"),
+    "nixle": ("sent", "manage", "unsubscribe", "apply", "reply", "receiving"),
+    "pdf": ("confidential", "official", "enforcement", "page", "police", "sheriff", "department", "dept"),
+    "default": ("cookie", "home", "about", "contact", "search", "menu", "navigation", "accessibility", "follow", "like", "©", "copyright", "back"),
+}
+# Letters that a pattern without letter case takes for i, k or s, and that lower case keeps apart.
+ODD_LETTERS = ("\u0130", "\u0131", "\u017f", "\u212a")
 _MONTH = r"(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 _STREET = r"(?:St|Ave|Blvd|Dr|Rd|Ln|Way|Ct|Pl|Hwy|Fwy|Pkwy|Cir|Ter|Loop)"
 PROTECTED = (

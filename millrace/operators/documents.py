@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.classify import legacy_type
 from millrace.functions.dates import business_deadline
+from millrace.tables import number_rows
 
 CASE_NUMBER = r"(?i)\b(?:CAD|DR|case|report\s+no\.?|incident)[#:\s]+(?:no\.?\s*|number\s*)?([\w-]*\d[\w-]*)"
 
@@ -32,15 +33,8 @@ def pending_requests(docs: DataFrame, queue: DataFrame) -> DataFrame:
 
 
 def queue_places(queue: DataFrame) -> DataFrame:
-    """The queue with each request's place. Ranks are taken within a status and score, and those
-    groups' sizes are summed over one row each, so no task sorts the whole queue."""
-    own = Window.partitionBy("status", "priority_score").orderBy("doc_id")
-    sizes = queue.groupBy("status", "priority_score").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("status", F.desc("priority_score")).rowsBetween(Window.unboundedPreceding, -1))
-    first = sizes.select(F.col("status").alias("s"), F.col("priority_score").alias("p"), F.coalesce(before, F.lit(0)).alias("first"))
-    ranked = queue.withColumn("n", F.row_number().over(own))
-    joined = ranked.join(first, F.col("status").eqNullSafe(F.col("s")) & F.col("priority_score").eqNullSafe(F.col("p")))
-    return joined.withColumn("place", (F.col("first") + F.col("n")).cast("long")).drop("s", "p", "n", "first")
+    """The queue with each request's place. Requests of one status and score may be in several tasks."""
+    return number_rows(queue, "status", F.desc("priority_score"), "doc_id", name="place")
 
 
 def queue_order(queue: DataFrame) -> DataFrame:

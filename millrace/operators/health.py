@@ -1,7 +1,7 @@
 """Feed health: latest runs, runs without documents, staleness and their roll-ups.
 
 ``runs`` is an append-only series (run_id, agency_id, run_at, docs_fetched, ...); run_id breaks
-ties of run_at. All windows share one specification, so a plan sorts runs once.
+ties of run_at.
 """
 
 from __future__ import annotations
@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.tables import number_rows
+
 
 def _newest():
     return Window.partitionBy("agency_id").orderBy(F.desc("run_at"), F.desc("run_id"))
 
 
 def recent_n_runs(runs: DataFrame, n: int) -> DataFrame:
-    """The newest ``n`` runs of each agency with their rank."""
-    return runs.withColumn("rn", F.row_number().over(_newest()).cast("long")).filter(F.col("rn") <= n)
+    """The newest ``n`` runs of each agency with their rank. Each task keeps ``n`` runs of an agency before
+    any are sent on, so an agency with most of the runs is no task of its own."""
+    return runs.withColumn("rn", F.row_number().over(_newest())).filter(F.col("rn") <= n).withColumn("rn", F.col("rn").cast("long"))
 
 
 def append_runs(runs: DataFrame, results: DataFrame) -> DataFrame:
@@ -24,8 +27,7 @@ def append_runs(runs: DataFrame, results: DataFrame) -> DataFrame:
     run_at, under ids that follow the greatest one, in the order of agencies."""
     last = runs.agg(F.coalesce(F.max("run_id"), F.lit(-1))).scalar()
     new = results.select("agency_id", "docs_fetched", "feeds_scraped", "error_count", "run_at")
-    # One run of the scheduler has a row for each agency at most, so its results fit one window.
-    ranked = new.withColumn("run_id", (last + F.row_number().over(Window.orderBy("agency_id", "run_at"))).cast(runs.schema["run_id"].dataType))
+    ranked = number_rows(new, "agency_id", "run_at", name="run_id").withColumn("run_id", (last + F.col("run_id")).cast(runs.schema["run_id"].dataType))
     return runs.unionByName(ranked, allowMissingColumns=True)
 
 

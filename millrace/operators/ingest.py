@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.session import ship_package
+from millrace.operators.ttl import suppress_by_ttl  # noqa: F401
+from millrace.tables import SeenStore, number_rows
 
 
 def doc_hash(url: str = "url", text: str = "raw_text") -> Column:
@@ -27,42 +23,16 @@ def new_documents(docs: DataFrame, seen: DataFrame, order: str = "doc_id") -> Da
     return docs.groupBy(doc_hash().alias("doc_hash")).agg(first).join(seen, "doc_hash", "left_anti").select("first.*", "doc_hash")
 
 
+def unseen_documents(docs: DataFrame, store: SeenStore, order: str = "doc_id") -> DataFrame:
+    """As ``new_documents`` against a store of seen hashes, of which only buckets are read that may hold one."""
+    return new_documents(docs, store.known(docs.select(doc_hash())).select(F.col("key").alias("doc_hash")), order)
+
+
 def insert_counts(docs: DataFrame, target: DataFrame) -> DataFrame:
     """Rows of each agency that an insert which ignores known hashes adds."""
     return new_documents(docs, target).groupBy("agency_id").agg(F.count("*").alias("inserted"))
 
 
-def suppress_by_ttl(fetches: DataFrame, key: str, at: str, ttl_seconds: str) -> DataFrame:
-    """Attempts per key in order of time: the first is fetched and marks the key; one within the
-    mark's time to live is skipped and leaves the mark as it is. A fold over the sorted times,
-    since a skipped attempt must not count as a mark: partitions are sorted by key and time and
-    read as a stream that holds one key's mark and counts, however long its history."""
-    ship_package(fetches.sparkSession)
-    schema = T.StructType([fetches.schema[key], T.StructField("fetched", T.LongType()), T.StructField("skipped", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, until, counts, known = None, None, [0, 0], False
-        for b in batches:
-            out = []
-            for k, t, ttl in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if not known or k != own:
-                    if known:
-                        out.append((own, *counts))
-                    own, until, counts, known = k, None, [0, 0], True
-                skip = t is not None and until is not None and t < until
-                counts[skip] += 1
-                if not skip:
-                    until = None if t is None or ttl is None else t + ttl
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-        if known:
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((own, *counts), arrow, strict=True)], schema=arrow)
-
-    arrow = to_arrow_schema(schema)
-    rows = fetches.select(key, F.col(at).cast("long").alias("__at"), F.col(ttl_seconds).cast("long").alias("__ttl"))
-    return rows.repartition(key).sortWithinPartitions(key, "__at", "__ttl").mapInArrow(run, schema)
-
-
 def rate_limited_schedule(requests: DataFrame, domain: str, at: str, order: str, delay: float, span: float = 86400.0) -> DataFrame:
     """When each request may start if a domain's requests are ``delay`` seconds apart: with i
     the request's rank, i * delay + max over j <= i of (arrival_j - j * delay).
@@ -86,9 +56,7 @@ def rate_limited_schedule(requests: DataFrame, domain: str, at: str, order: str,
 def bounded_slots(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
     """``rows`` dealt out to ``most`` slots by ``key``, with their turn in the slot: what runs one
     after another in a slot never has more than ``most`` going on at once."""
-    slot = F.pmod(F.col(key), F.lit(most))
-    turn = F.row_number().over(Window.partitionBy("slot").orderBy(order))
-    return rows.withColumn("slot", slot.cast("int")).repartition(most, "slot").withColumn("turn", turn)
+    return number_rows(rows.withColumn("slot", F.pmod(F.col(key), F.lit(most)).cast("int")), order, by=("slot",), name="turn")
 
 
 def single_run(agencies: DataFrame, feeds: DataFrame, fetched: DataFrame, seen: DataFrame, agency_id, columns: list[str], dry_run: bool = False) -> DataFrame:

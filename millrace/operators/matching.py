@@ -56,3 +56,16 @@ def longest_prefix(name: Column, words: list[str]) -> Column:
     for w in sorted(words, key=lambda w: (len(w), w)):
         out = F.when((name == w) | name.startswith(w + " "), F.lit(w)).otherwise(out)
     return out
+
+
+def longest_prefixes(names: DataFrame, key: str, name: str, words: DataFrame) -> DataFrame:
+    """``key`` and ``prefix``: the longest word (column ``word`` of ``words``) that a name equals or
+    starts with, before a space; null without any. A name's prefixes that end before a space meet the words
+    by equality, so words may be any number, and of a name's prefixes the longest is a partial maximum."""
+    places = F.filter(F.sequence(F.lit(1), F.length(name) + 1), lambda i: (i > F.length(name)) | (F.col(name).substr(i, F.lit(1)) == " "))
+    prefixes = names.select(key, name).distinct().select(key, name, F.explode(F.transform(places, lambda i: F.col(name).substr(F.lit(1), i - 1))).alias("word"))
+    # Only prefixes that some word could equal are sent on.
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+    met = prefixes.filter(F.length("word").between(1, longest)).join(words.select("word").distinct(), "word")
+    best = met.groupBy(key, name).agg(F.max_by("word", F.length("word")).alias("prefix")).select(F.col(key).alias("__key"), F.col(name).alias("__name"), "prefix")
+    return names.join(best, F.col(key).eqNullSafe(F.col("__key")) & F.col(name).eqNullSafe(F.col("__name")), "left").select(key, "prefix")

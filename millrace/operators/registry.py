@@ -41,6 +41,15 @@ def with_feeds(agencies: DataFrame, feeds: DataFrame) -> DataFrame:
     return agencies.join(own, "agency_id", "left").withColumn("feeds", F.coalesce("feeds", none))
 
 
+def feeds_of(agencies: DataFrame, feeds: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The feeds of the agencies in ``wanted`` (agency_id). ``found`` tells an agency that isn't registered
+    (false) from one without feeds (true, and no feed)."""
+    known = agencies.join(wanted, "agency_id", "left_semi").select("agency_id", F.lit(True).alias("found"))
+    own = feeds.join(wanted, "agency_id", "left_semi").select("agency_id", "feed_id", "feed_type", "url", "is_active")
+    rows = wanted.select("agency_id").distinct().join(known, "agency_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return rows.join(own, "agency_id", "left")
+
+
 def due_agencies(agencies: DataFrame, feeds: DataFrame, as_of: Column) -> DataFrame:
     """Agencies with a platform and an active feed that was never scraped or is due again."""
     seconds = F.coalesce(*(F.when(F.col("frequency") == k, F.lit(v)) for k, v in FREQUENCY_SECONDS.items()), F.lit(86400))
