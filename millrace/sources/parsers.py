@@ -1,8 +1,14 @@
-"""Parsers from fetched responses to normalised documents."""
+"""Parsers from fetched responses to normalised documents.
+
+A source says how a response's columns give an array of items, and how an item gives a document. So
+responses of many platforms can be read in one pass: the platform picks the array, and the fields.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +19,7 @@ from millrace.functions import dates as T
 from millrace.functions import detect as D
 from millrace.functions import maps as M
 from millrace.functions import urls as U
+from millrace.functions.classify import let
 from millrace.session import ship_package
 
 PAGE_SIZE = 1000
@@ -54,9 +61,34 @@ def squash(text: Column) -> Column:
     return run(text)
 
 
-def _documents(rows: DataFrame, keys: list[str], **fields: Column) -> DataFrame:
-    """Normalised documents of exploded items, with the response's key columns."""
-    return rows.select(*keys, *(c.alias(n) for n, c in fields.items()))
+Cols = dict[str, Column]
+
+
+@dataclass(frozen=True)
+class Source:
+    """``items``: a response's columns (named by ``inputs``) as an array. ``fields``: an item and the
+    response's columns as the fields of a document but for its place. ``fault``: what is wrong with the
+    response, null if it can be read."""
+
+    inputs: tuple[str, ...]
+    items: Callable[[Cols], Column]
+    fields: Callable[[Column, Cols], Cols]
+    fault: Callable[[Cols], Column]
+
+    def documents(self, responses: DataFrame, keys: list[str], **columns: str) -> DataFrame:
+        """keys, pos and the fields of each document; ``columns``: what the inputs are called."""
+        cols = {n: F.col(columns.get(n, n)) for n in self.inputs}
+        rows = responses.select(*keys, *(c.alias(f"__{n}") for n, c in cols.items()), F.posexplode(self.items(cols)).alias("pos", "__i"))
+        made = self.fields(F.col("__i"), {n: F.col(f"__{n}") for n in self.inputs})
+        return rows.select(*keys, "pos", *(c.alias(n) for n, c in made.items()))
+
+
+def _no_response(name: str) -> Callable[[Cols], Column]:
+    return lambda r: F.when(r[name].isNull(), F.lit("no response"))
+
+
+def _unreadable(name: str, parsed: Callable[[Cols], Column]) -> Callable[[Cols], Column]:
+    return lambda r: F.when(r[name].isNull(), F.lit("no response")).when(parsed(r).isNull(), F.lit("response can't be read"))
 
 
 def _meta(**values: Column) -> Column:
@@ -120,19 +152,32 @@ def _alert_items(html: str) -> list[tuple]:
     return out
 
 
-def parse_listing(responses: DataFrame, keys: list[str], url: str = "url", html: str = "html") -> DataFrame:
+def _linked(i: Column, url: Column) -> Column:
+    return F.when(i["href"].isNull(), url).otherwise(U.resolve(url, i["href"]))
+
+
+def _listing_fields(i: Column, r: Cols) -> Cols:
+    url = r["url"]
+    return {"url": _linked(i, url), "document_type": D.listing_type(url), "title": F.nullif(i["title"], F.lit("")), "raw_text": _join_title(i["title"], i["body"]), "published_date": T.listing_date(i["date"]), "metadata": _meta(page_url=url)}
+
+
+def _alert_fields(i: Column, r: Cols) -> Cols:
+    link, platform = _linked(i, r["url"]), F.when(r["url"].contains("nixle.com"), "nixle").otherwise("rave")
+    return {"url": link, "document_type": F.lit("alert"), "title": F.nullif(i["title"], F.lit("")), "raw_text": _join_title(i["title"], i["body"]), "published_date": T.alert_date(i["date"]), "metadata": _meta(nixle_alert_id=U.alert_id(link), alert_url=link, platform=platform)}
+
+
+LISTING = Source(("url", "html"), lambda r: _items(r["html"], _listing_items), _listing_fields, _no_response("html"))
+ALERTS = Source(("url", "html"), lambda r: _items(r["html"], _alert_items), _alert_fields, _no_response("html"))
+
+
+def parse_listing(responses: DataFrame, keys: list[str], **columns: str) -> DataFrame:
     """News listings: a document for each article that the first fitting selector picks."""
-    rows = responses.select(*keys, F.col(url).alias("page"), F.posexplode(_items(F.col(html), _listing_items)).alias("pos", "i"))
-    link = F.when(F.col("i.href").isNull(), F.col("page")).otherwise(U.resolve(F.col("page"), F.col("i.href")))
-    return _documents(rows, keys, pos=F.col("pos"), url=link, document_type=D.listing_type(F.col("page")), title=F.nullif(F.col("i.title"), F.lit("")), raw_text=_join_title(F.col("i.title"), F.col("i.body")), published_date=T.listing_date(F.col("i.date")), metadata=_meta(page_url=F.col("page")))
+    return LISTING.documents(responses, keys, **columns)
 
 
-def parse_alerts(responses: DataFrame, keys: list[str], url: str = "url", html: str = "html") -> DataFrame:
+def parse_alerts(responses: DataFrame, keys: list[str], **columns: str) -> DataFrame:
     """Alert listings; the platform follows from the page's address."""
-    rows = responses.select(*keys, F.col(url).alias("page"), F.posexplode(_items(F.col(html), _alert_items)).alias("pos", "i"))
-    link = F.when(F.col("i.href").isNull(), F.col("page")).otherwise(U.resolve(F.col("page"), F.col("i.href")))
-    platform = F.when(F.col("page").contains("nixle.com"), "nixle").otherwise("rave")
-    return _documents(rows, keys, pos=F.col("pos"), url=link, document_type=F.lit("alert"), title=F.nullif(F.col("i.title"), F.lit("")), raw_text=_join_title(F.col("i.title"), F.col("i.body")), published_date=T.alert_date(F.col("i.date")), metadata=_meta(nixle_alert_id=U.alert_id(link), alert_url=link, platform=platform))
+    return ALERTS.documents(responses, keys, **columns)
 
 
 def cell_roles(cells: Column) -> Column:
@@ -152,8 +197,7 @@ def cell_roles(cells: Column) -> Column:
     return F.aggregate(cells, start, step, fill)
 
 
-def parse_incident_table(responses: DataFrame, keys: list[str], url: str = "url", html: str = "html") -> DataFrame:
-    """Incident tables: a document for each row with data cells."""
+def _table_rows(html: Column) -> Column:
     ship_package(SparkSession.getActiveSession())
 
     @F.pandas_udf("array<array<string>>")
@@ -162,21 +206,36 @@ def parse_incident_table(responses: DataFrame, keys: list[str], url: str = "url"
 
         return s.map(lambda h: [[c.text(" ") for c in r.walk() if c.tag == "td"] for r in first_selected(parse(h or ""), K.TABLE_SELECTORS, "td")])
 
-    rows = responses.select(*keys, F.col(url).alias("page"), F.posexplode(rows_of(F.col(html))).alias("pos", "cells")).withColumn("r", cell_roles(F.col("cells")))
-    r = F.col("r")
-    parts = F.filter(F.array(r["type"], r["address"], r["description"]), lambda x: F.coalesce(x, F.lit("")) != "")
-    text = squash(F.when(F.size(parts) > 0, F.array_join(parts, " at ")).otherwise(F.array_join("cells", " ")))
-    return _documents(rows, keys, pos=F.col("pos"), url=F.col("page"), document_type=F.lit("incident_log"), title=r["type"], raw_text=F.when(text != "", text).otherwise(F.array_join(F.slice("cells", 1, 3), " ")), published_date=T.table_date(r["date"]), metadata=_meta(address=r["address"], incident_type=r["type"], page_url=F.col("page")))
+    return F.transform(rows_of(html), lambda cells: F.struct(cells.alias("cells"), cell_roles(cells).alias("r")))
 
 
-def parse_feed(responses: DataFrame, keys: list[str], url: str = "url", xml: str = "xml") -> DataFrame:
-    """RSS and Atom feeds: a document for each item of the channel or entry of the feed. An entry's
-    address is its first link that isn't for something else (rel other than alternate)."""
-    text = "struct<_VALUE:string,_type:string>"
-    item = "struct<title:string,link:string,description:string,summary:string,encoded:string,content:string,pubDate:string,published:string,updated:string>"
-    entry = f"struct<title:{text},link:array<struct<_href:string,_rel:string>>,summary:{text},content:array<{text}>,published:string,updated:string>"
-    plain = F.regexp_replace(F.regexp_replace(F.col(xml), r"<(/?)content:encoded", "<$1encoded"), r"<(/?)atom:(\w+)", "<$1atom_$2")
-    root = F.from_xml(plain, f"channel struct<title:string,item:array<{item}>>, title {text}, entry array<{entry}>")
+def _table_fields(i: Column, r: Cols) -> Cols:
+    cells, own = i["cells"], i["r"]
+    parts = F.filter(F.array(own["type"], own["address"], own["description"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    text = squash(F.when(F.size(parts) > 0, F.array_join(parts, " at ")).otherwise(F.array_join(cells, " ")))
+    raw = F.when(text != "", text).otherwise(F.array_join(F.slice(cells, 1, 3), " "))
+    return {"url": r["url"], "document_type": F.lit("incident_log"), "title": own["type"], "raw_text": raw, "published_date": T.table_date(own["date"]), "metadata": _meta(address=own["address"], incident_type=own["type"], page_url=r["url"])}
+
+
+TABLE = Source(("url", "html"), lambda r: _table_rows(r["html"]), _table_fields, _no_response("html"))
+
+
+def parse_incident_table(responses: DataFrame, keys: list[str], **columns: str) -> DataFrame:
+    """Incident tables: a document for each row with data cells."""
+    return TABLE.documents(responses, keys, **columns)
+
+
+_TEXT = "struct<_VALUE:string,_type:string>"
+_FEED_ITEM = "struct<title:string,link:string,description:string,summary:string,encoded:string,content:string,pubDate:string,published:string,updated:string>"
+_ENTRY = f"struct<title:{_TEXT},link:array<struct<_href:string,_rel:string>>,summary:{_TEXT},content:array<{_TEXT}>,published:string,updated:string>"
+
+
+def _feed_root(r: Cols) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(r["xml"], r"<(/?)content:encoded", "<$1encoded"), r"<(/?)atom:(\w+)", "<$1atom_$2")
+    return F.from_xml(plain, f"channel struct<title:string,item:array<{_FEED_ITEM}>>, title {_TEXT}, entry array<{_ENTRY}>")
+
+
+def _feed_items(r: Cols) -> Column:
     none = F.lit(None).cast("string")
 
     def as_item(e: Column) -> Column:
@@ -184,45 +243,99 @@ def parse_feed(responses: DataFrame, keys: list[str], url: str = "url", xml: str
         fields = {"title": e["title"]["_VALUE"], "link": link, "description": none, "summary": e["summary"]["_VALUE"], "encoded": none, "content": F.get(e["content"], F.lit(0))["_VALUE"], "pubDate": none, "published": e["published"], "updated": e["updated"]}
         return F.struct(*(c.alias(n) for n, c in fields.items()))
 
-    rows = responses.select(*keys, F.col(url).alias("feed"), root.alias("x"))
-    items = F.coalesce("x.channel.item", F.transform("x.entry", as_item))
-    rows = rows.select(*keys, "feed", F.coalesce("x.channel.title", "x.title._VALUE").alias("feed_title"), F.posexplode(items).alias("pos", "i"))
-    i = F.col("i")
+    def told(x: Column) -> Column:
+        title = F.coalesce(x["channel"]["title"], x["title"]["_VALUE"], F.lit(""))
+        return F.transform(F.coalesce(x["channel"]["item"], F.transform(x["entry"], as_item)), lambda i: F.struct(title.alias("feed_title"), i.alias("i")))
+
+    return let(_feed_root(r), told)
+
+
+def _feed_fields(item: Column, r: Cols) -> Cols:
+    i, title = item["i"], item["feed_title"]
     body = F.coalesce(i["encoded"], i["content"], i["summary"], i["description"], F.lit(""))
-    title = F.coalesce("feed_title", F.lit(""))
-    return _documents(rows, keys, pos=F.col("pos"), url=F.coalesce(i["link"], F.col("feed")), document_type=D.feed_title_type(title), title=F.nullif(i["title"], F.lit("")), raw_text=squash(body), published_date=T.feed_date(F.coalesce(i["pubDate"], i["published"]), i["updated"]), metadata=_meta(feed_url=F.col("feed"), feed_title=title))
+    return {"url": F.coalesce(i["link"], r["url"]), "document_type": D.feed_title_type(title), "title": F.nullif(i["title"], F.lit("")), "raw_text": squash(body), "published_date": T.feed_date(F.coalesce(i["pubDate"], i["published"]), i["updated"]), "metadata": _meta(feed_url=r["url"], feed_title=title)}
+
 
+FEED = Source(("url", "xml"), _feed_items, _feed_fields, _unreadable("xml", lambda r: let(_feed_root(r), lambda x: F.coalesce(x["channel"].cast("string"), x["title"].cast("string"), x["entry"].cast("string"), F.when(r["xml"].rlike(r"<\s*(?:\w+:)?(?:rss|feed|RDF)\b"), "empty")))))
 
-def parse_incident_map(responses: DataFrame, keys: list[str], payload: str = "payload", map_id: str = "map_id") -> DataFrame:
-    """Incidents of a map service's JSON."""
-    schema = "struct<Incidents:array<struct<TypeDescription:string,Address:string,DateOccurred:string,CaseNumber:string,Description:string>>>"
-    rows = responses.select(*keys, F.col(map_id).alias("m"), F.posexplode(F.from_json(payload, schema)["Incidents"]).alias("pos", "i"))
-    e = lambda n: F.coalesce(F.col(f"i.{n}"), F.lit(""))
+
+def parse_feed(responses: DataFrame, keys: list[str], **columns: str) -> DataFrame:
+    """RSS and Atom feeds: a document for each item of the channel or entry of the feed. An entry's
+    address is its first link that isn't for something else (rel other than alternate)."""
+    return FEED.documents(responses, keys, **columns)
+
+
+_INCIDENTS = "struct<Incidents:array<struct<TypeDescription:string,Address:string,DateOccurred:string,CaseNumber:string,Description:string>>>"
+
+
+def _incident_fields(i: Column, r: Cols) -> Cols:
+    e = lambda n: F.coalesce(i[n], F.lit(""))
     text = squash(F.concat(e("TypeDescription"), F.lit(" at "), e("Address"), F.lit(" on "), e("DateOccurred"), F.lit(". "), e("Description")))
-    url = F.concat(F.lit("https://www.crimemapping.com/map/agency/"), F.col("m").cast("string"))
-    return _documents(rows, keys, pos=F.col("pos"), url=url, document_type=F.lit("incident_log"), title=F.nullif(F.col("i.TypeDescription"), F.lit("")), raw_text=text, published_date=T.map_date(F.col("i.DateOccurred")), metadata=_meta(crimemapping_id=F.col("m"), case_number=F.col("i.CaseNumber")))
+    url = F.concat(F.lit("https://www.crimemapping.com/map/agency/"), r["map_id"].cast("string"))
+    return {"url": url, "document_type": F.lit("incident_log"), "title": F.nullif(i["TypeDescription"], F.lit("")), "raw_text": text, "published_date": T.map_date(i["DateOccurred"]), "metadata": _meta(crimemapping_id=r["map_id"], case_number=i["CaseNumber"])}
 
 
-def parse_open_data(responses: DataFrame, keys: list[str], url: str = "url", payload: str = "payload", offset: str = "offset", date_field: str | None = None) -> DataFrame:
-    """Rows of an open-data page: a JSON array of objects with unknown columns; ``date_field``:
-    the column that has the date, if it is known."""
-    rows = responses.select(*keys, F.col(url).alias("u"), F.col(offset).alias("o"), F.posexplode(F.from_json(payload, f"array<{M.MAP}>")).alias("pos", "row"))
-    row, u = F.col("row"), F.col("u")
-    kind = M.resolve(row, K.TYPE_FIELDS)
-    meta = _meta(domain=F.try_parse_url(u, F.lit("HOST")), dataset_id=U.dataset_id(u), offset=F.col("o"), report_number=M.resolve(row, K.REPORT_FIELDS), location=M.resolve(row, K.LOCATION_FIELDS))
-    return _documents(rows, keys, pos=F.col("pos"), url=u, document_type=D.open_data_type(kind, u), title=kind, raw_text=M.dump(row), published_date=T.open_data_date(M.resolve(row, K.DATE_FIELDS, date_field)), metadata=meta)
+INCIDENT_MAP = Source(
+    ("payload", "map_id"),
+    lambda r: F.when(r["map_id"].isNotNull(), F.from_json(r["payload"], _INCIDENTS)["Incidents"]),
+    _incident_fields,
+    lambda r: F.when(r["map_id"].isNull(), F.lit("no external id")).otherwise(_unreadable("payload", lambda r: F.from_json(r["payload"], _INCIDENTS)["Incidents"])(r)),
+)
 
 
-def parse_features(responses: DataFrame, keys: list[str], url: str = "url", payload: str = "payload", offset: str = "offset") -> DataFrame:
-    """Features of a map layer's JSON; a payload with an error has none."""
-    schema = f"struct<features:array<struct<attributes:{M.MAP},geometry:string>>,error:string>"
-    parsed = F.from_json(payload, schema)
-    rows = responses.select(*keys, F.col(url).alias("u"), F.col(offset).alias("o"), parsed.alias("p")).filter("p.error is null").select(*keys, "u", "o", F.posexplode("p.features").alias("pos", "f"))
-    row, u = F.coalesce("f.attributes", F.create_map().cast(M.MAP)), F.col("u")
+def parse_incident_map(responses: DataFrame, keys: list[str], **columns: str) -> DataFrame:
+    """Incidents of a map service's JSON; a response without the agency's id there has none."""
+    return INCIDENT_MAP.documents(responses, keys, **columns)
+
+
+def _row_fields(date_field: str | None) -> Callable[[Column, Cols], Cols]:
+    def fields(row: Column, r: Cols) -> Cols:
+        u, kind = r["url"], M.resolve(row, K.TYPE_FIELDS)
+        meta = _meta(domain=F.try_parse_url(u, F.lit("HOST")), dataset_id=U.dataset_id(u), offset=r["offset"], report_number=M.resolve(row, K.REPORT_FIELDS), location=M.resolve(row, K.LOCATION_FIELDS))
+        return {"url": u, "document_type": D.open_data_type(kind, u), "title": kind, "raw_text": M.dump(row), "published_date": T.open_data_date(M.resolve(row, K.DATE_FIELDS, date_field)), "metadata": meta}
+
+    return fields
+
+
+def open_data(date_field: str | None = None) -> Source:
+    """Pages of an open-data set; ``date_field``: the column that has the date, if it is known."""
+    rows = lambda r: F.from_json(r["payload"], f"array<{M.MAP}>")
+    return Source(("url", "payload", "offset"), rows, _row_fields(date_field), _unreadable("payload", lambda r: F.when(F.ltrim(r["payload"]).startswith("["), rows(r))))
+
+
+def parse_open_data(responses: DataFrame, keys: list[str], date_field: str | None = None, **columns: str) -> DataFrame:
+    """Rows of an open-data page: a JSON array of objects with unknown columns."""
+    return open_data(date_field).documents(responses, keys, **columns)
+
+
+def open_data_documents(rows: DataFrame, keys: list[str], date_field: str | None = None) -> DataFrame:
+    """Documents of rows (url, offset, pos, row) that the open-data source has read."""
+    made = _row_fields(date_field)(F.col("row"), {"url": F.col("url"), "offset": F.col("offset")})
+    return rows.select(*keys, "pos", *(c.alias(n) for n, c in made.items()))
+
+
+_LAYER = f"struct<features:array<struct<attributes:{M.MAP},geometry:string>>,error:string>"
+
+
+def _feature_fields(f: Column, r: Cols) -> Cols:
+    row, u = F.coalesce(f["attributes"], F.create_map().cast(M.MAP)), r["url"]
     kind = M.resolve_any_case(row, K.FEATURE_TYPE_FIELDS)
     dates = F.coalesce(*(T.epoch_ms(M.resolve_any_case(row, (c,))) for c in K.DATE_FIELDS))
-    meta = _meta(query_url=u, offset=F.col("o"), report_number=M.resolve_any_case(row, K.FEATURE_REPORT_FIELDS), location=M.resolve_any_case(row, K.LOCATION_FIELDS), geometry=F.col("f.geometry"))
-    return _documents(rows, keys, pos=F.col("pos"), url=u, document_type=D.open_data_type(kind, u), title=kind, raw_text=M.dump_features(row), published_date=dates, metadata=meta)
+    meta = _meta(query_url=u, offset=r["offset"], report_number=M.resolve_any_case(row, K.FEATURE_REPORT_FIELDS), location=M.resolve_any_case(row, K.LOCATION_FIELDS), geometry=f["geometry"])
+    return {"url": u, "document_type": D.open_data_type(kind, u), "title": kind, "raw_text": M.dump_features(row), "published_date": dates, "metadata": meta}
+
+
+FEATURES = Source(
+    ("url", "payload", "offset"),
+    lambda r: let(F.from_json(r["payload"], _LAYER), lambda p: F.when(p["error"].isNull(), p["features"])),
+    _feature_fields,
+    lambda r: F.coalesce(F.concat(F.lit("the layer says "), F.from_json(r["payload"], _LAYER)["error"]), _unreadable("payload", lambda r: F.from_json(r["payload"], _LAYER)["features"])(r)),
+)
+
+
+def parse_features(responses: DataFrame, keys: list[str], **columns: str) -> DataFrame:
+    """Features of a map layer's JSON; a payload with an error has none."""
+    return FEATURES.documents(responses, keys, **columns)
 
 
 def clean_page(text: Column) -> Column:
@@ -238,17 +351,39 @@ def ocr_summary(confidences: Column) -> Column:
     return F.when(F.size(known) > 0, F.struct(F.bround(mean, 1).alias("avg_ocr_confidence"), F.when(mean < 60, "low").otherwise("ok").alias("ocr_confidence")))
 
 
+def _pdf_items(pages: Column, conf: Column) -> Column:
+    """The documents' texts, whether they are single pages, and their pages' number and confidences."""
+    cleaned = F.zip_with(F.transform(pages, clean_page), conf, lambda t, c: F.struct(t.alias("t"), c.alias("c")))
+
+    def split(ps: Column) -> Column:
+        dated = F.forall(ps, lambda p: T.pdf_header(p["t"]).isNotNull())
+        item = lambda t, cs: F.struct(t.alias("t"), cs.alias("cs"), dated.alias("split"), F.size(ps).alias("n"))
+        whole = F.array(item(squash(F.array_join(F.transform(ps, lambda p: p["t"]), "\n\n")), F.transform(ps, lambda p: p["c"])))
+        return F.when(F.size(ps) > 0, F.when(dated, F.transform(ps, lambda p: item(p["t"], F.array(p["c"])))).otherwise(whole))
+
+    return let(F.filter(cleaned, lambda p: p["t"] != ""), lambda ps: F.transform(split(ps), lambda d, at: F.struct(d.alias("d"), at.alias("at"))))
+
+
+def _pdf_fields(i: Column, r: Cols) -> Cols:
+    d = i["d"]
+    header = F.when(d["split"], T.pdf_header(d["t"]))
+    o = ocr_summary(d["cs"])
+    meta = _meta(pdf_url=r["url"], page_count=F.when(d["split"], 1).otherwise(d["n"]), section_index=F.when(d["split"], i["at"]), avg_ocr_confidence=o["avg_ocr_confidence"], ocr_confidence=o["ocr_confidence"])
+    return {"url": r["url"], "document_type": D.pdf_type(r["url"]), "title": header, "raw_text": d["t"], "published_date": T.pdf_date(header), "metadata": F.map_filter(meta, lambda _, v: v.isNotNull())}
+
+
+def _no_confidences(pages: Column) -> Column:
+    return F.transform(pages, lambda _: F.lit(None).cast("double"))
+
+
+_PAGES = "array<string>"
+#: A file's page texts as a JSON array.
+PDF = Source(("url", "payload"), lambda r: let(F.from_json(r["payload"], _PAGES), lambda pages: _pdf_items(pages, _no_confidences(pages))), _pdf_fields, _unreadable("payload", lambda r: F.from_json(r["payload"], _PAGES)))
+
+
 def assemble_pdf(files: DataFrame, keys: list[str], url: str = "url", pages: str = "pages", ocr: str | None = None) -> DataFrame:
     """Documents of page-wise texts: one a page if every page that isn't blank starts with a date
     header, else one in all. Confidences keep their pages' numbers."""
-    conf = F.col(ocr) if ocr else F.transform(pages, lambda _: F.lit(None).cast("double"))
-    cleaned = F.zip_with(F.transform(pages, clean_page), conf, lambda t, c: F.struct(t.alias("t"), c.alias("c")))
-    rows = files.select(*keys, F.col(url).alias("u"), F.filter(cleaned, lambda p: p["t"] != "").alias("ps")).filter(F.size("ps") > 0)
-    rows = rows.withColumn("split", F.forall("ps", lambda p: T.pdf_header(p["t"]).isNotNull()))
-    whole = F.array(F.struct(squash(F.array_join(F.transform("ps", lambda p: p["t"]), "\n\n")).alias("t"), F.transform("ps", lambda p: p["c"]).alias("cs")))
-    each = F.transform("ps", lambda p: F.struct(p["t"].alias("t"), F.array(p["c"]).alias("cs")))
-    out = rows.select(*keys, "u", "split", F.size("ps").alias("n"), F.posexplode(F.when(F.col("split"), each).otherwise(whole)).alias("pos", "d"))
-    header = F.when(F.col("split"), T.pdf_header(F.col("d.t")))
-    o = ocr_summary(F.col("d.cs"))
-    meta = _meta(pdf_url=F.col("u"), page_count=F.when(F.col("split"), 1).otherwise(F.col("n")), section_index=F.when(F.col("split"), F.col("pos")), avg_ocr_confidence=o["avg_ocr_confidence"], ocr_confidence=o["ocr_confidence"])
-    return _documents(out, keys, pos=F.col("pos"), url=F.col("u"), document_type=D.pdf_type(F.col("u")), title=header, raw_text=F.col("d.t"), published_date=T.pdf_date(header), metadata=F.map_filter(meta, lambda _, v: v.isNotNull()))
+    given = Source(("url", "pages", "ocr"), lambda r: _pdf_items(r["pages"], r["ocr"]), _pdf_fields, _no_response("pages"))
+    rows = files.withColumn("__conf", F.col(ocr) if ocr else _no_confidences(F.col(pages)))
+    return given.documents(rows, keys, url=url, pages=pages, ocr="__conf")
