@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -41,3 +41,51 @@ def test_windows(spark, tmp_path):
     streams.drain(streams.health_by_window(stream), str(tmp_path / "c"), str(tmp_path / "out"))
     first = spark.read.parquet(str(tmp_path / "out")).orderBy("window").first()
     assert (first["runs"], first["empty_runs"]) == (6, 3)
+
+
+def _runs(spark, rows):
+    return spark.createDataFrame([(a, i, t, d) for i, (a, t, d) in enumerate(rows)], "agency_id long, run_id long, run_at timestamp_ntz, docs_fetched int")
+
+
+def test_a_silent_feed_is_told_by_a_timer(spark):
+    """Batches equal the batch operator; an agency without any row in the last batch is reported by time alone."""
+    import numpy as np
+
+    from millrace.operators import health
+    from millrace.streaming import monitor
+
+    day = datetime(2024, 1, 1)
+    rng = np.random.default_rng(5)
+    rows = [(int(a), day + timedelta(seconds=int(s), microseconds=int(rng.integers(0, 10**6))), int(d)) for a, s, d in zip(rng.integers(0, 12, 150), rng.integers(0, 20 * 86400, 150), rng.integers(0, 3, 150) * 4)]
+    rows += [(20, day, 5), (21, day + timedelta(days=19, hours=20), 0), (21, day + timedelta(days=19, hours=21), 0), (22, day + timedelta(days=19), None), (22, day + timedelta(days=19, hours=1), 0)]
+    runs = _runs(spark, rows)
+    agencies = spark.createDataFrame([(a, f"n{a}", None if a == 3 else "rss") for a in (*range(12), 20, 21, 22, 30)], "agency_id long, canonical_name string, platform_type string")
+    want = health.problem_agencies(agencies, runs.fillna(0), runs.agg(F.max("run_at")).scalar()).collect()
+    for n in (1, 3):
+        changes = monitor.drained_in_batches(runs, "run_at", n, monitor.health_changes, "health")
+        assert sorted(map(tuple, monitor.current(agencies, changes).collect()), key=str) == sorted(map(tuple, want), key=str)
+    silent = [r for r in changes.filter("agency_id = 20").orderBy("at").collect()]
+    assert [r.last_run_at is None for r in silent] == [False, True] and silent[1].at >= day + timedelta(hours=48)
+    assert {r.agency_id: r.status for r in want}[21] == "UNHEALTHY" and 30 in {r.agency_id for r in want}
+
+
+def test_the_greatest_run_leaves_the_window_before_the_last(spark):
+    from millrace.streaming import monitor
+
+    day = datetime(2024, 1, 1)
+    runs = _runs(spark, [(1, day, 9), (1, day + timedelta(hours=30), 4), (1, day + timedelta(hours=40), 2), (2, day + timedelta(hours=60), 1)])
+    changes = monitor.drained_in_batches(runs, "run_at", 1, monitor.health_changes, "health")
+    told = changes.filter("agency_id = 1").orderBy("at").collect()
+    assert [(r.docs_fetched_last, r.last_run_at) for r in told] == [(9, day + timedelta(hours=40)), (4, day + timedelta(hours=40))]
+
+
+def test_due_again_by_a_timer(spark):
+    from millrace.streaming import monitor
+
+    day = datetime(2024, 1, 1)
+    runs = _runs(spark, [(1, day, 1), (2, day, 1), (2, day + timedelta(hours=5), 1), (3, day + timedelta(hours=6), 1), (4, day + timedelta(hours=3), 1)])
+    for n in (1, 2):
+        changes = monitor.drained_in_batches(runs, "run_at", n, lambda s: monitor.due_changes(s, F.expr("if(agency_id = 4, 36000, 7200)")), "due")
+        assert {r.agency_id for r in monitor.due_now(changes).collect()} == {1}
+        at = monitor.due_now(changes).first().due_at
+        assert timedelta(0) < at - day - timedelta(hours=2) <= timedelta(milliseconds=1)
