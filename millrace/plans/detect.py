@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import classify as C
 from millrace.functions import constants as K
 from millrace.functions import detect as D
+from millrace.operators.matching import longest_prefixes
 from millrace.sources.standins import load
 
 from .base import query
@@ -202,3 +203,15 @@ def route_by_url(spark, sf_dir):
 
     rows = load(spark, sf_dir, "docs")[0].selectExpr("doc_id", "case when doc_id % 3 = 0 then url || '/RSS/1' when doc_id % 3 = 1 then url || '/feeds' else url end as url")
     return rows.select("doc_id", alert_route(F.col("url")).alias("parser"))
+
+
+_TOWNS = "select 'Town' || cast(c_custkey as string) as word from customer union all select 'Town' || cast(c_custkey as string) || ' North' from customer where c_custkey % 2 = 0"
+_OF_ORDERS = "select o_orderkey, 'Town' || cast(o_custkey as string) || case o_orderkey % 4 when 0 then ' North Police' when 1 then ' Police' when 2 then '' else 'x North' end as name from orders"
+
+
+@query("longest_prefix_table", f"with w as ({_TOWNS}), n as ({_OF_ORDERS}) select o_orderkey, (select arg_max(word, length(word)) from w where n.name = w.word or starts_with(n.name, w.word || ' ')) as prefix from n")
+def longest_prefix_table(spark, sf_dir):
+    """The longest word of a table that a name starts with: more words than a plan could hold."""
+    customer, orders = load(spark, sf_dir, "customer", "orders")
+    words = spark.sql(_TOWNS.replace("from customer", "from {customer}"), customer=customer)
+    return longest_prefixes(spark.sql(_OF_ORDERS.replace("from orders", "from {orders}"), orders=orders), "o_orderkey", "name", words)

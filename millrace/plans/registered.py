@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, detect, documents, fetching, health, ingest, parse, registry, text  # noqa: F401
+from . import base, detect, documents, fetching, health, ingest, parse, registry, stored, text  # noqa: F401
 
 
 def queries() -> dict:

@@ -146,3 +146,64 @@ def test_external_ids_prefer_the_list(spark):
     assert sorted(map(tuple, discovery.external_ids(agencies, listing, search).collect())) == [(1, "9")]
     empty = spark.createDataFrame([("[]",)], "payload string")
     assert sorted(map(tuple, discovery.external_ids(agencies, empty, search).collect())) == [(1, "7"), (2, "8")]
+
+
+def test_time_to_live_over_many_spans(spark):
+    """A key with most rows goes over spans and tasks; times, times to live and keys may be missing."""
+    rng = np.random.default_rng(8)
+    none = lambda v, share: None if rng.random() < share else v
+    rows = [("hot" if rng.random() < 0.7 else none(f"k{rng.integers(0, 40)}", 0.1), none(int(rng.integers(0, 4000)), 0.02), none(int(rng.choice([-5, 0, 1, 30, 400, 5000])), 0.1)) for _ in range(3000)]
+    want = {}
+    for k in {r[0] for r in rows}:
+        until, counts = None, [0, 0]
+        # Without a time first; of equal times those whose mark ends first, or that leave none.
+        for t, ttl in sorted(((t, ttl) for x, t, ttl in rows if x == k), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0)):
+            skip = t is not None and until is not None and t < until
+            counts[skip] += 1
+            if not skip:
+                until = None if t is None or ttl is None else t + ttl
+        want[k] = tuple(counts)
+    df = spark.createDataFrame(rows, "k string, at long, ttl long").repartition(7)
+    for span in (1, 2, 17, 500, 100_000):
+        got = ingest.suppress_by_ttl(df, "k", "at", "ttl", span).collect()
+        assert {r.k: (r.fetched, r.skipped) for r in got} == want and len(got) == len(want), span
+
+
+def test_a_hot_key_is_dealt_to_several_tasks(spark):
+    rows = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * 7 % 20_000).alias("at"), F.lit(50).alias("ttl"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = rows.repartitionByRange("k", "at").groupBy(F.spark_partition_id()).count().collect()
+        assert len(dealt) == 4 and max(r["count"] for r in dealt) < 8000
+        assert [tuple(r) for r in ingest.suppress_by_ttl(rows, "k", "at", "ttl", 1000).collect()] == [("hot", 400, 19_600)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_longest_prefixes_meet_a_table_of_words(spark):
+    rng, letters = np.random.default_rng(9), ["ab", "c", "de", "Los", "San"]
+    name = lambda n: " ".join(rng.choice(letters, n))
+    words = sorted({name(int(rng.integers(1, 4))) for _ in range(40)} | {"San  Two", "c ", "lone"})
+    names = [(i, name(int(rng.integers(1, 6)))) for i in range(200)] + [(300, "lone"), (301, "lonely"), (302, "San  Two x"), (303, ""), (304, None), (305, "c  x"), (None, "lone x"), (1, "lone z")]
+    df = spark.createDataFrame(names, "id int, name string")
+    want = sorted(((i, max((w for w in words if n is not None and (n == w or n.startswith(w + " "))), key=len, default=None)) for i, n in names), key=str)
+    got = matching.longest_prefixes(df, "id", "name", spark.createDataFrame([(w,) for w in [*words, *words]], "word string"))
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    told = df.select("id", matching.longest_prefix(F.col("name"), words).alias("prefix"))
+    assert sorted(map(tuple, told.collect()), key=str) == want
+    many = spark.range(10_000).select(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x")).alias("word"))
+    assert matching.longest_prefixes(spark.createDataFrame([(1, "w77 x y"), (2, "w77")], "id int, name string"), "id", "name", many).filter("prefix is not null").count() == 1
+
+
+def test_feeds_tell_missing_agencies_apart(spark):
+    agencies = spark.createDataFrame([(1,), (2,)], "agency_id long")
+    feeds = spark.createDataFrame([(10, 1, "rss", "u", True), (11, 1, "rss", "v", False), (12, 9, "rss", "w", True)], "feed_id long, agency_id long, feed_type string, url string, is_active boolean")
+    wanted = spark.createDataFrame([(1,), (2,), (3,), (3,)], "agency_id long")
+    got = {(r.agency_id, r.found, r.feed_id) for r in registry.feeds_of(agencies, feeds, wanted).collect()}
+    assert got == {(1, True, 10), (1, True, 11), (2, True, None), (3, False, None)}
+
+
+def test_newest_runs_are_cut_before_the_shuffle(spark):
+    runs = spark.range(100).selectExpr("id as run_id", "id % 3 as agency_id", "timestamp_ntz '2024-01-01' as run_at", "1 as docs_fetched")
+    plan = health.recent_n_runs(runs, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
