@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, drop, join_salted, new_path
+from .shared import Scratch, drop, join_salted, new_path, stored_at
 
 
 def connected_components(edges: DataFrame, scratch: Scratch | None = None, name: str = "components") -> DataFrame:
@@ -20,8 +20,7 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, name:
 
     def kept(df: DataFrame) -> tuple[DataFrame, str, tuple]:
         path = new_path(spark, name)
-        df.write.parquet(path)
-        got = spark.read.schema(df.schema).parquet(path)
+        got = stored_at(df, path)
         return got, path, tuple(got.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     up = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()

@@ -7,51 +7,11 @@ lineage of iterative jobs stays short.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import ship_package
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder. Only an unset one on a plain local master is replaced by our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    _delete_on_exit(spark, root)
-    return root
-
-
-def _delete_on_exit(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    _delete_on_exit(spark, path)
-    return path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written to the shared folder and read back with the same schema."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from millrace.tables import drop, fresh, new_path, shared_root, shuffles_released, stored, stored_at  # noqa: F401
 
 
 class Scratch:
@@ -65,8 +25,7 @@ class Scratch:
         return self.paths[-1]
 
     def stored(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        df.write.options(**{"compression": "zstd", **options}).parquet(path := self.path(name))
-        return self.spark.read.schema(df.schema).parquet(path)
+        return stored_at(df, self.path(name), **options)
 
     def clear(self) -> None:
         for path in self.paths:
@@ -100,13 +59,3 @@ def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
     session and stays until another operator sets its own."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names like ``names`` that ``df`` doesn't have."""
-    have, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n.lower() in have:
-            n += "_"
-        out.append(n)
-    return out

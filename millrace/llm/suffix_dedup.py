@@ -49,7 +49,7 @@ from .shared import arrow_rows, stored
 from .textops import _BASE, _BASE_INV, U64, _power, mix, slices
 
 LENGTH, ANCHOR = 100, 50
-SEND_ROWS, ARRAY_BYTES = 1_500_000, 400_000
+SEND_ROWS, ARRAY_BYTES = 500_000, 250_000
 #: Contents of an anchor beyond which it is split; sampled documents, and the contents of an
 #: anchor in them that make it hot; anchors named hot at most.
 HOT_CONTENTS, SAMPLE_DOCS, SAMPLE_CONTENTS, MOST_HOT = 20_000, 8_000, 40, 16_384
@@ -437,7 +437,7 @@ def shared_windows(content: list[bytes], doc_id: np.ndarray, row_hash: np.ndarra
     row, offset, at, back = row[maybe], offset[maybe], at[maybe], back[maybe]
     places = (start[row] + offset, row_hash[row], doc_id[row])
     new = _later(row, at - np.arange(len(at)))
-    if len(at) + int(new.sum()) * length <= 2 * most:
+    if len(at) + int(new.sum()) * length <= most:
         again = _repeated(text, at, new, places, length)
     else:
         ends = np.cumsum(np.where(times > 1, times, 0)) * length
