@@ -6,11 +6,15 @@ those of its nested field paths that any layout speaks of, sorted: ``messages[]`
 ``messages[].role`` a field of its items, ``messages[].content[]`` a list or a mixed value there,
 ``prompt`` a plain value. Other paths (ids, scores, rejected answers) don't count. Each layout
 declares the paths that a record must have, those that it may have, and how turns follow from
-them; it is selected by fingerprint, not by trial.
+them; it is selected by fingerprint, not by trial: layouts stand in an order, and the first one takes
+the record for which the hash of those paths that it speaks of is one of its own. So a message list
+beside a plain ``completion``, or an ``output`` beside a ``response``, is read by the first one and the
+other field is left out.
 
 The template marks turns with ``<|im_start|>role`` and ``<|im_end|>``. In texts a backslash
 is doubled and ``<|`` becomes ``<\\|``, so no text can hold a mark, and undoing the two in
-reverse order gives back every text. Roles are escaped by percent codes.
+reverse order gives back every text. Roles are escaped by percent codes. ``human`` and ``gpt`` become
+user and assistant in lists that name roles ``from``; in others roles stay as they are.
 
 Defined cases: null roles and texts are empty; a conversation's rows are ordered by turn,
 then role, then text; repeated rows are repeated turns; a null conversation id is an id of
@@ -75,6 +79,13 @@ class Layout:
     optional: tuple[str, ...]
     turns: tuple[Text | Items | Pairs, ...]
 
+    def paths(self) -> tuple[str, ...]:
+        return tuple(sorted((*self.required, *self.optional)))
+
+    def spoken(self, paths: Column) -> Column:
+        """Those of a record's paths that this layout speaks of."""
+        return F.filter(paths, lambda p: p.isin(*self.paths()))
+
     def fingerprints(self) -> Column:
         more = [c for n in range(len(self.optional) + 1) for c in combinations(self.optional, n)]
         return F.array(*(F.xxhash64(F.lit(",".join(sorted((*self.required, *c))))) for c in more))
@@ -91,20 +102,24 @@ def _fixed(name: str, user: tuple[str, ...], answer: str, optional: tuple[str, .
     return Layout(name, required, (*optional, "system", "history[]", "history[][]"), (_SYSTEM, _EARLIER, Text("user", user), Text("assistant", (answer,))))
 
 
+#: In the order in which they are tried: those that need most first, lists before plain fields.
 LAYOUTS = (
+    Layout("prompt_completion_lists", ("prompt[]", "completion[]"), (*_PROMPT.paths(), *_COMPLETION.paths(), "system"), (_SYSTEM, _PROMPT, _COMPLETION)),
+    Layout("preference_lists", ("prompt[]", "chosen[]"), (*_PROMPT.paths(), *_CHOSEN.paths(), "system"), (_SYSTEM, _PROMPT, Items("chosen"))),
     Layout("messages", ("messages[]",), (*_MESSAGES.paths(), "system", "prompt"), (_SYSTEM, _MESSAGES)),
     Layout("conversations", ("conversations[]",), (*_SHARED.paths(), "system"), (_SYSTEM, _SHARED)),
     Layout("turns", ("turns[]",), (*_ROWS.paths(), "system"), (_SYSTEM, _ROWS)),
+    Layout("prompt_list", ("prompt[]",), (*_PROMPT.paths(), "system", "completion", "response", "chosen"), (_SYSTEM, _PROMPT, Text("assistant", ("completion", "response", "chosen"), True))),
+    Layout("preference", ("chosen[]",), (*_CHOSEN.paths(), "system", "prompt"), (_SYSTEM, _CHOSEN)),
+    _fixed("instruction", ("instruction", "input"), "output", ("input",)),
+    _fixed("instruction_response", ("instruction", "input"), "response", ("input",)),
     _fixed("prompt", ("prompt",), "completion"),
     _fixed("prompt_response", ("prompt",), "response"),
     _fixed("question", ("question",), "answer"),
-    _fixed("instruction", ("instruction", "input"), "output", ("input",)),
-    _fixed("instruction_response", ("instruction", "input"), "response", ("input",)),
+    _fixed("question_response", ("question",), "response"),
+    _fixed("query", ("query",), "response"),
+    _fixed("query_answer", ("query",), "answer"),
     _fixed("preference_text", ("prompt",), "chosen"),
-    Layout("prompt_list", ("prompt[]",), (*_PROMPT.paths(), "system", "completion", "response", "chosen"), (_SYSTEM, _PROMPT, Text("assistant", ("completion", "response", "chosen"), True))),
-    Layout("prompt_completion_lists", ("prompt[]", "completion[]"), (*_PROMPT.paths(), *_COMPLETION.paths(), "system"), (_SYSTEM, _PROMPT, _COMPLETION)),
-    Layout("preference", ("chosen[]",), (*_CHOSEN.paths(), "system", "prompt"), (_SYSTEM, _CHOSEN)),
-    Layout("preference_lists", ("prompt[]", "chosen[]"), (*_PROMPT.paths(), *_CHOSEN.paths(), "system"), (_SYSTEM, _PROMPT, Items("chosen"))),
 )
 PATHS = tuple(sorted({p for x in LAYOUTS for p in (*x.required, *x.optional)}))
 FIELDS = tuple(sorted({p.split("[")[0] for p in PATHS}))
@@ -115,7 +130,7 @@ def _schema(value: Column, path: str) -> Column:
 
 
 def field_paths(value: Column) -> Column:
-    """A parsed record's field paths that layouts speak of, sorted, as one text."""
+    """A parsed record's field paths that layouts speak of, sorted."""
     found = []
     for field in FIELDS:
         schema = _schema(value, f"$.{field}")
@@ -136,11 +151,15 @@ def field_paths(value: Column) -> Column:
             else:
                 there = is_list if p.endswith("[]") else ~schema.rlike("^(?:ARRAY<|OBJECT<|VOID$)")
             found.append(F.when(there, F.lit(p)))
-    return F.array_join(F.array_sort(F.array_compact(F.array(*found))), ",")
+    return F.array_sort(F.array_compact(F.array(*found)))
+
+
+def hash_of(paths: Column) -> Column:
+    return F.xxhash64(F.array_join(paths, ","))
 
 
 def fingerprint(record: Column) -> Column:
-    return F.xxhash64(field_paths(F.try_parse_json(record)))
+    return hash_of(field_paths(F.try_parse_json(record)))
 
 
 def _text_of(item: Column, names: tuple[str, ...]) -> Column:
@@ -185,12 +204,12 @@ def _turns(value: Column, part: Text | Items | Pairs) -> Column:
     return turns
 
 
-def canonical(value: Column, mark: Column) -> Column:
-    """The turns of a parsed record, by the layout that its fingerprint ``mark`` selects."""
+def canonical(value: Column, paths: Column) -> Column:
+    """The turns of a parsed record with these field paths, by the first layout that takes it."""
     out = F.lit(None).cast(TURNS)
     for layout in reversed(LAYOUTS):
         turns = F.concat(*(_turns(value, part) for part in layout.turns))
-        out = F.when(F.array_contains(layout.fingerprints(), mark), turns).otherwise(out)
+        out = F.when(F.array_contains(layout.fingerprints(), hash_of(layout.spoken(paths))), turns).otherwise(out)
     return out
 
 
@@ -238,11 +257,11 @@ def format_records(records: DataFrame, record: str = "record", loss_roles: tuple
     """``records`` with fingerprint, turns, formatted and loss_spans (bounds of the texts that
     the loss covers, in code points of ``formatted``)."""
     made = ("fingerprint", "turns", "formatted", "loss_spans")
-    (v,) = fresh(records, "__value")
+    v, paths = fresh(records, "__value", "__paths")
     kept = [n for n in records.columns if n not in made]
     out = records.select(*kept, F.try_parse_json(record).alias(v))
-    out = out.withColumn("fingerprint", F.xxhash64(field_paths(F.col(v))))
-    out = out.withColumn("turns", canonical(F.col(v), F.col("fingerprint"))).withColumn("formatted", render(F.col("turns")))
+    out = out.withColumn(paths, field_paths(F.col(v))).withColumn("fingerprint", hash_of(F.col(paths)))
+    out = out.withColumn("turns", canonical(F.col(v), F.col(paths))).withColumn("formatted", render(F.col("turns")))
     spans = F.transform(F.filter(parse(F.col("formatted")), lambda t: t["role"].isin(*loss_roles)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
     return out.select(*kept, *made[:3], spans.alias("loss_spans"))
 
