@@ -92,7 +92,7 @@ def fit_logistic(x: Rows, extra: np.ndarray, y: np.ndarray, rows: np.ndarray, wi
             t = rr / max(q @ h, 1e-300)
             move, r = move + t * q, r - t * h
             rr, old = r @ r, rr
-            if rr < 1e-4 * (grad @ grad):
+            if rr <= 1e-4 * (grad @ grad):
                 break
             q = r + rr / old * q
         size = 1.0
@@ -247,7 +247,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", categ
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("doc_id", *columns)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", *columns, "words"])
 
     arrow_rows(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", *(F.col(c).cast("long") for c in columns), "text")
+    # One text for each id, so that rows of the sample are as bounded as its ids.
+    ids = chosen.select("doc_id").distinct()
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = one.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", *(F.col(c).cast("long") for c in columns), "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in columns), T.StructField("words", T.ArrayType(T.LongType()))])
     sample = stored(texts.mapInArrow(run, schema).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "toxicity-sample")
     chosen_words, n0, n1 = telling_words(sample.select(F.col(label).alias("label"), "fold", "words"))
@@ -255,6 +258,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", categ
         return Chain(chosen_words[0], constant=n1 / max(1, n0 + n1))
     vocabulary = np.unique(np.concatenate(chosen_words))
     width = len(vocabulary)
+    place = np.dtype("<u2" if width <= 1 << 16 else "<u4")
     kept_schema = T.StructType([sample.schema["doc_id"], *(sample.schema[c] for c in columns), sample.schema["fold"], T.StructField("places", T.BinaryType())])
 
     def known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,13 +266,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", categ
             lists = b.column("words")
             at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             x = present(lists.flatten().to_numpy(zero_copy_only=False).view(U64), at, vocabulary)
-            places = [x.columns[a:e].astype("<u2").tobytes() for a, e in zip(x.offsets[:-1], x.offsets[1:], strict=True)]
+            places = [x.columns[a:e].astype(place).tobytes() for a, e in zip(x.offsets[:-1], x.offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", *columns, "fold")), pa.array(places, pa.binary())], names=kept_schema.names)
 
-    # A row's words as places in the vocabulary, two bytes each: the driver holds no other copy.
+    # A row's words as places in the vocabulary, of two bytes each if it has no more: the driver holds no other copy.
     kept = sample.mapInArrow(known_words, kept_schema).toPandas().sort_values(["doc_id", *columns], kind="stable")
-    offsets = np.concatenate([[0], np.cumsum(kept["places"].map(len).to_numpy(np.int64) // 2)])
-    x = Rows(np.frombuffer(b"".join(kept.pop("places")), "<u2").astype(np.int64), offsets)
+    offsets = np.concatenate([[0], np.cumsum(kept["places"].map(len).to_numpy(np.int64) // place.itemsize)])
+    x = Rows(np.frombuffer(b"".join(kept.pop("places")), place).astype(np.int64), offsets)
     y, fold = kept[label].to_numpy(float), kept["fold"].to_numpy(np.int64)
     given = {c: np.nan_to_num(kept[c].to_numpy(float)) for c in categories}
     allowed = [np.isin(vocabulary, words) for words in chosen_words]
