@@ -3,8 +3,10 @@
 Companded samples are expanded by lookup tables that a rule builds. IMA ADPCM blocks are
 decoded by numpy across all blocks of a batch: one step of the decoder runs for every block
 at once. Media are WAV files, kept whole in a binary column, beside the PCM that they expand
-to, resampled; ``media_table`` writes both to the shared folder, and features are computed
-from what is read back.
+to, resampled. The PCM is stored losslessly by lifting: every other sample as it is, and the others as
+what they differ from the mean of their neighbours, which after a doubling of the rate is nothing.
+``media_table`` writes both to the shared folder and gives WAV files back; features are computed
+from what is read back, after decoding.
 
 Defined cases: null bytes are empty; an empty payload is one unit of zeros; rows with equal
 ids are stored each, so equal rows give equal rows; a very long text is one clip, in a batch
@@ -136,9 +138,42 @@ def resampled(media: bytes, rate: int) -> bytes:
     return wav(pcm.astype("<i2").tobytes(), PCM, own)
 
 
-def store(docs: DataFrame, column: str = "text", kind: int = MULAW, unit: int = UNIT, rate: int | None = None) -> DataFrame:
+LIFTED = struct.Struct("<4sIIB")
+
+
+def lift(media: bytes) -> bytes:
+    """A PCM WAV file as its even samples, and what the odd ones differ from the mean of their
+    neighbours (the last even one being its own neighbour); nothing for those if none differs."""
+    _, rate, _, data = read_wav(media)
+    pcm = np.frombuffer(data, "<i2")
+    even, odd = pcm[0::2], pcm[1::2]
+    rest = (odd - _between(even)[: len(odd)]).astype("<i2")
+    return LIFTED.pack(b"LIFT", rate, len(pcm), bool(rest.any())) + even.tobytes() + (rest.tobytes() if rest.any() else b"")
+
+
+def unlift(lifted: bytes) -> bytes:
+    """The PCM WAV file that ``lift`` was given."""
+    mark, rate, n, differs = LIFTED.unpack_from(lifted)
+    if mark != b"LIFT":
+        raise ValueError("not lifted PCM")
+    even = np.frombuffer(lifted, "<i2", (n + 1) // 2, LIFTED.size)
+    pcm = np.empty(n, "<i2")
+    pcm[0::2] = even
+    pcm[1::2] = _between(even)[: n // 2]
+    if differs:
+        pcm[1::2] += np.frombuffer(lifted, "<i2", n // 2, LIFTED.size + even.nbytes)
+    return wav(pcm.tobytes(), PCM, rate)
+
+
+def _between(even: np.ndarray) -> np.ndarray:
+    wide = even.astype(np.int32)
+    return ((wide + np.append(wide[1:], wide[-1:])) >> 1).astype(np.int16)
+
+
+def store(docs: DataFrame, column: str = "text", kind: int = MULAW, unit: int = UNIT, rate: int | None = None, lifted: bool = False) -> DataFrame:
     """``docs`` with ``media``: the column's bytes, padded to whole units, as a WAV file; with
-    ``rate`` also ``pcm``, what it expands to at that rate, as a WAV file."""
+    ``rate`` also ``pcm``, what it expands to at that rate, as a WAV file or ``lifted``."""
+    form = lift if lifted else bytes
     made = ["media"] if rate is None else ["media", "pcm"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +182,7 @@ def store(docs: DataFrame, column: str = "text", kind: int = MULAW, unit: int =
                 media = []
                 for x in pc.fill_null(part.column(payload), b"").to_pylist():
                     media.append(wav(x + b"\0" * (max(unit, -(-len(x) // unit) * unit) - len(x)), kind, block=unit))
-                own = [media] if rate is None else [media, [resampled(m, rate) for m in media]]
+                own = [media] if rate is None else [media, [form(resampled(m, rate)) for m in media]]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(pa.array(o, pa.binary()) for o in own)], names=[*names, *made])
 
     names = [n for n in docs.columns if n not in made]
@@ -157,11 +192,24 @@ def store(docs: DataFrame, column: str = "text", kind: int = MULAW, unit: int =
     return docs.select(*names, F.col(column).cast("binary").alias(payload)).mapInArrow(run, schema)
 
 
+def media_files(docs: DataFrame, column: str = "text", kind: int = MULAW, unit: int = UNIT, rate: int = 16000) -> DataFrame:
+    """``docs`` with ``media`` and, lifted, ``pcm``, written to the shared folder. Pages are large, as a
+    page is what a codec sees at once."""
+    options = {"parquet.page.size": str(8 << 20), "parquet.block.size": str(64 << 20), "parquet.enable.dictionary": "false"}
+    return stored(store(docs, column, kind, unit, rate, lifted=True), "media", **options)
+
+
 def media_table(docs: DataFrame, column: str = "text", kind: int = MULAW, unit: int = UNIT, rate: int = 16000) -> DataFrame:
-    """``docs`` with ``media`` and ``pcm``, written to the shared folder and read back. Pages are
-    large, as a page is what a codec sees at once."""
-    options = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20), "parquet.block.size": str(64 << 20), "parquet.enable.dictionary": "false"}
-    return stored(store(docs, column, kind, unit, rate), "media", **options)
+    """``docs`` with ``media`` and ``pcm``, written to the shared folder and read back as WAV files."""
+    kept = media_files(docs, column, kind, unit, rate)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "pcm", 1 << 22):
+                whole = pa.array([unlift(x) for x in part.column("pcm").to_pylist()], pa.binary())
+                yield part.set_column(part.schema.get_field_index("pcm"), "pcm", whole)
+
+    return kept.mapInArrow(run, kept.schema)
 
 
 def expand(media: DataFrame, rate: int = 16000) -> DataFrame:
@@ -187,10 +235,11 @@ def _per_clip(pcm: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [np.sqrt(power // n).astype(np.int64), np.maximum.reduceat(np.abs(wide), starts), np.add.reduceat(cross, starts)]
 
 
-def features(media: DataFrame) -> DataFrame:
+def features(media: DataFrame, lifted: bool = False) -> DataFrame:
     """``media`` without ``pcm``, with payload (read back from ``media``) and feature. A feature holds, for the payload
     as mu-law, as A-law and as ADPCM blocks of a unit, RMS, peak and zero crossings, and the
-    crc32 of the stored ``pcm`` samples."""
+    crc32 of the ``pcm`` samples, decoded where they are ``lifted``."""
+    whole = unlift if lifted else bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +250,7 @@ def features(media: DataFrame) -> DataFrame:
                 code = np.frombuffer(b"".join(data), np.uint8)
                 adpcm = decode_adpcm(code.reshape(-1, UNIT))
                 told = [*_per_clip(MULAW_PCM[code], starts), *_per_clip(ALAW_PCM[code], starts), *_per_clip(adpcm.ravel(), starts // UNIT * adpcm.shape[1])]
-                crc = [zlib.crc32(read_wav(m)[3]) for m in part.column("pcm").to_pylist()]
+                crc = [zlib.crc32(read_wav(whole(m))[3]) for m in part.column("pcm").to_pylist()]
                 feature = [":".join(map(str, x)) for x in zip(*(t.tolist() for t in told), crc, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(data, pa.binary()), pa.array(feature)], names=[*names, "payload", "feature"])
 
@@ -214,7 +263,7 @@ def features(media: DataFrame) -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     """The features, with digests of what was stored and read back."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("media"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    found = features(media_table(rows, "media"))
+    found = features(media_files(rows, "media"), lifted=True)
     tail = F.substring("payload", -UNIT, UNIT)
     return found.select(
         "doc_id",

@@ -229,6 +229,57 @@ def test_leaks_match_brute_force(spark):
     assert decontaminate.leak_report(table(spark, []), found).count() == 0
 
 
+def test_pieces_are_found_wherever_they_occur(monkeypatch):
+    """The lookup of pieces against a plain search, short items and pieces that share their beginning included."""
+    monkeypatch.setattr(decontaminate, "HASH_CHARS", 100)
+    items = [(i, prose(300 + i % 7, 8 + i % 20)) for i in range(30)] + [(40, "abc"), (41, "a"), (42, None), (43, "  "), (44, "ab ab ab ab ab ab ab ab ab ab")]
+    matcher = decontaminate.Matcher(items, 0.15)
+    texts = [decontaminate.normal(t) for t in (*(prose(300 + i, 200) for i in range(8)), "", "abc", "ab ab ab ab ab", "xabcx a", items[3][1] + "zz")]
+    got = {(int(t), int(p), int(k)) for t, p, k in zip(*matcher.hits(texts), strict=True)}
+    want, parts = set(), []
+    for i, (_, item, k) in enumerate(matcher.items):
+        own = list(decontaminate.halves(len(item), k))
+        assert own[0][0] == 0 and own[-1][1] == len(item) and all(x[1] == y[0] for x, y in zip(own, own[1:])) and len(own) == k + 1
+        assert k == 0 or min(b - a for a, b in own) >= decontaminate.MIN_PIECE
+        parts += [item[a:b] for a, b in own]
+        for a, _ in own:
+            around = decontaminate.parts_around(len(item), k, a)
+            assert all(x <= a < y and e > 0 for x, y, e in around) and all(x[1] - x[0] < y[1] - y[0] for x, y in zip(around, around[1:]))
+    for t, text in enumerate(texts):
+        for k, piece in enumerate(parts):
+            want |= {(t, p, k) for p in range(len(text) - len(piece) + 1) if text.startswith(piece, p)}
+    assert got == want and len(want) > 100
+    assert [matcher.matches(t) for t in texts] == [dict(matcher.matches_of(texts)).get(i, []) for i in range(len(texts))]
+    assert decontaminate.Matcher([], 0.1).matches("abc") == []
+
+
+def test_a_full_block_of_items_stays_small():
+    """4,000,000 characters of items, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from millrace.llm import decontaminate
+r, letters = random.Random(1), "abcdefghijklmnopqrstuvwxyz     "
+items = [(i, "".join(r.choices(letters, k=2000))) for i in range(2000)]
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before = peak()
+matcher = decontaminate.Matcher(items, 0.1)
+print(int(peak() - before), sum(len(t) for _, t, _ in matcher.items) > 3_000_000, matcher.matches("x" * 50 + items[7][1] + "y")[0][:2])
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": root}, timeout=300, check=True).stdout.split(maxsplit=2)
+    assert int(out[0]) < 300 and out[1] == "True" and out[2].strip() == "(7, 0)"
+
+
+def test_a_process_keeps_one_matcher():
+    items = [(1, "some benchmark text"), (2, "another one of them")]
+    first = decontaminate._matcher(1, items, 0.1)
+    assert decontaminate._matcher(1, items, 0.1) is first and decontaminate._matcher(2, items, 0.1) is not first
+    assert decontaminate._matcher(1, items, 0.1) is not first
+
+
 # 3. and 4. Classifiers.
 
 
@@ -443,6 +494,17 @@ def test_layouts_by_fingerprint(spark):
         ('{"messages":[{"role":"user","content":null},{"role":"assistant"}]}', [("user", ""), ("assistant", "")]),
         ('{"conversations":[{"from":"human","value":"a","weight":1}],"id":"x"}', [("user", "a")]),
         ('{"question":"a","answer":"b","url":"c"}', [("user", "a"), ("assistant", "b")]),
+        ('{"messages":[{"role":"user","content":"a"}],"completion":"x"}', [("user", "a")]),
+        ('{"answer":"x","messages":[{"role":"user","content":"a"}],"question":"y"}', [("user", "a")]),
+        ('{"conversations":[{"from":"human","value":"a"}],"prompt":"x"}', [("user", "a")]),
+        ('{"conversations":[{"from":"human","value":"a"}],"prompt":[{"role":"user","content":"x"}]}', [("user", "a")]),
+        ('{"instruction":"a","output":"b","response":"x"}', [("user", "a"), ("assistant", "b")]),
+        ('{"instruction":"a","prompt":"x","response":"b"}', [("user", "a"), ("assistant", "b")]),
+        ('{"question":"a","response":"b"}', [("user", "a"), ("assistant", "b")]),
+        ('{"query":"a","response":"b"}', [("user", "a"), ("assistant", "b")]),
+        ('{"query":"a","answer":"b","system":"s"}', [("system", "s"), ("user", "a"), ("assistant", "b")]),
+        ('{"output":"b","response":"x"}', None), ('{"messages":"a","question":"b","answer":"c"}', [("user", "b"), ("assistant", "c")]),
+        ('{"messages":[{"role":"human","content":"a"}]}', [("human", "a")]),
     ]
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(records)], "i int, record string")
     got = {r.i: r.turns for r in chat_format.format_records(df).collect()}
@@ -866,6 +928,19 @@ def test_stored_media_are_files_that_hold_both_columns(spark):
         assert (kind, rate, len(data)) == (telephony.PCM, 16000, 4 * len(payload)) and r["__payload"] == "p"
 
 
+def test_lifting_is_lossless():
+    rng = np.random.default_rng(2)
+    clips = [rng.integers(-32768, 32768, n).astype("<i2") for n in (0, 1, 2, 3, 64, 1001)]
+    clips += [np.array([-32768, 32767, -32768, 32767], "<i2"), telephony.resample_double(clips[4], np.zeros(1, np.int64)).astype("<i2")]
+    for pcm in clips:
+        media = telephony.wav(pcm.tobytes(), telephony.PCM, 16000)
+        assert telephony.unlift(telephony.lift(media)) == media
+    # What a doubling of the rate adds costs nothing.
+    assert len(telephony.lift(telephony.wav(clips[-1].tobytes(), telephony.PCM, 16000))) == telephony.LIFTED.size + clips[4].nbytes
+    with pytest.raises(ValueError, match="lifted"):
+        telephony.unlift(b"RIFF" + b"\0" * 12)
+
+
 def test_media_round_trip(spark):
     rows = edge_rows()
     got = {}
