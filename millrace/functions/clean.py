@@ -1,11 +1,13 @@
-"""Text cleaning. Rule chains are native; markup, near-equal sentences and entities need Python
+"""Text cleaning. Rule chains and entities are native; markup and near-equal sentences need Python
 and run as Arrow-batched UDFs."""
 
 from __future__ import annotations
 
-import html as _html
+import json
 import re
+from array import array
 from difflib import SequenceMatcher
+from html.entities import html5
 
 import numpy as np
 import pandas as pd
@@ -32,45 +34,144 @@ def strip_html(text: Column) -> Column:
     return run(text)
 
 
+def _odd_characters() -> dict[str, str]:
+    """Characters that numbers stand for otherwise than by their code: those of a one-byte page that browsers
+    read there, and the one for what is none."""
+    out = {"0": "\ufffd"}
+    for n in range(0x80, 0xA0):
+        try:
+            out[str(n)] = bytes([n]).decode("cp1252")
+        except UnicodeDecodeError:
+            out[str(n)] = chr(n)
+    return out
+
+
+def _table(values: dict[str, str]) -> Column:
+    """A constant map; one literal, however many entries it has."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
+def _character(n: Column) -> Column:
+    """The character of a number, nothing for controls and codes that are never characters."""
+    control = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 65536 >= 65534)
+    plain = F.when(n == 0xFEFF, F.lit("\ufeff")).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    none = n.isNull() | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    return F.coalesce(F.try_element_at(_table(_odd_characters()), n.cast("string")), F.when(none, F.lit("\ufffd")).when(control, F.lit("")).otherwise(plain))
+
+
 def unescape(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else _html.unescape(t))
+    """Character references as characters: numbers, names, and the old names that need no semicolon, of
+    which the longest counts."""
+    names = _table(html5)
+
+    def decoded(piece: Column) -> Column:
+        """What follows an ampersand."""
+        number = F.regexp_extract(piece, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        digits = F.regexp_replace(F.regexp_replace(number, "^#[xX]?0*|;$", ""), "^$", "0")
+        is_hex = number.rlike("^#[xX]")
+        # More digits than any character's code has are none.
+        value = F.when(is_hex, F.when(F.length(digits) <= 8, F.conv(digits, 16, 10))).otherwise(F.when(F.length(digits) <= 8, digits)).cast("long")
+        name = F.regexp_extract(piece, r"^[^\t\n\f <&#;]{1,32};?", 0)
+        prefixes = F.transform(F.sequence(F.length(name), F.lit(2), F.lit(-1)), lambda n: name.substr(F.lit(1), n))
+        known = F.when(F.length(name) >= 2, F.get(F.filter(prefixes, lambda x: F.try_element_at(names, x).isNotNull()), F.lit(0)))
+        by_name = let(known, lambda k: F.when(k.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(F.try_element_at(names, k), piece.substr(F.length(k) + 1, F.length(piece)))))
+        by_number = F.concat(let(value, _character), piece.substr(F.length(number) + 1, F.length(piece)))
+        return F.when(number != "", by_number).otherwise(by_name)
+
+    pieces = F.split(text, "&", -1)
+    return F.when(text.contains("&"), F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), decoded), ""))).otherwise(text)
+
+
+SHORT = 24
+
+
+class _Kept:
+    """Sentences that were kept, and which of them may be nearly equal to a new one.
+
+    Where 2 M of T characters match (M in blocks that are in order, of T in both sentences), the blocks are
+    one more than the unmatched characters at most, so they share at least M - 2 (T - 2 M + 1) runs of three
+    characters. Kept sentences are listed by those runs, and a new one counts its own in the lists. Short
+    ones share too few: they lie by length. Of both kinds counts of characters leave those that have M in
+    common at all, and the longest common subsequence those that have them in order."""
+
+    def __init__(self, near: float):
+        self.near = near
+        self.places: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.sizes = array("q")
+        self.counts = np.zeros((64, 64), np.int32)
+        self.lists: dict[int, array] = {}
+        self.by_size: dict[int, array] = {}
+
+    def add(self, text: str, codes: np.ndarray) -> None:
+        n = len(self.texts)
+        if n == len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+        self.counts[n] = _counts(codes)
+        self.places.setdefault(text, n)
+        self.texts.append(text)
+        self.sizes.append(len(text))
+        self.by_size.setdefault(len(text), array("q")).append(n)
+        for run in _runs_of_three(codes).tolist():
+            self.lists.setdefault(run, array("q")).append(n)
+
+    def candidates(self, text: str, codes: np.ndarray) -> list[int]:
+        n, sizes = len(text), np.frombuffer(self.sizes, np.int64)
+        if n < SHORT:
+            low, high = int(n * self.near / (2 - self.near)), int(n * (2 - self.near) / self.near) + 1
+            lists = [np.frombuffer(self.by_size[k], np.int64) for k in range(low, high + 1) if k in self.by_size]
+            who = np.sort(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+        else:
+            lists = [np.frombuffer(own, np.int64) for r in np.unique(_runs_of_three(codes)).tolist() if (own := self.lists.get(r)) is not None]
+            shared = np.bincount(np.concatenate(lists), minlength=len(sizes)) if lists else np.zeros(len(sizes), np.int64)
+            total = sizes + n
+            matched = np.ceil(self.near * total / 2 - 1e-9)
+            who = np.flatnonzero((np.minimum(sizes, n) >= matched) & (shared >= matched - 2 * (total - 2 * matched + 1)))
+        who = who[2 * np.minimum(self.counts[who], _counts(codes)).sum(1) >= self.near * (sizes[who] + n) - 1e-9]
+        if not len(who):
+            return []
+        masks: dict[str, int] = {}
+        for i, c in enumerate(text):
+            masks[c] = masks.get(c, 0) | 1 << i
+        return [i for i in who.tolist() if 2 * _common(masks, n, self.texts[i]) >= self.near * (len(self.texts[i]) + n) - 1e-9]
 
-    return run(text)
 
+def _common(masks: dict[str, int], n: int, other: str) -> int:
+    """Length of the longest common subsequence of a text, given by its characters' places, and another."""
+    full = left = (1 << n) - 1
+    get = masks.get
+    for c in other:
+        if own := left & get(c, 0):
+            left = (left + own | left - own) & full
+    return n - left.bit_count()
 
-def distinct_sentences(text: str, near: float = NEAR) -> str:
-    """Keeps each sentence that is not nearly equal to one kept before; blank lines between.
 
-    Characters that two sentences share bound their ratio from above. Counts of characters by the
-    low bits of their codes are compared with all kept sentences at once, so a ratio is
-    computed for few pairs."""
-    kept: list[str] = []
-    low: list[str] = []
-    place: dict[str, int] = {}
-    size, counts = np.zeros(64, np.int64), np.zeros((64, 64), np.int32)
+def _runs_of_three(codes: np.ndarray) -> np.ndarray:
+    c = codes.astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
 
-    def alike(new: str, i: int) -> bool:
-        s = SequenceMatcher(None, new, low[i])
-        return s.quick_ratio() >= near and s.ratio() >= near
 
+def _counts(codes: np.ndarray) -> np.ndarray:
+    return np.bincount(codes & 63, minlength=64)
+
+
+def distinct_sentences(text: str, near: float = NEAR) -> str:
+    """Keeps each sentence that is not nearly equal to one kept before; blank lines between. A ratio is
+    computed only for kept sentences that have enough in common with the new one."""
+    kept: list[str] = []
+    held = _Kept(near)
+    alike = lambda new, i: SequenceMatcher(None, new, held.texts[i]).ratio() >= near
     for part in map(str.strip, re.split(r"(?<=[.!?])\s+(?=[A-Z])|\n{2,}", text)):
         if not part:
             continue
-        new, n = part.lower(), len(low)
-        if new in place and alike(new, place[new]):
+        new = part.lower()
+        if new in held.places and alike(new, held.places[new]):
             continue
-        own = np.bincount(np.frombuffer(new.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64)
-        bound = 2 * np.minimum(counts[:n], own).sum(1)
-        if any(alike(new, i) for i in np.flatnonzero(bound >= near * (size[:n] + len(new)) - 1e-9).tolist()):
+        codes = np.frombuffer(new.encode("utf-32-le", "surrogatepass"), "<u4")
+        if any(alike(new, i) for i in held.candidates(new, codes)):
             continue
-        if n == len(size):
-            size, counts = np.concatenate([size, np.zeros(n, np.int64)]), np.concatenate([counts, np.zeros((n, 64), np.int32)])
-        size[n], counts[n] = len(new), own
-        place.setdefault(new, n)
+        held.add(new, codes)
         kept.append(part)
-        low.append(new)
     return "\n\n".join(kept)
 
 

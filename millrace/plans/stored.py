@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import ingest as I
 from millrace.operators import registry as R
+from millrace.sources import listings as L
 from millrace.sources import open_data as S
 from millrace.sources import parsers as P
 from millrace.sources import plugins
@@ -183,6 +184,29 @@ def layer_pages(spark, sf_dir):
     return rows.select("offset", "pos", "at", F.col("row")["OBJECTID"].alias("objectid"), F.col("row")["CRIME_TYPE"].alias("crime_type"))
 
 
+@query(
+    "listing_pages",
+    f"""with p as (select *, row_number() over (partition by p_partkey % 97 order by p_partkey) as n from part), q as (select *, cast((n - 1) // 10 + 1 as int) as page, p_partkey % 97 as town from p)
+        select town, page, cast((n - 1) % 10 as int) as pos, 'https://t' || cast(town as string) || '.org/press/' || {_P} as url, p_name as title, p_name || '. ' || p_type as raw_text from q where page <= case when town % 10 = 3 then 2 else 5 end""",
+)
+def listing_pages(spark, sf_dir):
+    """News listings read page by page, of which some have more than are wanted and some break off."""
+    n_items = 10
+    item = f"""'<article><h2>' || p_name || '</h2><a href="/press/' || {_P} || '">more</a><p>' || p_type || '</p></article>'"""
+    rows = number_rows(_parts(spark, sf_dir, "p_partkey % 97 as town", f"{item} as item"), "p_partkey", by=("town",), name="at", first=0)
+    pages = rows.groupBy("town", (F.floor(F.col("at") / n_items) + 1).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("at", "item"))).alias("items"))
+    last = pages.groupBy("town").agg(F.max("page").alias("last"))
+    base = F.concat(F.lit("https://t"), F.col("town").cast("string"), F.lit(".org/press/"))
+    address = F.when(F.col("page") == 1, base).otherwise(F.concat(base, F.lit("?Page="), F.col("page").cast("string")))
+    following = F.when(F.col("page") < F.col("last"), F.lit('<a rel="next" href="?Page=n">Next</a>')).otherwise(F.lit(""))
+    body = F.concat(F.array_join(F.transform("items", lambda i: i["item"]), ""), following)
+    folder = new_path(spark, "recorded-listings")
+    S.record(pages.join(last, "town").filter("not (town % 10 = 3 and page = 3)").select(address.alias("query"), body.alias("body")), folder)
+    towns = rows.select("town").distinct().withColumn("listing", base)
+    read = L.read_listings(towns, "listing", recorded=folder)
+    return P.parse_listing(read, ["town", "page"], url="page_url").select("town", "page", "pos", "url", "title", "raw_text")
+
+
 # Responses of all platforms in one pass.
 
 _NAMES = ("rss", "civicplus", "citizenrims", "nixle", "rave", "crimemapping", "socrata", "arcgis", "pdf", "lines", "unheard")

@@ -65,9 +65,25 @@ def clean_protected_lines(spark, sf_dir):
     return rows.select("doc_id", C.protected(F.col("kept")).alias("kept"), C.protected(F.col("noise")).alias("noise"))
 
 
-@query("clean_protected_text")
+# Letters, digits, blanks and edges of words as the rules mean them, in all scripts, for an engine whose own are of ASCII.
+_WORD, _BLANK = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}", r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _in_all_scripts(pattern):
+    """A pattern that begins and ends with a word edge at most, for a test whether it matches anywhere."""
+    head, tail = pattern.startswith(r"\b"), pattern.endswith(r"\b")
+    pattern = pattern[2 if head else 0 : -2 if tail else None].removesuffix(r"\.?" if tail else "\0")
+    pattern = pattern.replace(r"[\w\s]", f"[{_WORD}{_BLANK}]").replace(r"[\w-]", f"[{_WORD}-]").replace(r"[#:\s]", f"[#:{_BLANK}]").replace(r"[-.\s]", f"[-.{_BLANK}]")
+    pattern = pattern.replace(r"\d", r"\p{Nd}").replace(r"\s", f"[{_BLANK}]")
+    return (f"(?:^|[^{_WORD}])" if head else "") + pattern + (f"(?:$|[^{_WORD}])" if tail else "")
+
+
+_SAFE = " or ".join(f"regexp_matches(x, '{'(?i)' if i else ''}{_in_all_scripts(p)}')" for p, i in K.PROTECTED)
+
+
+@query("clean_protected_text", _with(f"select doc_id, cast(len(list_filter(string_split(t, chr(10)), lambda x: {_SAFE})) as int) as lines from c"))
 def clean_protected_text(spark, sf_dir):
-    """How many lines of each whole text are protected; no oracle, a unit test has brute force."""
+    """How many lines of each whole text are protected."""
     return _rows(spark, sf_dir).select("doc_id", F.when(F.col("t").isNotNull(), F.size(F.filter(F.split("t", "\n", -1), C.protected))).alias("lines"))
 
 
@@ -111,9 +127,16 @@ def quality_score(spark, sf_dir):
     return rows.select("doc_id", C.quality_score(F.col("t"), F.col("b")).alias("score"))
 
 
-@query("quality_score_text")
+_BONUS = " + ".join(f"case when regexp_matches(b, '(?i){_in_all_scripts(p)}') then {n} else 0 end" for p, n in ((K.SCORE_DATE, 10), (K.SCORE_ID, 10), (K.SCORE_ADDRESS, 5)))
+
+
+@query(
+    "quality_score_text",
+    _with(rf"""select doc_id, cast(case when t is null or length(t) = 0 then 0 when length(trim(b)) < 50 then least(30, s) else s end as int) as score from (select doc_id, t, b, least(100, greatest(0, 100 - cast(trunc((length(t) - length(b)) / length(t) * 80) as int)) + {_BONUS}) as s
+    from (select doc_id, t, trim(regexp_replace(t, '\s+', ' ', 'g')) as b from c))"""),
+)
 def quality_score_text(spark, sf_dir):
-    """Whole texts and what single blanks leave of them; no oracle, a unit test has brute force."""
+    """Whole texts and what single blanks leave of them."""
     return _rows(spark, sf_dir).select("doc_id", C.quality_score(F.col("t"), M.squash(F.col("t"))).alias("score"))
 
 
@@ -129,6 +152,18 @@ def clean_dedup_sentences(spark, sf_dir):
     return load(spark, sf_dir, "part")[0].select("p_partkey", C.dedup_sentences(t).alias("text"))
 
 
+@query("clean_dedup_text")
+def clean_dedup_text(spark, sf_dir):
+    """Whole texts without nearly equal sentences; no oracle, a unit test has the plain loop."""
+    return load(spark, sf_dir, "docs")[0].select("doc_id", C.dedup_sentences(F.col("raw_text")).alias("text"))
+
+
+@query("clean_unescape_pages")
+def clean_unescape_pages(spark, sf_dir):
+    """Whole pages with their character references decoded; no oracle, a unit test has the standard library's."""
+    return load(spark, sf_dir, "pages")[0].select("page_id", C.unescape(F.col("html")).alias("text"))
+
+
 @query("clean_unescape", "select doc_id, 'a & b < c > d \" ' || chr(233) || ' ' || cast(doc_id as string) as text from docs")
 def clean_unescape(spark, sf_dir):
     return load(spark, sf_dir, "docs")[0].select("doc_id", C.unescape(F.expr("'a &amp; b &lt; c &gt; d &quot; &eacute; ' || cast(doc_id as string)")).alias("text"))

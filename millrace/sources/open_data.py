@@ -14,7 +14,6 @@ a folder that all executors share (``record`` writes such a folder, a folder for
 from __future__ import annotations
 
 import json
-import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -103,6 +102,17 @@ def rows_of(platform: str, body: str, size: int) -> tuple[list[dict[str, str | N
     return [{k: _text(v) for k, v in r.items()} for r in rows], more
 
 
+def fetch(url: str, name: str, recorded: str | None, seconds: float) -> str:
+    """The body of the response to ``url``, or what was recorded under ``name``, empty if nothing was."""
+    if not recorded:
+        with urllib.request.urlopen(url, timeout=seconds) as got:
+            return got.read().decode("utf-8", "replace")
+    system, top = fs.FileSystem.from_uri(recorded)
+    files = system.get_file_info(fs.FileSelector(f"{top}/{folder_of(name)}", allow_not_found=True))
+    parts = sorted(f.path for f in files if f.base_name.startswith("part-"))
+    return b"".join(system.open_input_stream(p).read() for p in parts).decode()
+
+
 class _Page(InputPartition):
     def __init__(self, offset: int):
         super().__init__(offset)
@@ -130,15 +140,9 @@ class OpenDataReader(DataSourceReader):
 
     def _response(self, query: str) -> str:
         """The body of a response; empty where there is none."""
-        if self.recorded:
-            system, top = fs.FileSystem.from_uri(self.recorded)
-            files = system.get_file_info(fs.FileSelector(f"{top}/{folder_of(query)}", allow_not_found=True))
-            parts = sorted(f.path for f in files if f.base_name.startswith("part-"))
-            return b"".join(system.open_input_stream(p).read() for p in parts).decode()
         try:
-            with urllib.request.urlopen(f"{self.url}?{urllib.parse.quote(query, safe='=&%+$*')}", timeout=self.seconds) as got:
-                return got.read().decode()
-        except (urllib.error.URLError, TimeoutError):
+            return fetch(f"{self.url}?{urllib.parse.quote(query, safe='=&%+$*')}", query, self.recorded, self.seconds)
+        except OSError:
             return ""
 
     def partitions(self) -> list[InputPartition]:

@@ -114,7 +114,7 @@ def _items(html: Column, extract) -> Column:
     return run(html)
 
 
-def _listing_items(html: str) -> list[tuple]:
+def listing_items(html: str) -> list[tuple]:
     from .html import first_selected, parse
 
     out = []
@@ -166,7 +166,7 @@ def _alert_fields(i: Column, r: Cols) -> Cols:
     return {"url": link, "document_type": F.lit("alert"), "title": F.nullif(i["title"], F.lit("")), "raw_text": _join_title(i["title"], i["body"]), "published_date": T.alert_date(i["date"]), "metadata": _meta(nixle_alert_id=U.alert_id(link), alert_url=link, platform=platform)}
 
 
-LISTING = Source(("url", "html"), lambda r: _items(r["html"], _listing_items), _listing_fields, _no_response("html"))
+LISTING = Source(("url", "html"), lambda r: _items(r["html"], listing_items), _listing_fields, _no_response("html"))
 ALERTS = Source(("url", "html"), lambda r: _items(r["html"], _alert_items), _alert_fields, _no_response("html"))
 
 

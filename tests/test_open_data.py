@@ -234,3 +234,25 @@ def test_python_parsers_as_a_table_function_of_sql(spark, words):
         spark.sql("select * from parse_response('words', 'u', 5)")
     with pytest.raises(Exception, match="no parser for"):
         spark.sql("select * from parse_response('wrods', 'u', 'x')")
+
+
+def test_listings_are_read_page_by_page(spark, tmp_path):
+    from millrace.sources import listings
+
+    item, following = "<article><h2>{}</h2></article>", '<a rel="next" href="x">Next</a>'
+    kept = {
+        "https://a.org/n": item.format(1) + following, "https://a.org/n?Page=2": item.format(2) + following, "https://a.org/n?Page=3": item.format(3),
+        "https://b.org/n?x=1": item.format(4) + following, "https://b.org/n?x=1&Page=2": "<p>nothing</p>" + following,
+        **{listings.page_address("https://c.org", i): item.format(i) + following for i in range(1, 9)},
+    }
+    open_data.record(spark.createDataFrame(list(kept.items()), "query string, body string"), f"file://{tmp_path}/kept")
+    rows = spark.createDataFrame([(1, "https://a.org/n"), (2, "https://b.org/n?x=1"), (3, "https://c.org"), (4, "https://none.org"), (5, None)], "k int, url string")
+    got = listings.read_listings(rows, recorded=f"file://{tmp_path}/kept")
+    assert sorted((r.k, r.page) for r in got.collect()) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 2), (3, 3), (3, 4), (3, 5)]
+    assert all(r.html.rstrip("\n") == kept[r.page_url] for r in got.collect())
+    titles = parsers.parse_listing(got.filter("k = 1"), ["k", "page"], url="page_url").orderBy("page").collect()
+    assert [r.title for r in titles] == ["1", "2", "3"]
+    bad = listings.read_listings(spark.createDataFrame([(1, "http://127.0.0.1:9/x")], "k int, url string"), seconds=2).collect()
+    assert [(r.page, r.html) for r in bad] == [(1, None)] and "Error" in bad[0].error
+    listings.register_function(spark, recorded=f"file://{tmp_path}/kept", most=2)
+    assert spark.sql("select page from listing_pages('https://c.org')").count() == 2

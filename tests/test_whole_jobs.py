@@ -162,3 +162,76 @@ def test_text_of_deep_pages():
 
     assert plain_text("<div>" * 50_000 + "deep" + "</div>" * 50_000).strip() == "deep"
     assert plain_text("a<br>b<p>c<script>x</script></p><p>d<div/>e") == "a\nb\n\nc\n\n\n\nd\n\n\n\ne\n\n"
+
+
+def test_whole_pages_are_unescaped(spark):
+    from html import unescape
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    df = registered.queries()["clean_unescape_pages"](spark, SF)
+    assert {r.page_id: r.text for r in df.collect()} == {i: h and unescape(h) for i, h in pages.items()}
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_character_references_of_all_kinds(spark):
+    import random
+    from html import unescape
+    from html.entities import html5
+
+    from pyspark.sql import functions as F
+
+    from millrace.functions import clean
+
+    r, names = random.Random(1), list(html5)
+    number = lambda: r.choice([0, 1, 9, 13, 38, 127, 128, 129, 150, 159, 160, 233, 0x1F600, 0xD800, 0xFDD0, 0xFFFE, 0x1FFFF, 0x110000, 10**14, 65279, r.randint(0, 70000)])
+    made = (
+        lambda: "&" + r.choice(names) + r.choice(["", "x", "; ", "="]),
+        lambda: f"&#{'0' * r.randint(0, 9)}{number()}" + r.choice([";", "", " "]),
+        lambda: f"&#{r.choice('xX')}{number():x}" + r.choice([";", "", "g"]),
+        lambda: r.choice(["&", "&&", "&#", "&#x;", "&;", "&amp", "&ampx", "&notit;", "&notin;", "&lt&gt", "&" + "a" * 40, "& amp;", "&😀;", "&a😀"]),
+        lambda: r.choice(["abc", " ", "<b>", "é", "😀", "\n", ";"]),
+    )
+    texts = ["".join(r.choice(made)() for _ in range(r.randint(0, 8))) for _ in range(1500)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: x.u for x in df.select("i", clean.unescape(F.col("t")).alias("u")).collect()}
+    assert {i: t and unescape(t) for i, t in enumerate(texts)} == got
+
+
+def test_near_sentences_are_those_of_the_plain_loop(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from millrace.functions.clean import distinct_sentences
+
+    r = random.Random(3)
+    words = sorted({w for (t,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if t for w in t.split() if w.isalpha()})
+
+    def vary(t):
+        t = list(t)
+        for _ in range(r.randint(0, len(t) // 4 + 1)):
+            at = r.randrange(len(t) + 1)
+            t[at : at + r.randint(0, 1)] = r.choice(["", "x", "a", " "])
+        return "".join(t)
+
+    for _ in range(40):
+        base = [" ".join(r.choice(words) for _ in range(r.randint(1, 12))) for _ in range(6)]
+        parts = [vary(r.choice(base)).strip() for _ in range(40)]
+        kept = []
+        for p in parts:
+            if p and all(SequenceMatcher(None, p.lower(), k.lower()).ratio() < 0.85 for k in kept):
+                kept.append(p)
+        assert distinct_sentences("\n\n".join(parts)) == "\n\n".join(kept)
+
+
+def test_few_ratios_are_computed_for_many_sentences(spark, monkeypatch):
+    """Of thousands of sentences that differ, hardly any pair comes to the ratio."""
+    import random
+
+    from millrace.functions import clean
+
+    r, ratios = random.Random(4), []
+    words = sorted({w for (t,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if t for w in t.split() if w.isalpha()})
+    text = "\n\n".join(" ".join(r.choice(words) for _ in range(r.randint(6, 18))) + "." for _ in range(1500))
+    matcher = clean.SequenceMatcher
+    monkeypatch.setattr(clean, "SequenceMatcher", lambda *a: ratios.append(a) or matcher(*a))
+    assert len(clean.distinct_sentences(text).split("\n\n")) > 1400 and len(ratios) < 1500
