@@ -62,7 +62,10 @@ def _character(n: Column) -> Column:
 def unescape(text: Column) -> Column:
     """Character references as characters: numbers, names, and the old names that need no semicolon, of
     which the longest counts."""
-    names = _table(html5)
+    by_first: dict[str, dict[str, str]] = {}
+    for n, c in html5.items():
+        by_first.setdefault(n[0], {})[n] = c
+    table = F.from_json(F.lit(json.dumps(by_first)), "map<string,map<string,string>>")
 
     def decoded(piece: Column) -> Column:
         """What follows an ampersand."""
@@ -72,9 +75,16 @@ def unescape(text: Column) -> Column:
         # More digits than any character's code has are none.
         value = F.when(is_hex, F.when(F.length(digits) <= 8, F.conv(digits, 16, 10))).otherwise(F.when(F.length(digits) <= 8, digits)).cast("long")
         name = F.regexp_extract(piece, r"^[^\t\n\f <&#;]{1,32};?", 0)
-        prefixes = F.transform(F.sequence(F.length(name), F.lit(2), F.lit(-1)), lambda n: name.substr(F.lit(1), n))
-        known = F.when(F.length(name) >= 2, F.get(F.filter(prefixes, lambda x: F.try_element_at(names, x).isNotNull()), F.lit(0)))
-        by_name = let(known, lambda k: F.when(k.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(F.try_element_at(names, k), piece.substr(F.length(k) + 1, F.length(piece)))))
+
+        def named(x: Column) -> Column:
+            """The name and the names that begin like it."""
+            name, names = x["name"], x["names"]
+            prefixes = F.transform(F.sequence(F.length(name) - 1, F.lit(2), F.lit(-1)), lambda n: name.substr(F.lit(1), n))
+            prefix = F.when(F.length(name) > 2, F.get(F.filter(prefixes, lambda x: F.try_element_at(names, x).isNotNull()), F.lit(0)))
+            known = F.when(F.try_element_at(names, name).isNotNull(), name).otherwise(prefix)
+            return let(known, lambda k: F.when(k.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(F.try_element_at(names, k), piece.substr(F.length(k) + 1, F.length(piece)))))
+
+        by_name = let(F.struct(name.alias("name"), F.try_element_at(table, name.substr(1, 1)).alias("names")), named)
         by_number = F.concat(let(value, _character), piece.substr(F.length(number) + 1, F.length(piece)))
         return F.when(number != "", by_number).otherwise(by_name)
 
@@ -82,7 +92,8 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("&"), F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), decoded), ""))).otherwise(text)
 
 
-SHORT = 24
+#: Characters below which sentences share too few runs of three; kept sentences below which none are listed.
+SHORT, FEW = 24, 64
 
 
 class _Kept:
@@ -91,7 +102,7 @@ class _Kept:
     Where 2 M of T characters match (M in blocks that are in order, of T in both sentences), the blocks are
     one more than the unmatched characters at most, so they share at least M - 2 (T - 2 M + 1) runs of three
     characters. Kept sentences are listed by those runs, and a new one counts its own in the lists. Short
-    ones share too few: they lie by length. Of both kinds counts of characters leave those that have M in
+    ones share too few: they lie by length. Of all these counts of characters leave those that have M in
     common at all, and the longest common subsequence those that have them in order."""
 
     def __init__(self, near: float):
@@ -100,6 +111,8 @@ class _Kept:
         self.texts: list[str] = []
         self.sizes = array("q")
         self.counts = np.zeros((64, 64), np.int32)
+        self.codes: list[np.ndarray] = []
+        self.listed = 0  # sentences that the lists below hold
         self.lists: dict[int, array] = {}
         self.by_size: dict[int, array] = {}
 
@@ -111,13 +124,21 @@ class _Kept:
         self.places.setdefault(text, n)
         self.texts.append(text)
         self.sizes.append(len(text))
-        self.by_size.setdefault(len(text), array("q")).append(n)
-        for run in _runs_of_three(codes).tolist():
-            self.lists.setdefault(run, array("q")).append(n)
+        self.codes.append(codes)
+
+    def _list(self) -> None:
+        for n in range(self.listed, len(self.texts)):
+            codes, self.codes[n] = self.codes[n], None
+            self.by_size.setdefault(len(self.texts[n]), array("q")).append(n)
+            for run in _runs_of_three(codes).tolist():
+                self.lists.setdefault(run, array("q")).append(n)
+        self.listed = len(self.texts)
 
     def candidates(self, text: str, codes: np.ndarray) -> list[int]:
         n, sizes = len(text), np.frombuffer(self.sizes, np.int64)
-        if n < SHORT:
+        if len(sizes) < FEW:
+            who = np.arange(len(sizes))
+        elif self._list() or n < SHORT:
             low, high = int(n * self.near / (2 - self.near)), int(n * (2 - self.near) / self.near) + 1
             lists = [np.frombuffer(self.by_size[k], np.int64) for k in range(low, high + 1) if k in self.by_size]
             who = np.sort(np.concatenate(lists)) if lists else np.zeros(0, np.int64)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import re
 
+import pytest
+
 from millrace.functions import constants as K
 from millrace.plans import registered
 from millrace.plans.text import _rows
@@ -197,12 +199,16 @@ def test_character_references_of_all_kinds(spark):
     assert {i: t and unescape(t) for i, t in enumerate(texts)} == got
 
 
-def test_near_sentences_are_those_of_the_plain_loop(spark):
+@pytest.mark.parametrize("few", [0, 10, 64])
+def test_near_sentences_are_those_of_the_plain_loop(spark, monkeypatch, few):
     import random
     from difflib import SequenceMatcher
 
+    from millrace.functions import clean
     from millrace.functions.clean import distinct_sentences
 
+    monkeypatch.setattr(clean, "FEW", few)
+
     r = random.Random(3)
     words = sorted({w for (t,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if t for w in t.split() if w.isalpha()})
 
