@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.session import ship_package
-from millrace.tables import stored
 
 SPAN = 250_000
 #: No mark: everything is fetched.
@@ -109,20 +109,23 @@ def suppress_by_ttl(fetches: DataFrame, key: str, at: str, ttl_seconds: str, spa
             place += len(ordered)
 
     dealt = rows.repartitionByRange(key, "__at", "__until").sortWithinPartitions(key, "__at", "__until")
-    found = stored(dealt.mapInArrow(run, schema), "ttl")
-    done = found.filter("__cuts is null").select(key, F.col("__fetched").alias("fetched"), (F.col("__rows") - F.col("__fetched")).alias("skipped"))
-    return done.unionByName(_composed(found.filter("__cuts is not null"), key))
+    return _composed(dealt.mapInArrow(run, schema), key)
 
 
 def _composed(functions: DataFrame, key: str) -> DataFrame:
-    """Fetched and skipped attempts of keys that lie in several spans, or at a span's edge: few rows, each
-    read once, in order, with the mark's end that the one before leaves."""
+    """Fetched and skipped attempts: as they are of keys within one span; of those that lie in several, or at
+    a span's edge, the rows (few) are read once, in order, with the mark's end that the one before leaves."""
     schema = T.StructType([functions.schema[key], T.StructField("fetched", T.LongType()), T.StructField("skipped", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, known, own, end, fetched, rows = to_arrow_schema(schema), False, None, NONE, 0, 0
         row = lambda: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((own, fetched, rows - fetched), arrow, strict=True)], schema=arrow)
         for b in batches:
+            done = pc.is_null(b.column("__cuts"))
+            if (whole := b.filter(done)).num_rows:
+                fetches = whole.column("__fetched")
+                yield pa.RecordBatch.from_arrays([whole.column(0).cast(arrow[0].type), fetches, pc.subtract(whole.column("__rows"), fetches)], schema=arrow)
+            b = b.filter(pc.invert(done))
             for i in range(b.num_rows):
                 k = b.column(0)[i].as_py()
                 if not known or k != own:
@@ -137,4 +140,4 @@ def _composed(functions: DataFrame, key: str) -> DataFrame:
             yield row()
 
     ordered = functions.repartition(key).sortWithinPartitions(key, "__order")
-    return ordered.select(key, "__rows", "__cuts", "__counts", "__ends").mapInArrow(run, schema)
+    return ordered.select(key, "__rows", "__fetched", "__cuts", "__counts", "__ends").mapInArrow(run, schema)
